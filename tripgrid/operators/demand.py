@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tripgrid.config import HOUR_OFFSET_S, HOUR_S, ColumnMap
 from tripgrid.functions.dates import hour_interval, hour_tag, tag_to_ts
 from tripgrid.operators.cleaning import CITY
-from tripgrid.operators.grid import bounding_box, union_ends
+from tripgrid.operators.grid import box_columns, union_ends
 from tripgrid.operators.lookup import attach
 from tripgrid.session import Staged, stage
 
@@ -37,10 +37,7 @@ def hour_span(df: DataFrame, keys: Sequence[str] = CITY, hour: str = "start_hour
 def trip_frame(tagged: DataFrame, keys: Sequence[str] = CITY, columns: ColumnMap = ColumnMap()) -> DataFrame:
     """Bounding box and hour span together, in one pass over the trips."""
     return tagged.groupBy(*keys).agg(
-        F.min(F.least(*columns.lats)).alias("min_lat"),
-        F.min(F.least(*columns.lons)).alias("min_lon"),
-        F.max(F.greatest(*columns.lats)).alias("max_lat"),
-        F.max(F.greatest(*columns.lons)).alias("max_lon"),
+        *box_columns(columns),
         F.min("start_hour").alias("first_hour"),
         F.max("start_hour").alias("last_hour"),
     )
@@ -147,8 +144,3 @@ def with_hour_start(demand: DataFrame, span: DataFrame | Staged, keys: Sequence[
     first = Staged(held.df.select(*keys, "first_hour"), held.rows, held.path)
     return attach(demand, first, keys).withColumn("t0", tag_to_ts(F.col("first_hour") + F.col("hour"))).drop("first_hour")
 
-
-__all__ = [
-    "bounding_box", "demand_max", "fill_hours", "hour_calendar", "hour_span", "hourly_demand",
-    "rebase_hours", "tag_hours", "total_demand", "trip_frame", "with_hour_start",
-]

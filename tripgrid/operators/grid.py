@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripgrid.config import CELL_M, CELL_Z_MIN, EARTH_CIRCUMFERENCE_M, ColumnMap
@@ -15,14 +15,18 @@ from tripgrid.operators.ranking import dense_position
 from tripgrid.session import Staged, stage
 
 
-def bounding_box(df: DataFrame, keys: Sequence[str] = CITY, columns: ColumnMap = ColumnMap()) -> DataFrame:
-    """Extremes over both ends of the trips: min_lat, min_lon, max_lat, max_lon."""
-    return df.groupBy(*keys).agg(
+def box_columns(columns: ColumnMap) -> list[Column]:
+    return [
         F.min(F.least(*columns.lats)).alias("min_lat"),
         F.min(F.least(*columns.lons)).alias("min_lon"),
         F.max(F.greatest(*columns.lats)).alias("max_lat"),
         F.max(F.greatest(*columns.lons)).alias("max_lon"),
-    )
+    ]
+
+
+def bounding_box(df: DataFrame, keys: Sequence[str] = CITY, columns: ColumnMap = ColumnMap()) -> DataFrame:
+    """Extremes over both ends of the trips: min_lat, min_lon, max_lat, max_lon."""
+    return df.groupBy(*keys).agg(*box_columns(columns))
 
 
 def grid_trips(
