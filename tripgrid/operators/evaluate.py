@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripgrid.config import REPORT_SAMPLE
@@ -32,43 +32,60 @@ def pred_actual_join(pred: DataFrame, actual: DataFrame, keys: Sequence[str] = C
     )
 
 
-def _squared_error():
-    return F.pow(F.col("yhat") - F.col("actual"), F.lit(2))
+SQUARED_ERROR = F.pow(F.col("yhat") - F.col("actual"), F.lit(2))
+ROUNDED = round_pred(F.col("yhat"))
+
+
+def sample_scores(aligned: DataFrame, keys: Sequence[str] = CITY) -> DataFrame:
+    """Per sample, step and channel: squared error ``se`` and the grid totals.
+
+    Every part of a report is a sum over these few rows.
+    """
+    return aligned.groupBy(*keys, "idx", "step", "channel").agg(
+        F.sum(SQUARED_ERROR).alias("se"),
+        F.sum(ROUNDED).cast("long").alias("pred"),
+        F.sum("actual").alias("actual"),
+    )
+
+
+def _mse(df: DataFrame, se: Column, dims, samples, steps: int, keys: Sequence[str]) -> DataFrame:
+    sized = attach(attach(df.groupBy(*keys).agg(F.sum(se).alias("__se")), dims, keys), samples, keys)
+    cells = F.col("nx") * F.col("ny") * 2 * steps * F.col("n_samples")
+    return sized.select(*keys, F.try_divide(F.col("__se"), cells.cast("double")).alias("mse"))
+
+
+def _horizon(df: DataFrame, se: Column, dims, samples, keys: Sequence[str]) -> DataFrame:
+    per_step = df.groupBy(*keys, "step", "channel").agg(F.sum(se).alias("__se"))
+    sized = attach(attach(per_step, dims, keys), samples, keys)
+    total = F.try_divide(F.col("__se"), (F.col("nx") * F.col("ny")).cast("double"))
+    mean = F.try_divide(total, F.col("n_samples").cast("double"))
+    return sized.select(*keys, "step", "channel", total.alias("total_mse"), mean.alias("mean_mse"))
+
+
+def _totals(df: DataFrame, pred: Column, keys: Sequence[str]) -> DataFrame:
+    first = df.where(F.col("step") == 0)
+    return first.groupBy(*keys, "idx", "channel").agg(
+        F.sum(pred).cast("long").alias("pred"), F.sum("actual").alias("actual")
+    )
 
 
 def mse(
     aligned: DataFrame, dims: DataFrame | Staged, samples: DataFrame | Staged, steps: int, keys: Sequence[str] = CITY
 ) -> DataFrame:
     """``mse``: mean squared error over all cells of both channels, zeros included."""
-    total = aligned.groupBy(*keys).agg(F.sum(_squared_error()).alias("se"))
-    sized = attach(attach(total, dims, keys), samples, keys)
-    cells = F.col("nx") * F.col("ny") * 2 * steps * F.col("n_samples")
-    return sized.select(*keys, F.try_divide(F.col("se"), cells.cast("double")).alias("mse"))
+    return _mse(aligned, SQUARED_ERROR, dims, samples, steps, keys)
 
 
 def horizon_mse(
     aligned: DataFrame, dims: DataFrame | Staged, samples: DataFrame | Staged, keys: Sequence[str] = CITY
 ) -> DataFrame:
     """``total_mse`` and ``mean_mse`` over the samples, per step and channel."""
-    per_step = aligned.groupBy(*keys, "step", "channel").agg(F.sum(_squared_error()).alias("se"))
-    sized = attach(attach(per_step, dims, keys), samples, keys)
-    total = F.try_divide(F.col("se"), (F.col("nx") * F.col("ny")).cast("double"))
-    return sized.select(
-        *keys,
-        "step",
-        "channel",
-        total.alias("total_mse"),
-        F.try_divide(total, F.col("n_samples").cast("double")).alias("mean_mse"),
-    )
+    return _horizon(aligned, SQUARED_ERROR, dims, samples, keys)
 
 
 def demand_pred_vs_actual(aligned: DataFrame, keys: Sequence[str] = CITY) -> DataFrame:
     """Grid totals of the first step: forecasts rounded per cell, and trips."""
-    return (
-        aligned.where(F.col("step") == 0)
-        .groupBy(*keys, "idx", "channel")
-        .agg(F.sum(round_pred(F.col("yhat"))).cast("long").alias("pred"), F.sum("actual").alias("actual"))
-    )
+    return _totals(aligned, ROUNDED, keys)
 
 
 def nth_sample(samples: DataFrame, keys: Sequence[str] = CITY, nth: int = REPORT_SAMPLE) -> DataFrame:
@@ -80,7 +97,7 @@ def nth_sample(samples: DataFrame, keys: Sequence[str] = CITY, nth: int = REPORT
 def heatmap_cells(aligned: DataFrame, keys: Sequence[str] = CITY, nth: int = REPORT_SAMPLE) -> DataFrame:
     """First step of one sample, cell by cell: ``actual`` and rounded ``pred``."""
     first = nth_sample(aligned.where(F.col("step") == 0), keys, nth)
-    return first.select(*keys, "x", "y", "channel", "actual", round_pred(F.col("yhat")).cast("long").alias("pred"))
+    return first.select(*keys, "x", "y", "channel", "actual", ROUNDED.cast("long").alias("pred"))
 
 
 def _part(df: DataFrame, keys: Sequence[str], metric: str, value: str, **at: str) -> DataFrame:
@@ -107,13 +124,18 @@ def score_forecast(
     history: DataFrame | None = None,
     keys: Sequence[str] = CITY,
 ) -> DataFrame:
-    """The whole report as rows ``metric, channel, step, idx, value``."""
+    """The whole report as rows ``metric, channel, step, idx, value``.
+
+    The aligned rows, which are as many as forecasts, are read once.
+    """
     dims = dims if isinstance(dims, Staged) else stage(dims, "dims")
     samples = samples if isinstance(samples, Staged) else stage(samples, "samples")
-    by_step = horizon_mse(aligned, dims, samples, keys)
-    totals = demand_pred_vs_actual(aligned, keys)
+    scores = stage(sample_scores(aligned, keys), "scores").df
+    by_step = _horizon(scores, F.col("se"), dims, samples, keys)
+    totals = _totals(scores, F.col("pred"), keys)
+    overall = _mse(scores, F.col("se"), dims, samples, steps, keys)
     report = (
-        _part(mse(aligned, dims, samples, steps, keys), keys, "mse", "mse")
+        _part(overall, keys, "mse", "mse")
         .unionByName(_part(by_step, keys, "total_loss", "total_mse", channel="channel", step="step"))
         .unionByName(_part(by_step, keys, "mean_loss", "mean_mse", channel="channel", step="step"))
         .unionByName(_part(totals, keys, "pred_demand", "pred", channel="channel", idx="idx"))

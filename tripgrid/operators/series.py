@@ -126,26 +126,25 @@ def sample_time_features(hours: DataFrame) -> DataFrame:
     return hours.withColumn("time_features", F.transform("hours", time_features)).drop("hours")
 
 
-def dense_grid(demand: DataFrame, x_axis_len: int, y_axis_len: int, keys: Sequence[str] = CITY) -> DataFrame:
+def dense_grid(placed: DataFrame, dims: DataFrame | Staged, keys: Sequence[str] = CITY) -> DataFrame:
     """``hour, grid``: one flat array per hour ordered by channel, ``x_idx``, ``y_idx``.
 
-    Needs the matrix position of each cell. The array is built by its position, so an
-    hour costs its own matrix size and no more.
+    ``placed`` has the matrix position of each cell and ``dims`` the matrix size. Built
+    by position like a series: a hot hour costs its own matrix and no more.
     """
-    size = 2 * x_axis_len * y_axis_len
-    place = (F.col("channel") * x_axis_len + F.col("x_idx")) * y_axis_len + F.col("y_idx")
+    sized = attach(placed, dims, keys)
+    place = ((F.col("channel") * F.col("nx") + F.col("x_idx")) * F.col("ny") + F.col("y_idx")).cast("long")
+    sized = sized.withColumn("place", place)
     ordered = Window.partitionBy(*keys, "hour").orderBy("place")
     gap = F.col("place") - F.coalesce(F.lag("place").over(ordered), F.lit(-1)) - 1
     zero = F.lit(0).cast("long")
-    pieces = demand.withColumn("place", place).withColumn(
-        "piece", F.concat(F.array_repeat(zero, gap.cast("int")), F.array("cnt"))
-    )
+    pieces = sized.withColumn("piece", F.concat(F.array_repeat(zero, gap.cast("int")), F.array("cnt")))
     seen = pieces.groupBy(*keys, "hour").agg(
-        F.flatten(F.array_sort(F.collect_list(F.struct("place", "piece")))["piece"]).alias("seen")
-    )
-    return seen.select(
-        *keys, "hour", F.concat("seen", F.array_repeat(zero, F.lit(size) - F.size("seen"))).alias("grid")
+        F.flatten(F.array_sort(F.collect_list(F.struct("place", "piece")))["piece"]).alias("seen"),
+        F.first(2 * F.col("nx") * F.col("ny")).cast("int").alias("size"),
     )
+    tail = F.array_repeat(zero, F.col("size") - F.size("seen"))
+    return seen.select(*keys, "hour", F.concat("seen", tail).alias("grid"))
 
 
 def lag_features(series: DataFrame, lags: Sequence[int], block: int = BLOCK) -> DataFrame:
