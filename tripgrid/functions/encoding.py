@@ -16,8 +16,14 @@ def one_hot(value: Column, values: Sequence) -> Column:
     )
 
 
+def _unit_rows(size: int) -> Column:
+    """Constant table whose row ``i`` is the one-hot array of position ``i``."""
+    rows = [F.array(*[F.lit(float(i == j)) for j in range(size)]) for i in range(size)]
+    return F.array(*rows)
+
+
 def time_features(ts: Column) -> Column:
     """Weekday (Monday first, 7), month (12) and hour/23: twenty doubles."""
-    weekday = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda d: (d == F.weekday(ts)).cast("double"))
-    month = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda m: (m == F.month(ts)).cast("double"))
+    weekday = F.get(_unit_rows(7), F.weekday(ts))
+    month = F.get(_unit_rows(12), F.month(ts) - 1)
     return F.concat(weekday, month, F.array(F.hour(ts) / F.lit(23.0)))

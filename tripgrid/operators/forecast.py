@@ -12,7 +12,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import (
     GBTRegressionModel,
@@ -24,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tripgrid.session import path_exists
+
 KINDS = {"linear": LinearRegressionModel, "gbt": GBTRegressionModel}
 
 
@@ -71,14 +72,6 @@ def fit_forecaster(
     return Forecaster(kind, tuple(lags), model, tuple(float(v) for v in losses))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path)
-    except AnalysisException:
-        return False
-    return True
-
-
 def loss_history(spark: SparkSession, path: str) -> DataFrame:
     """``pass, loss`` of all runs saved under ``path``."""
     return spark.read.schema("pass int, loss double").parquet(f"{path}/history")
@@ -87,7 +80,7 @@ def loss_history(spark: SparkSession, path: str) -> DataFrame:
 def save_forecaster(spark: SparkSession, fitted: Forecaster, path: str) -> None:
     """Replace the model under ``path`` and append its losses to the history."""
     done = 0
-    if _exists(spark, f"{path}/history"):
+    if path_exists(spark, f"{path}/history"):
         done = loss_history(spark, path).agg(F.coalesce(F.max("pass") + 1, F.lit(0))).first()[0]
     passes = [(done + i, loss) for i, loss in enumerate(fitted.losses)]
     fitted.model.write().overwrite().save(f"{path}/model")
@@ -98,7 +91,7 @@ def save_forecaster(spark: SparkSession, fitted: Forecaster, path: str) -> None:
 
 def load_forecaster(spark: SparkSession, path: str) -> Forecaster | None:
     """The saved model, or ``None`` when there is none and training starts fresh."""
-    if not _exists(spark, f"{path}/settings"):
+    if not path_exists(spark, f"{path}/settings"):
         return None
     kind, lags = spark.read.parquet(f"{path}/settings").first()
     losses = [r["loss"] for r in loss_history(spark, path).orderBy("pass").toLocalIterator()]

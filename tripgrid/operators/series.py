@@ -20,6 +20,8 @@ from tripgrid.session import Staged, stage
 
 # Windows cut per intermediate row; bounds the memory of one step, not the result.
 BLOCK = 256
+# Series handled by one task of window cutting, fitting or forecasting.
+SERIES_PER_TASK = 500
 
 
 def dense_series(
@@ -50,6 +52,24 @@ def dense_series(
     return joined.where(F.col("n") > 0).select(*cell, "first_hour", whole.alias("series"))
 
 
+def stage_series(
+    demand: DataFrame,
+    span: DataFrame | Staged,
+    keys: Sequence[str] = CITY,
+    drop_last: bool = True,
+    per_task: int = SERIES_PER_TASK,
+) -> DataFrame:
+    """The dense series as a stored table, spread for what is made from it.
+
+    Mostly-zero series are tiny on disk, and windows multiply them by the window
+    length, so file sizes say nothing about the work behind a row. Tasks are sized by
+    the number of series instead.
+    """
+    held = stage(dense_series(demand, span, keys, drop_last), "series")
+    tasks = max(held.df.sparkSession.sparkContext.defaultParallelism, -(-held.rows // per_task))
+    return held.df.repartition(tasks, *keys, "x", "y", "channel")
+
+
 def split_series(series: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
     """First ``int(share * n)`` hours and the rest, each as a series of its own."""
     n = F.size("series")

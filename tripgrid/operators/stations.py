@@ -9,24 +9,13 @@ from pyspark.sql import functions as F
 
 from tripgrid.config import OD_ORIGIN
 from tripgrid.functions.dates import hour_tag_origin, origin_seconds, parse_ts_multi, tag_to_ts
+from tripgrid.functions.order import reading_order
 from tripgrid.operators.lookup import lookup_join
 from tripgrid.operators.ranking import dense_position
 from tripgrid.session import Staged, stage
 
 STATION_COLUMNS = ("lat", "lon", "datetime")
 
-# Room for one file in the reading order: 10**26 positions for each kind of trip end.
-_PER_END = 26
-
-
-def reading_order(file_ord: Column, is_end: Column, row_ord: Column) -> Column:
-    """One number for (file, starts before ends, row), as the files would be read."""
-    return (
-        file_ord.cast("decimal(10,0)") * F.lit(2).cast("decimal(1,0)") + is_end.cast("decimal(1,0)")
-    ).cast("decimal(11,0)") * F.expr(f"cast(1{'0' * _PER_END} as decimal({_PER_END + 1},0))") + row_ord.cast(
-        f"decimal({_PER_END},0)"
-    )
-
 
 def station_first(sightings: DataFrame, columns: Sequence[str] = STATION_COLUMNS, rank: str = "src") -> DataFrame:
     """Per ``id`` and column, the first value that is not null, by (``rank``, ``ord``).
@@ -54,7 +43,7 @@ def _sightings(df: DataFrame, src: int, order: Column) -> DataFrame:
     return df.select(
         F.col("id").try_cast("int").alias("id"),
         F.lit(src).alias("src"),
-        order.cast("decimal(38,0)").alias("ord"),
+        order.alias("ord"),
         F.col("lat").cast("double").alias("lat"),
         F.col("lon").cast("double").alias("lon"),
         parse_ts_multi(F.col("time")).alias("datetime"),
@@ -66,7 +55,7 @@ def _sightings(df: DataFrame, src: int, order: Column) -> DataFrame:
 
 def station_file_sightings(stations: DataFrame) -> DataFrame:
     """Station-file rows: ``id, lat, lon, time`` and their order ``file_ord, row_ord``."""
-    order = reading_order(F.col("file_ord"), F.lit(0), F.col("row_ord"))
+    order = reading_order(F.col("file_ord"), F.col("row_ord"))
     for missing in {"lat", "lon"} - set(stations.columns):
         stations = stations.withColumn(missing, F.lit(None).cast("double"))
     return _sightings(stations, 0, order)
@@ -87,7 +76,7 @@ def trip_sightings(trips: DataFrame) -> DataFrame:
         ]
     )
     tall = trips.select("file_ord", "row_ord", F.inline(ends))
-    return _sightings(tall, 1, reading_order(F.col("file_ord"), F.col("is_end"), F.col("row_ord")))
+    return _sightings(tall, 1, reading_order(F.col("file_ord"), F.col("row_ord"), F.col("is_end")))
 
 
 def stations_from_trips(trips: DataFrame) -> DataFrame:

@@ -34,6 +34,11 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(hadoop)
+
+
 @dataclass(frozen=True)
 class Staged:
     """A table written to the shared folder, with its exact row count."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,10 @@ _ROWS = 10**11
 
 
 def list_files(spark: SparkSession, paths: str | Sequence[str]) -> list[str]:
-    """Files behind paths or patterns, in name order. Only names are read."""
+    """Files behind paths or patterns, in name order, as the metadata column prints them.
+
+    Only names are read, no content.
+    """
     roots = [paths] if isinstance(paths, str) else list(paths)
     found = spark.read.format("binaryFile").load(roots).select("_metadata.file_path")
     return sorted(r["file_path"] for r in found.toLocalIterator())
@@ -27,8 +31,9 @@ def list_files(spark: SparkSession, paths: str | Sequence[str]) -> list[str]:
 
 def _headers(spark: SparkSession, files: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
     """Files grouped by their header line; Spark reads one line of each."""
+
     def columns(path: str) -> tuple[str, ...]:
-        return tuple(spark.read.option("header", True).csv(_plain(path)).columns)
+        return tuple(spark.read.option("header", True).csv(unquote(path)).columns)
 
     with ThreadPoolExecutor(16) as pool:
         heads = list(pool.map(columns, files))
@@ -38,13 +43,6 @@ def _headers(spark: SparkSession, files: Sequence[str]) -> dict[tuple[str, ...],
     return groups
 
 
-def _plain(uri: str) -> str:
-    """Path for the reader of a file URI as the metadata column prints it."""
-    from urllib.parse import unquote
-
-    return unquote(uri)
-
-
 def read_text_tables(
     spark: SparkSession, paths: str | Sequence[str], rename: Mapping[str, str] | None = None
 ) -> DataFrame:
@@ -59,7 +57,7 @@ def read_text_tables(
     order = spark.createDataFrame([(p, i) for i, p in enumerate(files)], "path string, file_ord long")
     parts = []
     for group in _headers(spark, files).values():
-        part = spark.read.option("header", True).csv([_plain(p) for p in group])
+        part = spark.read.option("header", True).csv([unquote(p) for p in group])
         texts = {c: blank_to_null(F.col(c)) for c in part.columns}
         piece = F.col("_metadata.file_block_start").cast("decimal(15,0)") * F.lit(_ROWS).cast("decimal(12,0)")
         row = F.pmod(F.monotonically_increasing_id(), F.lit(2**33))

@@ -32,7 +32,8 @@ def write_cells(cells: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 def write_od(od: DataFrame, path: str) -> None:
     """OD counts, sorted by hour inside each file so that hour filters skip row groups."""
-    od.repartitionByRange("hour").sortWithinPartitions("hour", "o_idx", "d_idx").write.mode("overwrite").parquet(path)
+    place = ("hour", "o_idx", "d_idx")
+    od.repartitionByRange(*place).sortWithinPartitions(*place).write.mode("overwrite").parquet(path)
 
 
 def write_stations(stations: DataFrame, path: str) -> None:
