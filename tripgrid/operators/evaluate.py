@@ -32,8 +32,12 @@ def pred_actual_join(pred: DataFrame, actual: DataFrame, keys: Sequence[str] = C
     )
 
 
-SQUARED_ERROR = F.pow(F.col("yhat") - F.col("actual"), F.lit(2))
-ROUNDED = round_pred(F.col("yhat"))
+def _squared_error() -> Column:
+    return F.pow(F.col("yhat") - F.col("actual"), F.lit(2))
+
+
+def _rounded() -> Column:
+    return round_pred(F.col("yhat"))
 
 
 def sample_scores(aligned: DataFrame, keys: Sequence[str] = CITY) -> DataFrame:
@@ -42,8 +46,8 @@ def sample_scores(aligned: DataFrame, keys: Sequence[str] = CITY) -> DataFrame:
     Every part of a report is a sum over these few rows.
     """
     return aligned.groupBy(*keys, "idx", "step", "channel").agg(
-        F.sum(SQUARED_ERROR).alias("se"),
-        F.sum(ROUNDED).cast("long").alias("pred"),
+        F.sum(_squared_error()).alias("se"),
+        F.sum(_rounded()).cast("long").alias("pred"),
         F.sum("actual").alias("actual"),
     )
 
@@ -73,19 +77,19 @@ def mse(
     aligned: DataFrame, dims: DataFrame | Staged, samples: DataFrame | Staged, steps: int, keys: Sequence[str] = CITY
 ) -> DataFrame:
     """``mse``: mean squared error over all cells of both channels, zeros included."""
-    return _mse(aligned, SQUARED_ERROR, dims, samples, steps, keys)
+    return _mse(aligned, _squared_error(), dims, samples, steps, keys)
 
 
 def horizon_mse(
     aligned: DataFrame, dims: DataFrame | Staged, samples: DataFrame | Staged, keys: Sequence[str] = CITY
 ) -> DataFrame:
     """``total_mse`` and ``mean_mse`` over the samples, per step and channel."""
-    return _horizon(aligned, SQUARED_ERROR, dims, samples, keys)
+    return _horizon(aligned, _squared_error(), dims, samples, keys)
 
 
 def demand_pred_vs_actual(aligned: DataFrame, keys: Sequence[str] = CITY) -> DataFrame:
     """Grid totals of the first step: forecasts rounded per cell, and trips."""
-    return _totals(aligned, ROUNDED, keys)
+    return _totals(aligned, _rounded(), keys)
 
 
 def nth_sample(samples: DataFrame, keys: Sequence[str] = CITY, nth: int = REPORT_SAMPLE) -> DataFrame:
@@ -97,7 +101,7 @@ def nth_sample(samples: DataFrame, keys: Sequence[str] = CITY, nth: int = REPORT
 def heatmap_cells(aligned: DataFrame, keys: Sequence[str] = CITY, nth: int = REPORT_SAMPLE) -> DataFrame:
     """First step of one sample, cell by cell: ``actual`` and rounded ``pred``."""
     first = nth_sample(aligned.where(F.col("step") == 0), keys, nth)
-    return first.select(*keys, "x", "y", "channel", "actual", ROUNDED.cast("long").alias("pred"))
+    return first.select(*keys, "x", "y", "channel", "actual", _rounded().cast("long").alias("pred"))
 
 
 def _part(df: DataFrame, keys: Sequence[str], metric: str, value: str, **at: str) -> DataFrame:
