@@ -31,7 +31,7 @@ from tripgrid.operators import (
 from tripgrid.operators.lookup import attach, lookup_join
 from tripgrid.plans import demand as demand_plan
 from tripgrid.plans import forecast as forecast_plan
-from tripgrid.session import Staged, pin_utc, shared_dir, stage
+from tripgrid.session import Staged, pin_utc, shared_dir, spread, stage
 from tripgrid.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,10 +71,13 @@ def _typed(spark: SparkSession, sf: str) -> DataFrame:
     return cleaning.parse_times(cleaning.cast_coords(fx.trips_fx(spark, sf)), fx.FORMATS)
 
 
-@lru_cache(maxsize=8)
-def _whole(spark: SparkSession, sf: str) -> DataFrame:
-    """Trips without zero lengths and nulls."""
-    return stage(cleaning.drop_nulls(cleaning.drop_zero_distance(_typed(spark, sf))), "whole").df
+def whole_trips(spark: SparkSession, sf: str) -> DataFrame:
+    """Trips without zero lengths and nulls; parsed once and stored as columns."""
+    typed = stage(spread(_typed(spark, sf)), "typed").df
+    return cleaning.drop_nulls(cleaning.drop_zero_distance(typed))
+
+
+_whole = lru_cache(maxsize=8)(whole_trips)
 
 
 @lru_cache(maxsize=8)
@@ -460,8 +463,7 @@ def cell_visits(spark, sf):
 @query
 def hourly_demand(spark, sf):
     """The whole chain from raw trips: starts and ends per cell and hour."""
-    whole = cleaning.drop_nulls(cleaning.drop_zero_distance(_typed(spark, sf)))
-    return demand_plan.demand_tables(whole).demand.df
+    return demand_plan.demand_tables(whole_trips(spark, sf)).demand.df
 
 
 @query

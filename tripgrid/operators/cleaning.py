@@ -41,8 +41,13 @@ def parse_times(df: DataFrame, formats: dict[str, str], columns: ColumnMap = Col
 
 
 def drop_zero_distance(df: DataFrame, columns: ColumnMap = ColumnMap()) -> DataFrame:
-    """Drop trips of length zero. A missing length is left to ``drop_nulls``."""
+    """Drop trips of length zero, given as a number or as text.
+
+    A missing length is left to ``drop_nulls``; text that is no number is kept.
+    """
     d = F.col(columns.distance)
+    if dict(df.dtypes)[columns.distance] == "string":
+        d = d.try_cast("double")
     return df.where(d.isNull() | (d != 0))
 
 

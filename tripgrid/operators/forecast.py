@@ -40,7 +40,7 @@ class Forecaster:
 
 def assemble(rows: DataFrame) -> DataFrame:
     """``features`` and ``label`` vectors from the output of ``lag_features``."""
-    inputs = F.concat(F.transform("lags", lambda v: v.cast("double")), F.col("time_features"))
+    inputs = F.concat(F.col("lags").cast("array<double>"), F.col("time_features"))
     return rows.select(array_to_vector(inputs).alias("features"), F.col("label").cast("double").alias("label"))
 
 
@@ -172,7 +172,7 @@ def forecast_recursive(samples: DataFrame, fitted: Forecaster, f: int) -> DataFr
     rest = [c for c in samples.columns if c not in ("features", "at")]
     recent = F.slice("features", F.size("features") - depth + 1, depth)
     checked = F.when(F.size("features") < depth, F.raise_error(F.lit("window is shorter than the longest lag"))).otherwise(
-        F.transform(recent, lambda v: v.cast("double"))
+        recent.cast("array<double>")
     )
     inputs = samples.select(*rest, checked.alias("features"), "at")
     schema = T.StructType([inputs.schema[c] for c in rest] + [T.StructField("yhat", T.ArrayType(T.DoubleType()))])

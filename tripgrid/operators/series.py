@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripgrid.config import HORIZON_HOURS, WINDOW_HOURS
@@ -100,27 +100,36 @@ def sliding_windows(
     count = n - w - f - gap + 1 if all_windows else n - w - f
     checked = F.when(n < w, F.raise_error(F.lit("window is longer than the series"))).otherwise(count)
     rest = [c for c in series.columns if c != value]
+    at = F.col("__at") + 1
+    return _positions(series, checked, w + gap + f, value, block).select(
+        *rest,
+        F.col("idx"),
+        F.slice("__part", at, w).alias("features"),
+        F.slice("__part", at + (w + gap), f).alias("labels"),
+    )
+
+
+def _positions(series: DataFrame, count: Column, reach: int, value: str, block: int) -> DataFrame:
+    """One row per ``idx`` below ``count``, with a piece ``__part`` of the series.
+
+    The values from ``idx`` on are at ``__at`` and after in the piece, ``reach`` of
+    them at least. Pieces cover ``block`` positions, so a row carries a short array
+    around and never the whole series.
+    """
+    rest = [c for c in series.columns if c != value]
     starts = F.when(F.col("__count") > 0, F.sequence(F.lit(0), F.col("__count") - 1, F.lit(block)))
-    blocks = (
-        series.withColumn("__count", checked)
-        .select(*rest, value, "__count", F.explode(starts).alias("__at"))
+    pieces = (
+        series.withColumn("__count", count)
+        .select(*rest, value, "__count", F.explode(starts).alias("__from"))
         .select(
             *rest,
-            "__at",
-            F.least(F.lit(block), F.col("__count") - F.col("__at")).alias("__len"),
-            F.slice(value, F.col("__at") + 1, block + w + gap + f).alias("__part"),
+            "__from",
+            F.least(F.lit(block), F.col("__count") - F.col("__from")).alias("__len"),
+            F.slice(value, F.col("__from") + 1, block + reach).alias("__part"),
         )
     )
-    offsets = F.sequence(F.lit(0), F.col("__len") - 1)
-    cut = F.transform(
-        offsets,
-        lambda i: F.struct(
-            (F.col("__at") + i).cast("long").alias("idx"),
-            F.slice("__part", i + 1, w).alias("features"),
-            F.slice("__part", i + (w + gap + 1), f).alias("labels"),
-        ),
-    )
-    return blocks.select(*rest, F.inline(cut))
+    each = pieces.select(*rest, "__from", "__part", F.explode(F.sequence(F.lit(0), F.col("__len") - 1)).alias("__at"))
+    return each.withColumn("idx", (F.col("__from") + F.col("__at")).cast("long"))
 
 
 def sliding_windows_gap(series: DataFrame, w: int, f: int, **how) -> DataFrame:
@@ -173,14 +182,15 @@ def lag_features(series: DataFrame, lags: Sequence[int], block: int = BLOCK) ->
     ``lags[j]`` is the count ``lags[j]`` hours earlier.
     """
     depth = max(lags)
-    cut = sliding_windows(series, depth, 1, all_windows=True, block=block)
-    hour = F.col("first_hour") + F.col("idx") + depth
-    back = F.array(*[F.get("features", F.lit(depth - k)) for k in lags])
-    rest = [c for c in cut.columns if c not in ("idx", "features", "labels")]
-    return cut.select(
+    short = F.raise_error(F.lit("longest lag is longer than the series"))
+    count = F.when(F.size("series") < depth, short).otherwise(F.size("series") - depth)
+    rest = [c for c in series.columns if c != "series"]
+    here = F.col("__at") + depth
+    hour = F.col("idx") + depth
+    return _positions(series, count, depth + 1, "series", block).select(
         *rest,
-        (F.col("idx") + depth).alias("hour"),
-        back.alias("lags"),
-        time_features(tag_to_ts(hour)).alias("time_features"),
-        F.get("labels", F.lit(0)).alias("label"),
+        hour.alias("hour"),
+        F.array(*[F.get("__part", here - k) for k in lags]).alias("lags"),
+        time_features(tag_to_ts(F.col("first_hour") + hour)).alias("time_features"),
+        F.get("__part", here).alias("label"),
     )

@@ -62,16 +62,20 @@ def stored_demand(tables: DemandTables, keys: Sequence[str] = CITY, time_base: s
 
 
 def read_city(spark: SparkSession, job: CityConfig, path: str | Sequence[str]) -> DataFrame:
-    """Typed, null-free trips of one city: the six needed columns and the reading order."""
+    """Typed trips of one city: the six needed columns and the reading order.
+
+    Nulls are dropped on the text. What fails to parse becomes null here and is for
+    the caller to drop once the columns are stored, so that nothing is parsed twice.
+    """
     c = job.columns
     texts = cleaning.repair_dates(readers.scan_trips(spark, path, c, job.city), c)
-    typed = cleaning.cast_coords(texts, c).withColumns(
+    whole = cleaning.drop_nulls(cleaning.drop_zero_distance(texts, c))
+    typed = cleaning.cast_coords(whole, c).withColumns(
         {t: parse_ts(F.col(t), job.time_format) for t in (c.start_time, c.end_time)}
     )
-    whole = cleaning.drop_nulls(cleaning.drop_zero_distance(typed, c))
     order = reading_order(F.col("file_ord"), F.col("row_ord"))
-    named = {t: F.col(f) for t, f in zip(_STANDARD, (c.start_time, c.end_time, *c.lats, *c.lons))}
-    return whole.select("city", order.alias("row_ord"), *[v.alias(k) for k, v in named.items()])
+    named = [F.col(f).alias(t) for t, f in zip(_STANDARD, (c.start_time, c.end_time, *c.lats, *c.lons))]
+    return typed.select("city", order.alias("row_ord"), *named)
 
 
 _STANDARD = (
@@ -86,8 +90,8 @@ def run_demand_job(spark: SparkSession, jobs: Sequence[CityConfig], paths: Mappi
     """
     pin_utc(spark)
     cities = [read_city(spark, job, paths[job.city]) for job in jobs]
-    trips = stage(reduce(DataFrame.unionByName, cities), "trips")
-    tables = demand_tables(trips.df, carry=("row_ord",))
+    trips = cleaning.drop_nulls(stage(reduce(DataFrame.unionByName, cities), "trips").df)
+    tables = demand_tables(trips, carry=("row_ord",))
     writers.write_demand(stored_demand(tables), f"{out}/demand")
     writers.write_trips(tables.gridded.drop("row_ord"), f"{out}/trips")
     writers.write_cells(grid.cell_table(tables.gridded, "row_ord"), f"{out}/cells")

@@ -60,3 +60,9 @@ def stage(df: DataFrame, label: str = "t") -> Staged:
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     return Staged(spark.read.schema(df.schema).parquet(path), int(seen.get["rows"]), path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan of one small file a task per core; larger scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
