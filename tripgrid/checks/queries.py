@@ -73,8 +73,8 @@ def _typed(spark: SparkSession, sf: str) -> DataFrame:
 
 def whole_trips(spark: SparkSession, sf: str) -> DataFrame:
     """Trips without zero lengths and nulls; parsed once and stored as columns."""
-    typed = stage(spread(_typed(spark, sf)), "typed").df
-    return cleaning.drop_nulls(cleaning.drop_zero_distance(typed))
+    typed = cleaning.computed_once(_typed(spark, sf))
+    return stage(spread(cleaning.drop_nulls(cleaning.drop_zero_distance(typed))), "whole").df
 
 
 _whole = lru_cache(maxsize=8)(whole_trips)

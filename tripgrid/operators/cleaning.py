@@ -52,8 +52,25 @@ def drop_zero_distance(df: DataFrame, columns: ColumnMap = ColumnMap()) -> DataF
 
 
 def drop_nulls(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
-    """Drop rows with a null or NaN in any column (of ``subset``)."""
-    return df.na.drop("any", subset=list(subset) if subset else None)
+    """Drop rows with a null or NaN in any column (of ``subset``).
+
+    One condition per column, because those reach the file scan.
+    """
+    types = dict(df.dtypes)
+    for c in subset or df.columns:
+        df = df.where(F.col(c).isNotNull())
+        if types[c] in ("double", "float"):
+            df = df.where(~F.isnan(c))
+    return df
+
+
+def computed_once(df: DataFrame) -> DataFrame:
+    """Keep later filters above the columns of ``df``.
+
+    A filter on a parsed column is otherwise moved below the parsing with a copy of
+    the expression, and every row is parsed twice.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
 def valid_ts_filter(df: DataFrame, column: str, fmt: str) -> DataFrame:

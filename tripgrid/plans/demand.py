@@ -62,11 +62,7 @@ def stored_demand(tables: DemandTables, keys: Sequence[str] = CITY, time_base: s
 
 
 def read_city(spark: SparkSession, job: CityConfig, path: str | Sequence[str]) -> DataFrame:
-    """Typed trips of one city: the six needed columns and the reading order.
-
-    Nulls are dropped on the text. What fails to parse becomes null here and is for
-    the caller to drop once the columns are stored, so that nothing is parsed twice.
-    """
+    """Typed, null-free trips of one city: the six needed columns and the reading order."""
     c = job.columns
     texts = cleaning.repair_dates(readers.scan_trips(spark, path, c, job.city), c)
     whole = cleaning.drop_nulls(cleaning.drop_zero_distance(texts, c))
@@ -75,7 +71,8 @@ def read_city(spark: SparkSession, job: CityConfig, path: str | Sequence[str]) -
     )
     order = reading_order(F.col("file_ord"), F.col("row_ord"))
     named = [F.col(f).alias(t) for t, f in zip(_STANDARD, (c.start_time, c.end_time, *c.lats, *c.lons))]
-    return typed.select("city", order.alias("row_ord"), *named)
+    once = cleaning.computed_once(typed.select("city", order.alias("row_ord"), *named))
+    return cleaning.drop_nulls(once)
 
 
 _STANDARD = (
@@ -90,7 +87,7 @@ def run_demand_job(spark: SparkSession, jobs: Sequence[CityConfig], paths: Mappi
     """
     pin_utc(spark)
     cities = [read_city(spark, job, paths[job.city]) for job in jobs]
-    trips = cleaning.drop_nulls(stage(reduce(DataFrame.unionByName, cities), "trips").df)
+    trips = stage(reduce(DataFrame.unionByName, cities), "trips").df
     tables = demand_tables(trips, carry=("row_ord",))
     writers.write_demand(stored_demand(tables), f"{out}/demand")
     writers.write_trips(tables.gridded.drop("row_ord"), f"{out}/trips")
