@@ -1,5 +1,6 @@
 """The jobs on files, from text to stored tables."""
 
+import os
 from dataclasses import replace
 
 import pytest
@@ -50,6 +51,7 @@ def test_running_again_replaces_only_the_named_city(spark, demand_set):
     before = readers.scan_demand(spark, f"{out}/demand").groupBy("city").count().orderBy("city").collect()
     demand_plan.run_demand_job(spark, jobs[:1], paths, out)
     assert readers.scan_demand(spark, f"{out}/demand").groupBy("city").count().orderBy("city").collect() == before
+    assert spark.read.parquet(f"{out}/dims").count() == 3
 
 
 def test_scan_demand_reads_one_folder(spark, demand_set):
@@ -128,11 +130,33 @@ def test_separate_date_columns(spark, tmp_path):
     job = replace(CITY_PRESETS["kansas_city"], columns=ColumnMap(start_date="start_date", end_date="end_date"))
     got = demand_plan.read_city(spark, job, f"{tmp_path}/t.csv").orderBy("row_ord")
     times = got.selectExpr("cast(start_time_utc as string)", "cast(end_time_utc as string)").collect()
-    assert [tuple(r) for r in times] == [("2024-01-02 10:00:00", "2024-01-02 11:30:00"), (None, "2024-01-02 11:30:00")]
+    assert [tuple(r) for r in times] == [("2024-01-02 10:00:00", "2024-01-02 11:30:00")]
     with pytest.raises(ValueError, match="lacks the columns"):
         readers.scan_trips(spark, f"{tmp_path}/t.csv", ColumnMap(start_lat="lat0"))
 
 
+def test_mixed_headers_are_not_read_as_one(spark, tmp_path):
+    head = "start_time_utc,end_time_utc,start_lat,start_lon,end_lat,end_lon,distance_miles"
+    (tmp_path / "1.csv").write_text(f"{head}\na,b,1,2,3,4,5\n")
+    (tmp_path / "2.csv").write_text(head.replace("start_lat,start_lon", "start_lon,start_lat") + "\na,b,1,2,3,4,5\n")
+    with pytest.raises(Exception, match="CSV header"):
+        readers.scan_trips(spark, f"{tmp_path}/*.csv").collect()
+    lats = readers.read_text_tables(spark, f"{tmp_path}/*.csv").orderBy("file_ord").select("start_lat").collect()
+    assert [r[0] for r in lats] == ["1", "2"]
+
+
+def test_jobs_leave_no_staged_tables(spark, demand_set):
+    jobs, paths, out = demand_set
+    root = shared_dir(spark)
+
+    def staged():
+        return {p for p in os.listdir(root) if p.startswith("tripgrid-")}
+
+    before = staged()
+    demand_plan.run_demand_job(spark, jobs[1:2], paths, out)
+    assert staged() == before
+
+
 def test_cell_table_sinks(spark, tmp_path):
     cells = spark.createDataFrame([("a", 1, 2, 0, 5)], "city string, x int, y int, cell_id long, visits long")
     writers.write_cells(cells, str(tmp_path / "c"), "csv")

@@ -15,7 +15,7 @@ from tripgrid.functions.order import reading_order
 from tripgrid.operators import cleaning, demand, grid
 from tripgrid.operators.cleaning import CITY
 from tripgrid.operators.lookup import attach
-from tripgrid.session import Staged, pin_utc, stage
+from tripgrid.session import Staged, pin_utc, scratch, stage
 from tripgrid.sources import readers, writers
 
 
@@ -80,20 +80,20 @@ _STANDARD = (
 )
 
 
-def run_demand_job(spark: SparkSession, jobs: Sequence[CityConfig], paths: Mapping[str, str], out: str) -> DemandTables:
+def run_demand_job(spark: SparkSession, jobs: Sequence[CityConfig], paths: Mapping[str, str], out: str) -> None:
     """All cities at once. Writes ``demand``, ``trips``, ``cells``, ``x_axis``, ``y_axis`` and ``dims``.
 
     The text is read once into columns; every later pass reads only what it needs.
     """
     pin_utc(spark)
-    cities = [read_city(spark, job, paths[job.city]) for job in jobs]
-    trips = stage(reduce(DataFrame.unionByName, cities), "trips").df
-    tables = demand_tables(trips, carry=("row_ord",))
-    writers.write_demand(stored_demand(tables), f"{out}/demand")
-    writers.write_trips(tables.gridded.drop("row_ord"), f"{out}/trips")
-    writers.write_cells(grid.cell_table(tables.gridded, "row_ord"), f"{out}/cells")
-    axes = {axis: stage(grid.axis_rank(tables.demand.df, axis), "axis").df for axis in ("x", "y")}
-    for axis, table in axes.items():
-        table.write.mode("overwrite").parquet(f"{out}/{axis}_axis")
-    grid.grid_dims(axes["x"], axes["y"]).write.mode("overwrite").parquet(f"{out}/dims")
-    return tables
+    with scratch(spark):
+        cities = [read_city(spark, job, paths[job.city]) for job in jobs]
+        trips = stage(reduce(DataFrame.unionByName, cities), "trips").df
+        tables = demand_tables(trips, carry=("row_ord",))
+        writers.write_demand(stored_demand(tables), f"{out}/demand")
+        writers.write_trips(tables.gridded.drop("row_ord"), f"{out}/trips")
+        axes = {axis: stage(grid.axis_rank(tables.demand.df, axis), "axis").df for axis in ("x", "y")}
+        writers.write_by_city(grid.cell_table(tables.gridded, "row_ord"), f"{out}/cells")
+        writers.write_by_city(axes["x"], f"{out}/x_axis")
+        writers.write_by_city(axes["y"], f"{out}/y_axis")
+        writers.write_by_city(grid.grid_dims(axes["x"], axes["y"]), f"{out}/dims")

@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from tripgrid.config import OD_ORIGIN
 from tripgrid.operators import stations as st
-from tripgrid.session import pin_utc, stage
+from tripgrid.session import pin_utc, scratch, stage
 from tripgrid.sources import readers, writers
 
 _TRIP_COLUMNS = (
@@ -29,11 +29,12 @@ def run_od_job(
     The trip text is read once and serves both the station table and the counts.
     """
     pin_utc(spark)
-    trips = stage(readers.scan_trips_drift(spark, trip_files).select(*_TRIP_COLUMNS), "odtrips").df
-    stations = stage(st.station_table(readers.scan_stations(spark, station_files), trips), "stations")
-    od, rejects = st.od_matrix(trips, stations, origin)
-    counts = stage(od, "od").df
-    writers.write_stations(stations.df, f"{out}/stations")
-    writers.write_od(counts, f"{out}/od")
-    st.fill_od_hours(st.od_hour_count(counts), origin).write.mode("overwrite").parquet(f"{out}/od_hours")
-    rejects.write.mode("overwrite").parquet(f"{out}/rejects")
+    with scratch(spark):
+        trips = stage(readers.scan_trips_drift(spark, trip_files).select(*_TRIP_COLUMNS), "odtrips").df
+        stations = stage(st.station_table(readers.scan_stations(spark, station_files), trips), "stations")
+        od, rejects = st.od_matrix(trips, stations, origin)
+        counts = stage(od, "od").df
+        writers.write_stations(stations.df, f"{out}/stations")
+        writers.write_od(counts, f"{out}/od")
+        st.fill_od_hours(st.od_hour_count(counts), origin).write.mode("overwrite").parquet(f"{out}/od_hours")
+        rejects.write.mode("overwrite").parquet(f"{out}/rejects")

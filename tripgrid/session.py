@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -34,9 +37,35 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
+def _file_system(spark: SparkSession, path: str):
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(hadoop)
+    return hadoop, hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    hadoop, files = _file_system(spark, path)
+    return files.exists(hadoop)
+
+
+_held: ContextVar[list[str] | None] = ContextVar("tripgrid_staged", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables staged inside the block when it ends, also after an error.
+
+    For jobs that leave their results elsewhere: staged trips can be as large as the
+    input.
+    """
+    paths: list[str] = []
+    token = _held.set(paths)
+    try:
+        yield
+    finally:
+        _held.reset(token)
+        for path in paths:
+            hadoop, files = _file_system(spark, path)
+            files.delete(hadoop, True)
 
 
 @dataclass(frozen=True)
@@ -57,6 +86,8 @@ def stage(df: DataFrame, label: str = "t") -> Staged:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tripgrid-{label}-{uuid.uuid4().hex}"
+    if (held := _held.get()) is not None:
+        held.append(path)
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     return Staged(spark.read.schema(df.schema).parquet(path), int(seen.get["rows"]), path)

@@ -17,6 +17,8 @@ from tripgrid.operators.lookup import lookup_join
 # Room for the rows of one partition in a row number. Row numbers within a partition
 # stay below 2**33, so this never overflows.
 _ROWS = 10**11
+# Largest list of file names to broadcast, some 200 bytes each.
+FILE_ROWS = 2_000_000
 
 
 def list_files(spark: SparkSession, paths: str | Sequence[str]) -> list[str]:
@@ -43,44 +45,59 @@ def _headers(spark: SparkSession, files: Sequence[str]) -> dict[tuple[str, ...],
     return groups
 
 
+def _in_reading_order(part: DataFrame) -> DataFrame:
+    """Text columns with null tokens removed, the file, and ``row_ord`` inside it.
+
+    ``row_ord`` grows with the row also when a file is read in several pieces.
+    """
+    piece = F.col("_metadata.file_block_start").cast("decimal(15,0)") * F.lit(_ROWS).cast("decimal(12,0)")
+    row = F.pmod(F.monotonically_increasing_id(), F.lit(2**33))
+    return part.select(
+        *[blank_to_null(F.col(c)).alias(c) for c in part.columns],
+        F.col("_metadata.file_path").alias("path"),
+        (piece + row.cast("decimal(11,0)")).cast("decimal(26,0)").alias("row_ord"),
+    )
+
+
+def _number_files(spark: SparkSession, df: DataFrame, files: Sequence[str]) -> DataFrame:
+    """Replace ``path`` by ``file_ord``, the place of the file by name."""
+    order = spark.createDataFrame([(p, i) for i, p in enumerate(files)], "path string, file_ord long")
+    return lookup_join(df, order, ["path"], max_rows=FILE_ROWS).drop("path")
+
+
 def read_text_tables(
     spark: SparkSession, paths: str | Sequence[str], rename: Mapping[str, str] | None = None
 ) -> DataFrame:
-    """Delimited files with a header each, as text columns in reading order.
+    """Delimited files whose headers may differ, as text columns in reading order.
 
     Files are grouped by header and read group by group, because one read over mixed
     headers would put values under wrong names. Columns are then renamed and stacked
-    by name. ``file_ord`` is the place of the file by name and ``row_ord`` grows with
-    the row inside it, also when a file is read in several pieces.
+    by name, with ``file_ord`` and ``row_ord``.
     """
     files = list_files(spark, paths)
-    order = spark.createDataFrame([(p, i) for i, p in enumerate(files)], "path string, file_ord long")
     parts = []
     for group in _headers(spark, files).values():
         part = spark.read.option("header", True).csv([unquote(p) for p in group])
-        texts = {c: blank_to_null(F.col(c)) for c in part.columns}
-        piece = F.col("_metadata.file_block_start").cast("decimal(15,0)") * F.lit(_ROWS).cast("decimal(12,0)")
-        row = F.pmod(F.monotonically_increasing_id(), F.lit(2**33))
-        part = part.select(
-            *[t.alias(c) for c, t in texts.items()],
-            F.col("_metadata.file_path").alias("path"),
-            (piece + row.cast("decimal(11,0)")).cast("decimal(26,0)").alias("row_ord"),
-        )
-        parts.append(part.withColumnsRenamed(dict(rename or {})))
+        parts.append(_in_reading_order(part).withColumnsRenamed(dict(rename or {})))
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return lookup_join(stacked, order, ["path"]).drop("path")
+    return _number_files(spark, stacked, files)
 
 
 def scan_trips(
     spark: SparkSession, path: str | Sequence[str], columns: ColumnMap = ColumnMap(), city: str | None = None
 ) -> DataFrame:
-    """Trip files of one city as text columns, with ``city`` and the reading order."""
-    trips = read_text_tables(spark, path)
+    """Trip files of one city as text columns, with ``city`` and the reading order.
+
+    The files of a city have one header; each task compares the header of its file
+    with it and fails on another one, so any number of files is a single read.
+    """
+    trips = spark.read.option("header", True).option("enforceSchema", False).csv(path)
     needed = {columns.start_time, columns.end_time, columns.distance, *columns.lats, *columns.lons}
     missing = needed - set(trips.columns)
     if missing:
         raise ValueError(f"trip file lacks the columns {sorted(missing)}")
-    return trips if city is None else trips.withColumn("city", F.lit(city))
+    ordered = _number_files(spark, _in_reading_order(trips), list_files(spark, path))
+    return ordered if city is None else ordered.withColumn("city", F.lit(city))
 
 
 def scan_trips_drift(

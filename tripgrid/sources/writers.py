@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _replace_cities(df: DataFrame, path: str) -> None:
+def write_by_city(df: DataFrame, path: str) -> None:
     """Overwrite the folders of the cities in ``df`` and leave the others alone.
 
     Rows are rebalanced by city first: a large city is spread over several files of
@@ -17,11 +17,11 @@ def _replace_cities(df: DataFrame, path: str) -> None:
 
 
 def write_demand(demand: DataFrame, path: str) -> None:
-    _replace_cities(demand, path)
+    write_by_city(demand, path)
 
 
 def write_trips(trips: DataFrame, path: str) -> None:
-    _replace_cities(trips, path)
+    write_by_city(trips, path)
 
 
 def write_cells(cells: DataFrame, path: str, fmt: str = "parquet") -> None:
