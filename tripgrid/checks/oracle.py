@@ -311,6 +311,9 @@ _FINAL = {
           lag(weighted, 3) OVER w AS l3, lag(weighted, 24) OVER w AS l24
         FROM hour_values WINDOW w AS (PARTITION BY city ORDER BY hour))
       WHERE hour >= 24""",
+    "encode_grid": """SELECT city, hour, x // 4 AS tx, y // 4 AS ty, round(sum(cnt * cnt)::DOUBLE, 6) AS energy
+      FROM demand GROUP BY ALL""",
+    "decode_grid": "SELECT * FROM demand",
     "score_forecast": "SELECT city, metric, channel, step, idx, round(value, 6) AS value FROM report",
     "heatmap_cells": """SELECT a.city, x, y, channel, actual, round_even(yhat, 0)::BIGINT AS pred
       FROM aligned a JOIN (SELECT city, least(20, max(idx)) AS k FROM aligned WHERE step = 0 GROUP BY city) m

@@ -41,6 +41,7 @@ KEYS = ("city",)
 W, H = 24, 5
 LAGS = (1, 2, 3, 24)
 STEPS = 5
+TILE = 4
 HIGH_VISITS = 12
 VISIT_SHARE = 0.99
 COORDS = ("start_lat", "start_lon", "end_lat", "end_lon")
@@ -796,18 +797,33 @@ def forecast_recursive(spark, sf):
     return _forecast(spark, sf, _fitted(spark, sf))
 
 
+def _full_encoder(spark: SparkSession, sf: str) -> latent.GridEncoder:
+    """As many components as columns, so that coding loses nothing and SQL can tell."""
+    return latent.fit_encoder(_counts(spark, sf), _hours_n(spark, sf), k=2 * TILE * TILE, tile=TILE)
+
+
 @query
 def encode_grid(spark, sf):
-    counts = _counts(spark, sf)
-    encoder = latent.fit_encoder(counts, _hours_n(spark, sf))
-    return latent.encode_grid(counts, encoder)
+    """Squared length of each tile vector, which an orthogonal code keeps."""
+    z = latent.encode_grid(_counts(spark, sf), _full_encoder(spark, sf))
+    length = F.aggregate(F.transform("z", lambda v: v * v), F.lit(0.0), lambda a, v: a + v)
+    return z.select("city", "hour", "tx", "ty", F.round(length, 6).alias("energy"))
 
 
 @query
 def decode_grid(spark, sf):
-    counts = _counts(spark, sf)
-    encoder = latent.fit_encoder(counts, _hours_n(spark, sf))
-    return latent.reconstruction_mse(counts, encoder, _hours_n(spark, sf))
+    """Counts that come back from the code."""
+    encoder = _full_encoder(spark, sf)
+    back = latent.decode_grid(latent.encode_grid(_counts(spark, sf), encoder), encoder)
+    cnt = numbers.round_pred(F.col("yhat")).cast("long")
+    return back.select("city", "hour", "channel", "x", "y", cnt.alias("cnt")).where(F.col("cnt") != 0)
+
+
+@query
+def reconstruction_mse(spark, sf):
+    """Error of a two-component code of the tiles."""
+    counts, hours = _counts(spark, sf), _hours_n(spark, sf)
+    return latent.reconstruction_mse(counts, latent.fit_encoder(counts, hours), hours)
 
 
 def _report(spark: SparkSession, sf: str) -> DataFrame:
