@@ -25,8 +25,10 @@ from tripgrid.session import pin_utc, stage  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-W, H = 74, 24
-LAGS = (1, 2, 3, 24, 48, 72)
+# Window and horizon of the work to compare with; every hour of the window is an input.
+W, H = 74, 200
+LAGS = tuple(range(1, W + 1))
+SHARE = 0.6
 
 
 def session() -> SparkSession:
@@ -77,21 +79,21 @@ def main() -> None:
 
     def windows():
         dense = series.stage_series(tables.demand.df, tables.frame)
-        cut = series.sliding_windows(dense, W, 200)
+        cut = series.sliding_windows(dense, W, H)
         run(cut.groupBy("city", "idx").agg(F.sum(F.get("features", F.lit(0))), F.sum(F.get("labels", F.lit(199)))))
         return dense
 
     def train():
-        rows = series.lag_features(series.split_series(dense, 0.9)[0], LAGS)
+        rows = series.lag_features(series.split_series(dense, SHARE)[0], LAGS)
         return forecast.fit_forecaster(rows, LAGS, solver="normal")
 
     def score():
-        test = series.split_series(dense, 0.7)[1]
+        test = series.split_series(dense, SHARE)[1]
         aligned = forecast.forecast_windows(series.sliding_windows(test, W, H), fitted, W, H)
         counts = tables.demand.df
         dims = stage(grid.grid_dims(grid.axis_rank(counts, "x"), grid.axis_rank(counts, "y")))
         span = tables.frame.df.withColumn("last_hour", F.col("last_hour") - 1)
-        run(evaluate.score_forecast(aligned, dims, forecast_plan.sample_counts(span, W, H, 0.7), H))
+        run(evaluate.score_forecast(aligned, dims, forecast_plan.sample_counts(span, W, H, SHARE), H))
 
     def encode():
         hours = tables.frame.df.select("city", (F.col("last_hour") - F.col("first_hour")).alias("n"))

@@ -1,6 +1,8 @@
 from datetime import datetime
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tripgrid.functions import dates, encoding, numbers
@@ -102,3 +104,27 @@ def test_time_features(spark):
     monday, sunday = values(spark, encoding.time_features(F.col("v")), rows, "v timestamp")
     assert monday == [1.0] + [0.0] * 6 + [1.0] + [0.0] * 11 + [1.0]
     assert sunday == [0.0] * 6 + [1.0] + [0.0] * 11 + [1.0] + [0.0]
+
+
+moments = st.datetimes(datetime(1971, 1, 1), datetime(2099, 12, 31)).map(lambda d: d.replace(microsecond=0))
+few = settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+
+
+@few
+@given(st.lists(moments, min_size=1, max_size=40))
+def test_printed_times_parse_back(spark, given_moments):
+    for fmt, keep in (("%Y-%m-%dT%H:%M:%SZ", "second"), ("%m/%d/%YT%H:%M:%S", "second"), ("%Y-%m-%dT%H:%M", "minute")):
+        rows = [(d, d.strftime(fmt)) for d in given_moments]
+        df = spark.createDataFrame(rows, "d timestamp, v string")
+        wrong = df.where(~dates.parse_ts(F.col("v"), fmt).eqNullSafe(F.date_trunc(keep, "d")))
+        assert wrong.count() == 0
+
+
+@few
+@given(st.lists(moments, min_size=1, max_size=40))
+def test_one_weekday_and_one_month_are_set(spark, given_moments):
+    df = spark.createDataFrame([(d,) for d in given_moments], "d timestamp").select("d", encoding.time_features(F.col("d")).alias("tf"))
+    for d, tf in df.collect():
+        assert tf[:7].index(1.0) == d.weekday() and sum(tf[:7]) == 1
+        assert tf[7:19].index(1.0) == d.month - 1 and sum(tf[7:19]) == 1
+        assert tf[19] == d.hour / 23

@@ -748,10 +748,10 @@ def split_random(spark, sf):
 def lag_features(spark, sf):
     rows = series.lag_features(_series(spark, sf), LAGS)
     weight = F.col("x") * 1009 + F.col("y") * 9176 + F.col("channel") * 31 + 1
-    lagged = [F.sum(weight * F.get("lags", F.lit(j))).alias(f"lag_{k}") for j, k in enumerate(LAGS)]
+    lagged = [F.sum(weight * F.get("lags", F.lit(j))).cast("long").alias(f"lag_{k}") for j, k in enumerate(LAGS)]
     return rows.groupBy("city", "hour").agg(
         *lagged,
-        F.sum(weight * F.col("label")).alias("label"),
+        F.sum(weight * F.col("label")).cast("long").alias("label"),
         F.max(F.array_position(F.slice("time_features", 1, 7), F.lit(1.0)) - 1).alias("weekday"),
         F.round(F.max(F.get("time_features", F.lit(19))), 6).alias("hour_share"),
     )

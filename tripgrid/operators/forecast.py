@@ -40,8 +40,7 @@ class Forecaster:
 
 def assemble(rows: DataFrame) -> DataFrame:
     """``features`` and ``label`` vectors from the output of ``lag_features``."""
-    inputs = F.concat(F.col("lags").cast("array<double>"), F.col("time_features"))
-    return rows.select(array_to_vector(inputs).alias("features"), F.col("label").cast("double").alias("label"))
+    return rows.select(array_to_vector(F.concat("lags", "time_features")).alias("features"), "label")
 
 
 def fit_forecaster(

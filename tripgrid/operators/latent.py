@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripgrid.operators.cleaning import CITY
-from tripgrid.operators.lookup import attach, lookup_join
+from tripgrid.operators.lookup import BROADCAST_ROWS, attach, lookup_join
 from tripgrid.session import Staged, stage
 
 TILE = 8
@@ -32,6 +32,11 @@ class GridEncoder:
     tile: int
     cells: Staged
 
+    @property
+    def broadcast_rows(self) -> int:
+        """Rows of ``cells`` that weigh as much as a broadcast of plain lookup rows."""
+        return BROADCAST_ROWS * 8 // (8 + self.k)
+
 
 def _tiled(demand: DataFrame, tile: int) -> DataFrame:
     side = F.lit(tile)
@@ -113,7 +118,7 @@ def encode_grid(demand: DataFrame, encoder: GridEncoder, keys: Sequence[str] = C
     """
     cells = encoder.cells
     loadings = Staged(cells.df.select(*keys, "x", "y", "channel", "tx", "ty", "loadings"), cells.rows, cells.path)
-    weighted = lookup_join(demand, loadings, [*keys, "x", "y", "channel"])
+    weighted = lookup_join(demand, loadings, [*keys, "x", "y", "channel"], max_rows=encoder.broadcast_rows)
     parts = [F.sum(F.col("cnt") * F.get("loadings", F.lit(i))) for i in range(encoder.k)]
     return weighted.groupBy(*keys, "hour", "tx", "ty").agg(F.array(*parts).alias("z"))
 
@@ -127,8 +132,7 @@ def decode_grid(latent: DataFrame, encoder: GridEncoder, keys: Sequence[str] = C
 
     In the hours a tile is absent from ``latent``, its cells decode to ``base``.
     """
-    cells = encoder.cells
-    wide = lookup_join(latent, cells, [*keys, "tx", "ty"])
+    wide = lookup_join(latent, encoder.cells, [*keys, "tx", "ty"], max_rows=encoder.broadcast_rows)
     return wide.select(
         *keys, "hour", "x", "y", "channel", (F.col("base") + _dot(F.col("loadings"), F.col("z"))).alias("yhat")
     )

@@ -176,10 +176,19 @@ def dense_grid(placed: DataFrame, dims: DataFrame | Staged, keys: Sequence[str]
     return seen.select(*keys, "hour", F.concat("seen", tail).alias("grid"))
 
 
+def _back(here: Column, lags: Sequence[int]) -> Column:
+    """The values ``lags`` positions before ``here``; a run 1..n is one slice."""
+    n = len(lags)
+    if list(lags) == list(range(1, n + 1)):
+        return F.reverse(F.slice("__part", here - n + 1, n))
+    return F.array(*[F.get("__part", here - k) for k in lags])
+
+
 def lag_features(series: DataFrame, lags: Sequence[int], block: int = BLOCK) -> DataFrame:
     """``hour, lags, time_features, label``: one row per hour that has all its lags.
 
-    ``lags[j]`` is the count ``lags[j]`` hours earlier.
+    ``lags[j]`` is the count ``lags[j]`` hours earlier. Counts are doubles here, cast
+    once per series and not once per use.
     """
     depth = max(lags)
     short = F.raise_error(F.lit("longest lag is longer than the series"))
@@ -187,10 +196,11 @@ def lag_features(series: DataFrame, lags: Sequence[int], block: int = BLOCK) ->
     rest = [c for c in series.columns if c != "series"]
     here = F.col("__at") + depth
     hour = F.col("idx") + depth
-    return _positions(series, count, depth + 1, "series", block).select(
+    doubles = series.withColumn("series", F.col("series").cast("array<double>"))
+    return _positions(doubles, count, depth + 1, "series", block).select(
         *rest,
         hour.alias("hour"),
-        F.array(*[F.get("__part", here - k) for k in lags]).alias("lags"),
+        _back(here, lags).alias("lags"),
         time_features(tag_to_ts(F.col("first_hour") + hour)).alias("time_features"),
         F.get("__part", here).alias("label"),
     )

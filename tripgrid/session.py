@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -32,9 +33,12 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="tripgrid-")
-    spark.conf.set(CHECKPOINT_DIR, own)
-    return own
+    return _own_dir(spark.sparkContext.applicationId)
+
+
+@lru_cache(maxsize=None)
+def _own_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"tripgrid-{application}-")
 
 
 def _file_system(spark: SparkSession, path: str):
