@@ -101,6 +101,7 @@ def test_od_job_with_drifting_headers(spark, sf, tmp_path):
     assert same(table, spark.read.parquet(f"{out}/stations"))
     od, rejects = stations.od_matrix(fx.station_trips_fx(spark, sf), table)
     assert same(od, spark.read.parquet(f"{out}/od")) and rejects.count() == spark.read.parquet(f"{out}/rejects").count() == 0
+    assert spark.read.parquet(f"{out}/early_trips").first()[0] == 0
     hours = spark.read.parquet(f"{out}/od_hours")
     assert hours.agg(F.sum("cnt")).first()[0] == od.agg(F.sum("trips")).first()[0] == trips.count()
 

@@ -24,7 +24,7 @@ def run_od_job(
     out: str,
     origin: str = OD_ORIGIN,
 ) -> None:
-    """Writes ``stations``, ``od``, ``od_hours`` and ``rejects`` (unknown stations).
+    """Writes ``stations``, ``od``, ``od_hours``, ``rejects`` (unknown stations) and ``early_trips``.
 
     The trip text is read once and serves both the station table and the counts.
     """
@@ -36,5 +36,7 @@ def run_od_job(
         counts = stage(od, "od").df
         writers.write_stations(stations.df, f"{out}/stations")
         writers.write_od(counts, f"{out}/od")
-        st.fill_od_hours(st.od_hour_count(counts), origin).write.mode("overwrite").parquet(f"{out}/od_hours")
+        hours = st.od_hour_count(counts)
+        st.fill_od_hours(hours, origin).write.mode("overwrite").parquet(f"{out}/od_hours")
+        st.trips_before_origin(hours).write.mode("overwrite").parquet(f"{out}/early_trips")
         rejects.write.mode("overwrite").parquet(f"{out}/rejects")
