@@ -68,8 +68,12 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     finally:
         _held.reset(token)
         for path in paths:
-            hadoop, files = _file_system(spark, path)
-            files.delete(hadoop, True)
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    hadoop, files = _file_system(spark, path)
+    files.delete(hadoop, True)
 
 
 @dataclass(frozen=True)
