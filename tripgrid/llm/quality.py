@@ -152,7 +152,8 @@ class Profile:
 
 def estimate(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, rows: int = SAMPLE_ROWS) -> Profile:
     total = docs.count()
-    held = stage(docs.select(text).sample(False, min(1.0, rows / max(total, 1)), SEED).coalesce(1), "sample")
+    # The scan keeps its tasks; only the sampled rows meet in one file.
+    held = stage(docs.select(text).sample(False, min(1.0, rows / max(total, 1)), SEED).repartition(1), "sample")
     df, body, words = _with_words(held.df, text)
     m = _Lazy(F.col(body), F.col(words))
 
