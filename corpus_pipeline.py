@@ -1,3 +1,67 @@
-STAGES = []
+"""Documents to packed token sequences: quality rules, near-duplicates, secrets, mixing, packing.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and
+read again as the next stage's documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tripgrid.llm import credentials, mixing, packing, quality, queries, simhash
+from tripgrid.llm.common import free, table
+from tripgrid.session import remove, shared_dir
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule rejects."""
+    return quality.filter_documents(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of SimHash near-duplicates, that with the smallest id."""
+    return simhash.keep_first(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a placeholder for every secret found; n_chars counts the new text."""
+    return credentials.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the target weights of domains, languages and sources take them."""
+    domain = free("domain", docs.columns)
+    mix = mixing.Mix(levels=(domain, "lang", "source"), weights=queries.MIX.weights)
+    return mixing.resample(docs.withColumn(domain, queries.domain_of(F.col("source"))), mix).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their ids and places in sequences of at most 1,024 tokens."""
+    return packing.pack(docs, queries.TOKENIZER)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near-duplicates", near_duplicates),
+    ("secret scan", secret_scan),
+    ("mix sources", mix_sources),
+    ("pack sequences", pack_sequences),
+]
+
+#: XXH64 and the tokenizer have no SQL; tests compare every stage with a brute-force version.
 ORACLE_SQL = None
-run = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the documents of ``sf_dir``."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES:
+        path = f"{shared_dir(spark)}/tripgrid-corpus-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
+    return docs
