@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tripgrid.session import stage
 
 TABLES = 8
-PROBES = 12
+PROBES = 16
 K = 20
 BLOCK = 2048
 SEED = 3

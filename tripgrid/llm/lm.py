@@ -47,7 +47,9 @@ WIDTH = 24
 CONTEXT = 2
 ROUNDS = 3
 RATE = 0.2
+# Noise samples and tokens of a gradient step, tokens scored at a time.
 NOISE = 64
+STEP = 512
 BATCH = 8192
 SEED = 5
 # Distinct words counted in a task before they are passed on.
@@ -212,6 +214,9 @@ class Model:
     def parts(self) -> dict[str, np.ndarray]:
         return {"context": self.context, "next": self.next, "scale": self.scale, "bias": self.bias}
 
+    def squares(self) -> dict[str, np.ndarray]:
+        return {name: np.full(p.shape, 1e-8, np.float32) for name, p in self.parts().items()}
+
     def hidden(self, contexts: np.ndarray) -> np.ndarray:
         return (self.context[contexts] * self.scale).sum(axis=1)
 
@@ -237,18 +242,20 @@ def _summed(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class Trainer:
-    """Noise-contrastive gradient steps with per-parameter rates (AdaGrad)."""
+    """Noise-contrastive gradient steps with per-parameter rates (AdaGrad).
+
+    ``squares`` are the gradients' squares summed so far, which later parts go on with.
+    """
 
-    def __init__(self, model: Model, weights: np.ndarray, rate: float, seed: int):
-        self.model, self.rate, self.rng = model, rate, np.random.default_rng(seed)
+    def __init__(self, model: Model, squares: dict[str, np.ndarray], weights: np.ndarray, seed: int):
+        self.model, self.squares, self.rng = model, squares, np.random.default_rng(seed)
         share = (weights + 1) / (weights + 1).sum()
         self.steps, self.noise = np.cumsum(share), np.log(NOISE * share).astype(np.float32)
-        self.squares = {name: np.full(p.shape, 1e-2, np.float32) for name, p in model.parts().items()}
 
     def _move(self, name: str, at, grad: np.ndarray) -> None:
         square = self.squares[name]
         square[at] += grad * grad
-        self.model.parts()[name][at] += self.rate * grad / np.sqrt(square[at])
+        self.model.parts()[name][at] += RATE * grad / np.sqrt(square[at])
 
     def step(self, contexts: np.ndarray, target: np.ndarray) -> None:
         m, n = self.model, np.float32(len(target))
@@ -282,36 +289,39 @@ def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 def train(encoded: DataFrame, weights: np.ndarray) -> Model:
     """A model of the training texts among ``encoded``, each read once."""
     model = Model.start(weights)
+    squares = model.squares()
     if not weights.any():
         return model
     part = F.pmod(F.xxhash64("row"), F.lit(ROUNDS))
     for k in range(ROUNDS):
-        shared = encoded.sparkSession.sparkContext.broadcast(model)
-        rate = RATE / (k + 1)
+        shared = encoded.sparkSession.sparkContext.broadcast((model, squares))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, rate=rate, k=k) -> Iterator[pa.RecordBatch]:
-            own = Model(**{name: p.copy() for name, p in shared.value.parts().items()})
-            trainer, seen = Trainer(own, weights, rate, SEED + k), 0
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, k=k) -> Iterator[pa.RecordBatch]:
+            start, sums = shared.value
+            own = Model(**{name: p.copy() for name, p in start.parts().items()})
+            trainer, seen = Trainer(own, {name: p.copy() for name, p in sums.items()}, weights, SEED + k), 0
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 classes, ends = _texts(batch)
                 contexts = contexts_of(classes, ends, len(weights))
-                for at in range(0, len(classes), BATCH):
-                    trainer.step(contexts[at : at + BATCH], classes[at : at + BATCH])
+                for at in range(0, len(classes), STEP):
+                    trainer.step(contexts[at : at + STEP], classes[at : at + STEP])
                 seen += len(classes)
             if seen:
                 for name, p in own.parts().items():
+                    both = np.column_stack((p, trainer.squares[name]))
                     columns = [pa.array([name] * len(p)), pa.array(np.arange(len(p))), pa.array([float(seen)] * len(p))]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(list(p), pa.list_(pa.float32()))], ["name", "i", "n", "v"])
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(list(both), pa.list_(pa.float32()))], ["name", "i", "n", "v"])
 
         mine = encoded.filter(~F.col("held_out") & (part == k)).select("classes")
         rows = mine.mapInArrow(run, "name string, i long, n double, v array<float>")
-        mean = F.array(*[F.sum(F.col("n") * F.get("v", F.lit(j))) / F.sum("n") for j in range(WIDTH)])
+        mean = F.array(*[F.sum(F.col("n") * F.get("v", F.lit(j))) / F.sum("n") for j in range(2 * WIDTH)])
         parts = {name: p.copy() for name, p in model.parts().items()}
         for row in rows.groupBy("name", "i").agg(mean.alias("v")).collect():
-            p = parts[row["name"]]
-            p[row["i"]] = row["v"][: p.shape[1]]
+            p, i = parts[row["name"]], row["i"]
+            width = p.shape[1]
+            p[i], squares[row["name"]][i] = row["v"][:width], row["v"][width : 2 * width]
         model = Model(**parts)
         shared.unpersist()
     return model
