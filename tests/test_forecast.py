@@ -153,3 +153,13 @@ def test_nth_sample_falls_back_to_the_last(spark):
     df = spark.createDataFrame([("a", i, 0) for i in range(30)] + [("b", i, 0) for i in range(5)], "city string, idx long, step int")
     got = sorted(tuple(r) for r in evaluate.nth_sample(df).collect())
     assert got == [("a", 20, 0), ("b", 4, 0)]
+
+
+def test_cells_the_encoder_never_saw_count(spark):
+    schema = "city string, hour long, channel int, x int, y int, cnt long"
+    train = spark.createDataFrame([("a", h, 0, 0, 0, h % 3) for h in range(6)], schema)
+    test = spark.createDataFrame([("a", 0, 0, 0, 0, 2), ("a", 1, 0, 9, 9, 3), ("a", 2, 1, 0, 0, 4)], schema)
+    n = spark.createDataFrame([("a", 6)], "city string, n long")
+    encoder = latent.fit_encoder(train, n, k=1, tile=2)
+    # The known cell is coded without loss; 9 and 16 are lost over three cells and six hours.
+    assert latent.reconstruction_mse(test, encoder, n).first()["mse"] == pytest.approx(25 / 18)

@@ -164,3 +164,17 @@ def test_cell_table_sinks(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).first()["visits"] == "5"
     writers.write_stations(cells, str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).count() == 1
+
+
+def test_quoted_fields_keep_their_neighbours(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('id,say,last\n1,"say ""hi"", ok",x\n2,"a,b",y\n3,plain,z\n')
+    got = readers.read_text_tables(spark, f"{tmp_path}/*.csv").orderBy("row_ord").select("id", "say", "last").collect()
+    assert [tuple(r) for r in got] == [("1", 'say "hi", ok', "x"), ("2", "a,b", "y"), ("3", "plain", "z")]
+
+
+def test_files_that_appear_later_are_noticed(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("id\n1\n")
+    (tmp_path / "2.csv").write_text("id\n2\n")
+    part = readers._in_reading_order(readers._csv(spark).csv(f"{tmp_path}/*.csv"))
+    with pytest.raises(Exception, match="appeared while it was read"):
+        readers._number_files(spark, part, readers.list_files(spark, f"{tmp_path}/1.csv")).collect()

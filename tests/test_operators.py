@@ -373,3 +373,40 @@ def test_scores(spark, aligned):
     assert total == pytest.approx(evaluate.mse(aligned, dims, samples, 2).first()["mse"])
     assert report.where("metric = 'training_loss'").first()["value"] == 0.5
     assert evaluate.series_loss(report).count() == 7 and evaluate.series_total_demand(report).count() == 4
+
+
+def test_counts_outside_the_calendar_have_no_place(spark):
+    """A count before the first hour or behind the last one moves no other count."""
+    counts = spark.createDataFrame(
+        [("a", h, 0, 1, 1, c) for h, c in ((-3, 9), (2, 4), (4, 1), (6, 8))] + [("a", -1, 1, 2, 2, 5)],
+        "city string, hour long, channel int, x int, y int, cnt long",
+    )
+    span = spark.createDataFrame([("a", 0, 5)], "city string, first_hour long, last_hour long")
+    got = {r["x"]: list(r["series"]) for r in series.dense_series(counts, span, drop_last=False).collect()}
+    assert got == {1: [0, 0, 4, 0, 1, 0], 2: [0] * 6}
+
+
+def test_grids_of_empty_hours(spark):
+    placed = spark.createDataFrame([("a", 1, 0, 0, 1, 5)], "city string, hour long, channel int, x_idx long, y_idx long, cnt long")
+    dims = spark.createDataFrame([("a", 1, 2)], "city string, nx long, ny long")
+    hours = spark.createDataFrame([("a", h) for h in range(3)], "city string, hour long")
+    got = {r["hour"]: list(r["grid"]) for r in series.dense_grid(placed, dims, calendar=hours).collect()}
+    assert got == {0: [0] * 4, 1: [0, 5, 0, 0], 2: [0] * 4}
+
+
+def test_trips_that_cannot_be_placed_are_rejected(spark):
+    rows = [
+        ("7/7/2016 5:00", "3005.0", "3006"), ("not a time", "3005", "3006"), ("7/7/2016 6:00", "depot", "3006"),
+        ("7/7/2016 6:00", "3005.5", "3006"), ("7/7/2016 6:10", "3005", "9"), (None, None, "3006"),
+    ]
+    trips = spark.createDataFrame(rows, "start_time string, start_station string, end_station string")
+    table = spark.createDataFrame([(3005, 0), (3006, 1)], "id int, tidx long")
+    od, rejects = stations.od_matrix(trips, table)
+    hours = stations.od_hour_count(od)
+    assert od.agg(F.sum("trips")).first()[0] == hours.agg(F.sum("cnt")).first()[0] == 1
+    assert od.where("hour is null").count() == 0
+    lost = {(r["reason"], r["start_time_text"], r["start_station_text"]) for r in rejects.collect()}
+    assert lost == {
+        ("time", "not a time", None), ("station", None, "depot"), ("station", None, "3005.5"), ("station", None, None), ("time", None, None),
+    }
+    assert rejects.agg(F.sum("trips")).first()[0] == 5

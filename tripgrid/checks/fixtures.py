@@ -31,10 +31,16 @@ def _print_by_city(ts: Column, city: Column) -> Column:
     return F.coalesce(*texts)
 
 
+def _with_gaps(ts: Column) -> Column:
+    """Trips of two hours in 29 start two hours later, which leaves hours without any."""
+    gap = F.floor(F.unix_seconds(ts) / 3600) % 29
+    return F.when(gap.isin(7, 8), F.timestamp_seconds(F.unix_seconds(ts) + 7200)).otherwise(ts)
+
+
 def trips_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grid trips in the text layouts of three cities, with planted bad rows."""
+    """Grid trips in the text layouts of three cities, with planted bad rows and empty hours."""
     e = table(spark, sf_dir, "events")
-    i, ts = F.col("event_id"), F.col("ts").cast("timestamp")
+    i, ts = F.col("event_id"), _with_gaps(F.col("ts").cast("timestamp"))
     stop = F.timestamp_seconds(F.unix_seconds(ts) + (i % 50) * 60)
     far_lat = F.when(i % 500 == 3, 5.0).otherwise(0.0)
     far_lon = F.when(i % 700 == 9, 7.0).otherwise(0.0)

@@ -22,10 +22,11 @@ _CTES = {
     -86.30e0 + ((event_id * 32452843) % 600) / 10000e0 + 3e-5
       + CASE WHEN event_id % 700 = 9 THEN 7e0 ELSE 0e0 END AS end_lon,
     CASE WHEN event_id % 97 = 0 THEN 0e0 ELSE value END AS distance_miles
-  FROM (SELECT *, date_trunc('second', ts) AS ts0,
-          date_trunc('second', ts) + to_minutes(event_id % 50) AS ts1,
+  FROM (SELECT *, moved + to_minutes(event_id % 50) AS ts1, moved AS ts0,
           CASE event_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS city
-        FROM events)""",
+        FROM (SELECT *, date_trunc('second', ts) + to_hours(
+            CASE WHEN epoch(date_trunc('second', ts))::BIGINT // 3600 % 29 IN (7, 8) THEN 2 ELSE 0 END) AS moved
+          FROM events))""",
     "typed": """
   SELECT * REPLACE (
     CASE city WHEN 'a' THEN try_strptime(start_time_utc, '%Y-%m-%dT%H:%M:%SZ')
@@ -232,9 +233,11 @@ _FINAL = {
     "project_needed": f"""SELECT city, strftime(start_time_utc, {_FMT}) AS start_time_utc, strftime(end_time_utc, {_FMT}) AS end_time_utc,
       round(start_lat, 6) AS start_lat, round(start_lon, 6) AS start_lon, round(end_lat, 6) AS end_lat, round(end_lon, 6) AS end_lon FROM typed""",
     "rename_cols": """SELECT trip_id, start_station AS id, round(start_lat, 6) AS lat, round(start_lon, 6) AS lon, start_time AS time FROM station_trips""",
-    "dense_grid": """SELECT city, hour, (2 * any_value(nx) * any_value(ny))::INTEGER AS cells, sum(cnt)::BIGINT AS total,
-      sum(cnt * ((channel * nx + x_idx) * ny + y_idx))::BIGINT AS placed_total
-      FROM demand JOIN x_axis USING (city, x) JOIN y_axis USING (city, y) JOIN dims USING (city) GROUP BY city, hour""",
+    "dense_grid": """SELECT h.city, h.hour, (2 * any_value(nx) * any_value(ny))::INTEGER AS cells, coalesce(sum(cnt), 0)::BIGINT AS total,
+      coalesce(sum(cnt * ((channel * nx + x_idx) * ny + y_idx)), 0)::BIGINT AS placed_total
+      FROM hours h JOIN dims USING (city) LEFT JOIN demand d ON d.city = h.city AND d.hour = h.hour
+      LEFT JOIN x_axis a ON a.city = d.city AND a.x = d.x LEFT JOIN y_axis b ON b.city = d.city AND b.y = d.y
+      GROUP BY h.city, h.hour""",
     "drop_zero_distance": "SELECT trip_id, round(distance_miles, 6) AS distance_miles FROM trips_fx WHERE distance_miles <> 0",
     "drop_nulls": "SELECT trip_id, round(end_lat, 6) AS end_lat FROM trips_fx WHERE end_lat IS NOT NULL AND distance_miles IS NOT NULL",
     "zscore_filter": "SELECT trip_id, city FROM clean",

@@ -389,7 +389,8 @@ def rename_cols(spark, sf):
 def dense_grid(spark, sf):
     counts = _counts(spark, sf)
     placed = grid.axis_lookup(counts, grid.axis_rank(counts, "x"), grid.axis_rank(counts, "y"))
-    dense = series.dense_grid(placed, _dims(spark, sf))
+    calendar = demand.hour_calendar(_tables(spark, sf).frame)
+    dense = series.dense_grid(placed, _dims(spark, sf), calendar=calendar)
     at = F.transform("grid", lambda v, i: v * i)
     return dense.select(
         "city",

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -141,28 +142,33 @@ def decode_grid(latent: DataFrame, encoder: GridEncoder, keys: Sequence[str] = C
 def reconstruction_mse(
     demand: DataFrame, encoder: GridEncoder, hours: DataFrame | Staged, keys: Sequence[str] = CITY
 ) -> DataFrame:
-    """``mse`` of decode(encode(demand)) over all known cells and all ``n`` hours.
+    """``mse`` of decode(encode(demand)) over all cells and all ``n`` hours.
 
-    Only hours in which a tile had trips are decoded; the others differ from zero by
-    ``base`` alone and are added as a count.
+    Nothing is decoded. The loadings of a tile are orthonormal and ``base`` is
+    orthogonal to them, so the squared error of an hour is cnt² - z² - 2 cnt base +
+    base², each summed over the tile. A cell the encoder never saw decodes to zero: it
+    adds its cnt² and counts like the others.
     """
-    latent = stage(encode_grid(demand, encoder, keys), "latent").df
-    place = [*keys, "hour", "x", "y", "channel"]
-    seen = (
-        decode_grid(latent, encoder, keys)
-        .join(demand.select(*place, "cnt"), place, "left")
-        .groupBy(*keys)
-        .agg(F.sum(F.pow(F.col("yhat") - F.coalesce("cnt", F.lit(0)), F.lit(2))).alias("se_seen"))
-    )
-    tiles = encoder.cells.df.groupBy(*keys, "tx", "ty").agg(
-        F.sum(F.pow("base", F.lit(2))).alias("quiet"), F.count(F.lit(1)).alias("cells")
+    cells = encoder.cells
+    place = [*keys, "x", "y", "channel"]
+    bases = Staged(cells.df.select(*place, F.col("base").alias("__base")), cells.rows, cells.path)
+    beside = lookup_join(demand.select(*place, "cnt"), bases, place, "left", max_rows=encoder.broadcast_rows)
+    # Counts are combined per cell first, so a busy cell is one row per task.
+    seen = beside.groupBy(*place).agg(
+        F.sum(F.pow(F.col("cnt"), F.lit(2)) - 2 * F.col("cnt") * F.coalesce("__base", F.lit(0.0))).alias("se"),
+        F.max(F.col("__base").isNull().cast("int")).alias("cells"),
     )
-    busy = latent.groupBy(*keys, "tx", "ty").agg(F.count(F.lit(1)).alias("busy"))
-    per_tile = attach(tiles.join(busy, [*keys, "tx", "ty"], "left"), hours, keys)
-    rest = per_tile.groupBy(*keys).agg(
-        F.sum(F.col("quiet") * (F.col("n") - F.coalesce("busy", F.lit(0)))).alias("se_quiet"),
-        F.sum(F.col("cells") * F.col("n")).alias("values"),
+    energy = encode_grid(demand, encoder, keys).select(*keys, (-_dot(F.col("z"), F.col("z"))).alias("se"))
+    quiet = cells.df.select(*keys, F.pow("base", F.lit(2)).alias("quiet"))
+    zero, none = F.lit(0.0), F.lit(0)
+    parts = [
+        seen.select(*keys, "se", zero.alias("quiet"), "cells"),
+        energy.select(*keys, "se", zero.alias("quiet"), none.alias("cells")),
+        quiet.select(*keys, zero.alias("se"), "quiet", F.lit(1).alias("cells")),
+    ]
+    total = reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(
+        F.sum("se").alias("se"), F.sum("quiet").alias("quiet"), F.sum("cells").alias("cells")
     )
-    total = attach(seen, rest, keys)
-    mean = F.try_divide(F.col("se_seen") + F.col("se_quiet"), F.col("values").cast("double"))
-    return total.select(*keys, mean.alias("mse"))
+    sized = attach(total, hours, keys)
+    error = F.greatest(F.col("se") + F.col("quiet") * F.col("n"), F.lit(0.0))
+    return sized.select(*keys, F.try_divide(error, (F.col("cells") * F.col("n")).cast("double")).alias("mse"))

@@ -29,6 +29,8 @@ def dense_series(
 ) -> DataFrame:
     """``x, y, channel, first_hour, series``: counts for hours 0..n-1, zeros included.
 
+    Counts of hours outside these are left out.
+
     Each stored count brings the zeros since the previous one along as an array, so
     the zeros never exist as rows. The window and the grouping share one shuffle.
     """
@@ -37,11 +39,13 @@ def dense_series(
     size = F.col("last_hour") - F.col("first_hour") + (0 if drop_last else 1)
     cell = [*keys, "x", "y", "channel"]
     ordered = Window.partitionBy(*cell).orderBy("hour")
-    gap = F.col("hour") - F.coalesce(F.lag("hour").over(ordered), F.lit(-1)) - 1
+    before = F.greatest(F.coalesce(F.lag("hour").over(ordered), F.lit(-1)), F.lit(-1))
     zero = F.lit(0).cast("long")
-    pieces = attach(demand, bounds, keys).withColumn(
-        "piece", F.concat(F.array_repeat(zero, gap.cast("int")), F.array("cnt"))
-    )
+    # Counts outside the calendar keep their cell but have no place in its series.
+    inside = (F.col("hour") >= 0) & (F.col("hour") < size)
+    zeros = F.array_repeat(zero, (F.col("hour") - F.col("__before") - 1).cast("int"))
+    piece = F.when(inside, F.concat(zeros, F.array("cnt"))).otherwise(F.array().cast("array<bigint>"))
+    pieces = attach(demand, bounds, keys).withColumn("__before", before).withColumn("piece", piece)
     joined = pieces.groupBy(*cell).agg(
         F.flatten(F.array_sort(F.collect_list(F.struct("hour", "piece")))["piece"]).alias("seen"),
         F.first("first_hour").alias("first_hour"),
@@ -155,25 +159,36 @@ def sample_time_features(hours: DataFrame) -> DataFrame:
     return hours.withColumn("time_features", F.transform("hours", time_features)).drop("hours")
 
 
-def dense_grid(placed: DataFrame, dims: DataFrame | Staged, keys: Sequence[str] = CITY) -> DataFrame:
+def dense_grid(
+    placed: DataFrame, dims: DataFrame | Staged, keys: Sequence[str] = CITY, calendar: DataFrame | None = None
+) -> DataFrame:
     """``hour, grid``: one flat array per hour ordered by channel, ``x_idx``, ``y_idx``.
 
     ``placed`` has the matrix position of each cell and ``dims`` the matrix size. Built
-    by position like a series: a hot hour costs its own matrix and no more.
+    by position like a series: a hot hour costs its own matrix and no more. With a
+    ``calendar`` of hours there is a grid for each of them, of zeros if it saw no trips,
+    and for no other hour.
     """
-    sized = attach(placed, dims, keys)
+    held = dims if isinstance(dims, Staged) else stage(dims, "dims")
+    sized = attach(placed, held, keys)
     place = ((F.col("channel") * F.col("nx") + F.col("x_idx")) * F.col("ny") + F.col("y_idx")).cast("long")
     sized = sized.withColumn("place", place)
     ordered = Window.partitionBy(*keys, "hour").orderBy("place")
     gap = F.col("place") - F.coalesce(F.lag("place").over(ordered), F.lit(-1)) - 1
     zero = F.lit(0).cast("long")
+    size = (2 * F.col("nx") * F.col("ny")).cast("int")
     pieces = sized.withColumn("piece", F.concat(F.array_repeat(zero, gap.cast("int")), F.array("cnt")))
     seen = pieces.groupBy(*keys, "hour").agg(
         F.flatten(F.array_sort(F.collect_list(F.struct("place", "piece")))["piece"]).alias("seen"),
-        F.first(2 * F.col("nx") * F.col("ny")).cast("int").alias("size"),
+        F.first(size).alias("size"),
     )
     tail = F.array_repeat(zero, F.col("size") - F.size("seen"))
-    return seen.select(*keys, "hour", F.concat("seen", tail).alias("grid"))
+    grids = seen.select(*keys, "hour", F.concat("seen", tail).alias("grid"))
+    if calendar is None:
+        return grids
+    empty = attach(calendar.select(*keys, "hour"), held, keys)
+    whole = empty.select(*keys, "hour", size.alias("size")).join(grids, [*keys, "hour"], "left")
+    return whole.select(*keys, "hour", F.coalesce("grid", F.array_repeat(zero, F.col("size"))).alias("grid"))
 
 
 def _back(here: Column, lags: Sequence[int]) -> Column:

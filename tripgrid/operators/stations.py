@@ -17,6 +17,12 @@ from tripgrid.session import Staged, stage
 STATION_COLUMNS = ("lat", "lon", "datetime")
 
 
+def station_id(printed: Column) -> Column:
+    """A station id as an integer; a column with blanks is often printed as ``3005.0``."""
+    whole = printed.try_cast("double")
+    return F.coalesce(printed.try_cast("int"), F.when(whole == F.floor(whole), whole.try_cast("int")))
+
+
 def station_first(sightings: DataFrame, columns: Sequence[str] = STATION_COLUMNS, rank: str = "src") -> DataFrame:
     """Per ``id`` and column, the first value that is not null, by (``rank``, ``ord``).
 
@@ -41,7 +47,7 @@ def _sightings(df: DataFrame, src: int, order: Column) -> DataFrame:
     A time text that cannot be read still counts as a value: it wins and is null.
     """
     return df.select(
-        F.col("id").try_cast("int").alias("id"),
+        station_id(F.col("id")).alias("id"),
         F.lit(src).alias("src"),
         order.alias("ord"),
         F.col("lat").cast("double").alias("lat"),
@@ -97,24 +103,35 @@ def station_table(stations: DataFrame, trips: DataFrame) -> DataFrame:
     return station_index(station_first(union_stations(stations, trips)))
 
 
+UNREAD = ("start_time", "start_station", "end_station")
+
+
 def tag_trips(trips: DataFrame, origin: str = OD_ORIGIN) -> DataFrame:
-    """The columns OD counting needs: ``hour, start_station, end_station``."""
-    return trips.select(
+    """The columns OD counting needs: ``hour, start_station, end_station``.
+
+    What cannot be read is null there, and its text is kept as ``..._text``.
+    """
+    read = trips.select(
         hour_tag_origin(parse_ts_multi(F.col("start_time")), origin).alias("hour"),
-        F.col("start_station").try_cast("int").alias("start_station"),
-        F.col("end_station").try_cast("int").alias("end_station"),
+        station_id(F.col("start_station")).alias("start_station"),
+        station_id(F.col("end_station")).alias("end_station"),
+        *[F.col(c).cast("string").alias(f"{c}_text") for c in UNREAD],
     )
+    known = dict(zip(UNREAD, ("hour", "start_station", "end_station")))
+    return read.withColumns({f"{c}_text": F.when(F.col(k).isNull(), F.col(f"{c}_text")) for c, k in known.items()})
 
 
 def od_station_counts(tagged: DataFrame) -> DataFrame:
-    """Trips per hour and station pair, before any lookup."""
-    return tagged.groupBy("hour", "start_station", "end_station").agg(F.count(F.lit(1)).alias("trips"))
+    """Trips per hour and station pair, before any lookup; texts that were not read stay apart."""
+    texts = [f"{c}_text" for c in UNREAD]
+    return tagged.groupBy("hour", "start_station", "end_station", *texts).agg(F.count(F.lit(1)).alias("trips"))
 
 
 def station_lookup(counts: DataFrame, stations: DataFrame | Staged, **join) -> tuple[DataFrame, DataFrame]:
     """Replace both station ids by their index.
 
-    Returns the matched rows, and the rows that name an unknown station.
+    Returns the matched rows, and the rows that cannot be placed with their ``reason``:
+    no readable start ``time``, or an unknown ``station``.
     """
     held = stations if isinstance(stations, Staged) else stage(stations, "stations")
 
@@ -124,9 +141,10 @@ def station_lookup(counts: DataFrame, stations: DataFrame | Staged, **join) -> t
 
     both = lookup_join(counts, index_of("start", "o_idx"), ["start_station"], "left", **join)
     both = lookup_join(both, index_of("end", "d_idx"), ["end_station"], "left", **join)
-    known = F.col("o_idx").isNotNull() & F.col("d_idx").isNotNull()
-    found = both.where(known).drop("start_station", "end_station")
-    return found, both.where(~known).drop("o_idx", "d_idx")
+    known = F.col("hour").isNotNull() & F.col("o_idx").isNotNull() & F.col("d_idx").isNotNull()
+    found = both.where(known).drop("start_station", "end_station", *[f"{c}_text" for c in UNREAD])
+    reason = F.when(F.col("hour").isNull(), "time").otherwise("station").alias("reason")
+    return found, both.where(~known).drop("o_idx", "d_idx").select("*", reason)
 
 
 def _with_date(df: DataFrame, origin: str) -> DataFrame:

@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from tripgrid.config import STATION_RENAMES, ColumnMap
@@ -21,6 +21,11 @@ _ROWS = 10**11
 FILE_ROWS = 2_000_000
 
 
+def _csv(spark: SparkSession) -> DataFrameReader:
+    """Fields may be quoted and may then hold commas and doubled quotes, but no line breaks."""
+    return spark.read.option("header", True).option("escape", '"')
+
+
 def list_files(spark: SparkSession, paths: str | Sequence[str]) -> list[str]:
     """Files behind paths or patterns, in name order, as the metadata column prints them.
 
@@ -35,7 +40,7 @@ def _headers(spark: SparkSession, files: Sequence[str]) -> dict[tuple[str, ...],
     """Files grouped by their header line; Spark reads one line of each."""
 
     def columns(path: str) -> tuple[str, ...]:
-        return tuple(spark.read.option("header", True).csv(unquote(path)).columns)
+        return tuple(_csv(spark).csv(unquote(path)).columns)
 
     with ThreadPoolExecutor(16) as pool:
         heads = list(pool.map(columns, files))
@@ -60,9 +65,14 @@ def _in_reading_order(part: DataFrame) -> DataFrame:
 
 
 def _number_files(spark: SparkSession, df: DataFrame, files: Sequence[str]) -> DataFrame:
-    """Replace ``path`` by ``file_ord``, the place of the file by name."""
+    """Replace ``path`` by ``file_ord``, the place of the file by name.
+
+    A row of a file that was not there yet when the files were listed fails the read.
+    """
     order = spark.createDataFrame([(p, i) for i, p in enumerate(files)], "path string, file_ord long")
-    return lookup_join(df, order, ["path"], max_rows=FILE_ROWS).drop("path")
+    found = lookup_join(df, order, ["path"], "left", max_rows=FILE_ROWS)
+    late = F.raise_error(F.concat(F.lit("file appeared while it was read: "), "path")).cast("long")
+    return found.withColumn("file_ord", F.coalesce("file_ord", late)).drop("path")
 
 
 def read_text_tables(
@@ -77,7 +87,7 @@ def read_text_tables(
     files = list_files(spark, paths)
     parts = []
     for group in _headers(spark, files).values():
-        part = spark.read.option("header", True).csv([unquote(p) for p in group])
+        part = _csv(spark).csv([unquote(p) for p in group])
         parts.append(_in_reading_order(part).withColumnsRenamed(dict(rename or {})))
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return _number_files(spark, stacked, files)
@@ -91,7 +101,7 @@ def scan_trips(
     The files of a city have one header; each task compares the header of its file
     with it and fails on another one, so any number of files is a single read.
     """
-    trips = spark.read.option("header", True).option("enforceSchema", False).csv(path)
+    trips = _csv(spark).option("enforceSchema", False).csv(path)
     needed = {columns.start_time, columns.end_time, columns.distance, *columns.lats, *columns.lons}
     missing = needed - set(trips.columns)
     if missing:
