@@ -2,8 +2,60 @@
 
 from __future__ import annotations
 
-SPACE = r"[\x20\x09-\x0D]+"
-WORDS = f"list_filter(string_split_regex(coalesce(text, ''), '{SPACE}'), lambda w: w <> '')"
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+# Each level of the mix: its columns, the columns of the level above, and the weight of a node.
+_LEVELS = (
+    ("domain", "", "CASE domain WHEN 'web' THEN 50e0 WHEN 'forum' THEN 30e0 ELSE 20e0 END"),
+    ("domain, lang", "domain", "CASE lang WHEN 'en' THEN 60e0 WHEN 'de' THEN 15e0 WHEN 'fr' THEN 15e0 WHEN 'es' THEN 10e0 ELSE 1e0 END"),
+    ("domain, lang, source", "domain, lang", "CASE source WHEN 'src0' THEN 8e0 ELSE 1e0 END"),
+)
+
+
+def _mix() -> str:
+    """Budgets level by level: siblings by capacity per weight, full up to the common level."""
+    parts = [
+        f"""docs AS (
+            SELECT doc_id, lang, source, len({_WORDS}) AS n,
+                CASE WHEN source IN ('src10', 'src11', 'src12', 'src13', 'src14') THEN 'forum'
+                    WHEN source IN ('src15', 'src16', 'src17', 'src18', 'src19') THEN 'books' ELSE 'web' END AS domain,
+                md5(concat_ws('|', doc_id::VARCHAR, coalesce(text, ''))) AS own
+            FROM documents
+        ), leaves AS (SELECT domain, lang, source, sum(n)::BIGINT AS tokens FROM docs GROUP BY ALL)"""
+    ]
+    for k, (own, parent, weight) in enumerate(_LEVELS):
+        group = f"PARTITION BY {parent}" if parent else ""
+        sort = f"ORDER BY cap / weight, {own}"
+        budget = f"(SELECT share FROM level{k - 1} u WHERE {' AND '.join(f'u.{c} = n.{c}' for c in parent.split(', '))})" if parent else "(SELECT sum(tokens)::DOUBLE FROM leaves)"
+        parts.append(
+            f"""nodes{k} AS (SELECT {own}, (sum(tokens) * 2)::DOUBLE AS cap, {weight} AS weight FROM leaves GROUP BY {own}),
+            summed{k} AS (
+                SELECT n.*, ({budget} - coalesce(sum(cap) OVER ({group} {sort} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0))
+                    / sum(weight) OVER ({group} {sort} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS height
+                FROM nodes{k} n
+            ), level{k} AS (
+                SELECT *, CASE WHEN cap <= weight * height THEN cap
+                    ELSE weight * max(CASE WHEN cap > weight * height THEN height END) OVER ({group}) END AS share
+                FROM summed{k}
+            )"""
+        )
+    last = _LEVELS[-1][0]
+    parts.append(
+        f"""goals AS (
+            SELECT {last}, CASE WHEN tokens > 0 THEN floor(share)::BIGINT // tokens ELSE 0 END AS epochs, floor(share)::BIGINT AS target, tokens
+            FROM level2 JOIN leaves USING ({last})
+        ), keyed AS (
+            SELECT d.*, epochs, target - epochs * tokens AS rest, md5(concat_ws('|', '11', epochs::VARCHAR, own)) AS key
+            FROM docs d JOIN goals USING ({last})
+        ), ranked AS (
+            SELECT *, sum(n) OVER (PARTITION BY {last} ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM keyed
+        )
+        SELECT doc_id, domain, lang, source, epochs + (upto <= rest AND rest < tokens_of)::BIGINT AS copies
+        FROM (SELECT *, sum(n) OVER (PARTITION BY {last}) AS tokens_of FROM ranked)
+        WHERE epochs > 0 OR upto <= rest"""
+    )
+    return "WITH " + ", ".join(parts)
+
 
 ORACLES: dict[str, str] = {
     "op3_links": r"""
@@ -34,4 +86,29 @@ ORACLES: dict[str, str] = {
             coalesce(ruled, CASE WHEN distrust > trust THEN 'block' ELSE 'allow' END) AS verdict
         FROM ruled LEFT JOIN hosts USING (host)
     """,
+    "op5_mixing": _mix(),
+    "op9_quality": rf"""
+        WITH docs AS (
+            SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w,
+                list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+            FROM documents
+        ), windows AS (
+            SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM docs)
+        ), twice AS (
+            SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n > 1
+        ), covered AS (
+            SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(range(0, 5)) AS k) GROUP BY doc_id
+        ), measured AS (
+            SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+                (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+                (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines) AS n_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+                len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_stutters,
+                length(regexp_replace(text, '\P{{L}}+', '', 'g')) AS n_letters, length(regexp_replace(text, '\P{{Lu}}+', '', 'g')) AS n_capitals
+            FROM docs LEFT JOIN covered USING (doc_id)
+        ), judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM measured)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+            NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR 2 * n_capitals > n_letters
+                OR 2 * n_stutters > n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
+        FROM judged
+    """,
 }
