@@ -13,7 +13,7 @@ from tripgrid.operators import stations
 from tripgrid.plans import demand as demand_plan
 from tripgrid.plans import forecast as forecast_plan
 from tripgrid.plans import od as od_plan
-from tripgrid.session import shared_dir
+from tripgrid.session import _session_dir, shared_dir
 from tripgrid.sources import readers, writers
 
 
@@ -148,10 +148,10 @@ def test_mixed_headers_are_not_read_as_one(spark, tmp_path):
 
 def test_jobs_leave_no_staged_tables(spark, demand_set):
     jobs, paths, out = demand_set
-    root = shared_dir(spark)
+    root = _session_dir(spark)
 
     def staged():
-        return {p for p in os.listdir(root) if p.startswith("tripgrid-")}
+        return set(os.listdir(root))
 
     before = staged()
     demand_plan.run_demand_job(spark, jobs[1:2], paths, out)
@@ -177,4 +177,28 @@ def test_files_that_appear_later_are_noticed(spark, tmp_path):
     (tmp_path / "2.csv").write_text("id\n2\n")
     part = readers._in_reading_order(readers._csv(spark).csv(f"{tmp_path}/*.csv"))
     with pytest.raises(Exception, match="appeared while it was read"):
-        readers._number_files(spark, part, readers.list_files(spark, f"{tmp_path}/1.csv")).collect()
+        readers._number_files(part, readers.list_files(spark, f"{tmp_path}/1.csv")).collect()
+
+
+def test_many_files_take_few_jobs(spark, tmp_path):
+    for i in range(200):
+        (tmp_path / f"{i:03}.csv").write_text(f"a,b\n{i},1\n" if i % 2 else f"b,c\n1,{i}\n")
+    spark.sparkContext.setJobGroup("scan", "scan")
+    got = readers.read_text_tables(spark, f"{tmp_path}/*.csv", {"c": "a"}).orderBy("file_ord").collect()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("scan")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [(r["file_ord"], r["a"]) for r in got] == [(i, str(i)) for i in range(200)]
+    assert len(jobs) < 20
+    with pytest.raises(ValueError, match="two columns would be called"):
+        readers.read_text_tables(spark, f"{tmp_path}/*.csv", {"b": "a"})
+
+
+def test_demand_job_options(spark, sf, demand_set, tmp_path):
+    jobs, paths, _ = demand_set
+    out = str(tmp_path / "options")
+    demand_plan.run_demand_job(spark, jobs, paths, out, drop_last=False, time_base="rebased", bucket_end_by="end", min_visits=3)
+    tables = demand_plan.demand_tables(whole_trips(spark, sf), bucket_end_by="end")
+    assert same(demand_plan.stored_demand(tables, time_base="rebased", drop_last=False), readers.scan_demand(spark, f"{out}/demand"))
+    assert readers.scan_demand(spark, f"{out}/demand").agg(F.min("t0")).first()[0].year == 1970
+    cells, mask = spark.read.parquet(f"{out}/cells"), spark.read.parquet(f"{out}/cell_mask")
+    assert same(cells.where("visits >= 3"), mask) and 0 < mask.count() < cells.count()

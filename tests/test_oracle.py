@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry_point
 
 QUERIES, ORACLES = entry_point.queries(), entry_point.oracle_sql()
-PLAIN = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR"}
+PLAIN = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
 @pytest.fixture(scope="module")

@@ -1,11 +1,14 @@
 """What the physical plans must and must not contain."""
 
+import inspect
+
 import pytest
 from pyspark.sql import functions as F
 
 from tripgrid.checks import fixtures as fx
 from tripgrid.checks import queries as q
 from tripgrid.operators import cleaning, demand, grid, series, stations
+from tripgrid.sources import writers
 
 
 def plan_of(df):
@@ -91,3 +94,18 @@ def test_partition_count_does_not_change_results(spark, sf, tables):
     other = demand.hourly_demand(tables.gridded.repartition(13))
     assert counts.exceptAll(other).count() == 0 and other.exceptAll(counts).count() == 0
     assert counts.agg(F.sum("cnt")).first()[0] == 2 * tables.gridded.count()
+
+
+def test_cells_come_from_the_counts(spark, tables):
+    """Cell ids from hourly counts are those from the trips, and read no trips."""
+    counts = demand.hourly_demand(tables.gridded, order="trip_id")
+    cells, want = grid.cells_of_demand(counts), grid.cell_table(tables.gridded, "trip_id")
+    assert cells.exceptAll(want).count() == 0 and want.exceptAll(cells).count() == 0
+    assert "SortAggregate" not in plan_of(counts)
+
+
+def test_trips_are_written_where_they_are(spark, tables, tmp_path):
+    writers.write_trips(tables.gridded, str(tmp_path / "trips"))
+    assert "Exchange" not in plan_of(tables.gridded).replace("BroadcastExchange", "")
+    assert "hint" not in inspect.getsource(writers.write_trips) + inspect.getsource(writers._replace_cities)
+    assert spark.read.parquet(str(tmp_path / "trips")).count() == tables.gridded.count()

@@ -204,6 +204,14 @@ _FINAL = {
       FROM filled f JOIN span USING (city) WHERE city = 'a'""",
     "city_jobs": """SELECT city, count(DISTINCT hour) AS hours, count(channel) AS cells, sum(cnt)::BIGINT AS ends
       FROM filled GROUP BY city""",
+    "write_cells": """SELECT city, x, y, row_number() OVER (PARTITION BY city ORDER BY seen) - 1 AS cell_id, visits
+      FROM (SELECT city, x, y, min(trip_id * 2 + channel) AS seen, count(*) AS visits FROM ends GROUP BY ALL)""",
+    "write_trips": "SELECT trip_id, city, start_hour, end_hour, start_x, start_y, end_x, end_y FROM gridded",
+    "write_demand": "SELECT city, hour, channel, x, y, cnt + CASE city WHEN 'a' THEN 100 ELSE 0 END AS cnt FROM filled",
+    "write_od": "SELECT hour, o_idx, d_idx, trips FROM od",
+    "write_stations": f"""SELECT id, round(lat, 6) AS lat, round(lon, 6) AS lon, strftime(datetime, {_FMT}) AS datetime, tidx FROM stations""",
+    "append_eval": """SELECT city, run_id, metric, channel, step, idx, round(value, 6) AS value
+      FROM report, (VALUES ('one'), ('two')) AS runs(run_id)""",
     "split_date": "SELECT event_id AS trip_id, strftime(ts, '%m/%d/%Y') AS start_day FROM events",
     "join_date_time": "SELECT event_id AS trip_id, strftime(ts, '%m/%d/%YT%H:%M:%S') AS start_text FROM events",
     "parse_ts": f"SELECT trip_id, strftime(start_time_utc, {_FMT}) AS start_ts FROM typed",

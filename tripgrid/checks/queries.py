@@ -7,7 +7,7 @@ values exactly.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -182,21 +182,28 @@ def scan_trips(spark, sf):
     )
 
 
+def _in_files(df: DataFrame, order: str, path: str, files: int = 4) -> None:
+    """CSV files whose names keep ``order``."""
+    ranged = df.repartitionByRange(files, order).sortWithinPartitions(order)
+    ranged.drop(order).write.option("header", True).csv(path)
+
+
 @query
 def scan_trips_drift(spark, sf):
     """Two generations of files: other station names, another column order."""
     root = _scratch(spark)
     trips = fx.station_trips_fx(spark, sf)
-    old = trips.where("file_ord = 0").select("trip_id", "start_time", "start_station", "end_station", "start_lat")
+    old = trips.where("file_ord = 0").select("row_ord", "trip_id", "start_time", "start_station", "end_station", "start_lat")
     new = trips.where("file_ord = 1").select(
-        F.col("end_station").alias("end_station_id"), "trip_id", F.col("start_station").alias("start_station_id"), "start_time"
+        "row_ord", F.col("end_station").alias("end_station_id"), "trip_id", F.col("start_station").alias("start_station_id"), "start_time"
     )
-    old.coalesce(1).write.option("header", True).csv(f"{root}/2023-trips-1")
-    new.coalesce(1).write.option("header", True).csv(f"{root}/2023-trips-2")
+    _in_files(old, "row_ord", f"{root}/2023-trips-1")
+    _in_files(new, "row_ord", f"{root}/2023-trips-2")
+    first_new = readers.list_files(spark, f"{root}/2023-trips-1/*.csv").count()
     read = readers.scan_trips_drift(spark, f"{root}/*-trips-*/*.csv")
     return read.select(
         F.col("trip_id").cast("long").alias("trip_id"),
-        "file_ord",
+        (F.col("file_ord") >= first_new).cast("long").alias("file_ord"),
         "start_time",
         F.col("start_station").cast("int").alias("start_station"),
         F.col("end_station").cast("int").alias("end_station"),
@@ -209,8 +216,7 @@ def scan_stations(spark, sf):
     root = _scratch(spark)
     rows = fx.stations_fx(spark, sf).withColumnRenamed("time", "date")
     for part in (0, 1):
-        own = rows.where(F.col("file_ord") == part).orderBy("row_ord").select("id", "lat", "date")
-        own.coalesce(1).write.option("header", True).csv(f"{root}/stations-{part}")
+        _in_files(rows.where(F.col("file_ord") == part).select("row_ord", "id", "lat", "date"), "row_ord", f"{root}/stations-{part}")
     read = readers.scan_stations(spark, f"{root}/stations-*/*.csv")
     first = stations.station_first(stations.station_file_sightings(read))
     return first.select("id", *six("lat"), text(F.col("datetime")).alias("datetime"))
@@ -234,6 +240,61 @@ def city_jobs(spark, sf):
     )
 
 
+# Sinks: what is read back from them
+
+
+@query
+def write_cells(spark, sf):
+    """The cell table as a CSV file."""
+    path = _scratch(spark)
+    cells = grid.cell_table(_tables(spark, sf).gridded, "trip_id")
+    writers.write_cells(cells, path, "csv")
+    return spark.read.schema(cells.schema).option("header", True).csv(path)
+
+
+@query
+def write_trips(spark, sf):
+    path = _scratch(spark)
+    trips = _tables(spark, sf).gridded.select("trip_id", "city", "start_hour", "end_hour", "start_x", "start_y", "end_x", "end_y")
+    writers.write_trips(trips, path)
+    return spark.read.parquet(path).select(trips.columns)
+
+
+@query
+def write_demand(spark, sf):
+    """All cities, then one again with other counts: the others stay."""
+    path = _scratch(spark)
+    filled = demand.fill_hours(_counts(spark, sf), _tables(spark, sf).frame)
+    writers.write_demand(filled, path)
+    writers.write_demand(filled.where("city = 'a'").withColumn("cnt", F.col("cnt") + 100), path)
+    return spark.read.parquet(path).select(filled.columns)
+
+
+@query
+def write_od(spark, sf):
+    path = _scratch(spark)
+    writers.write_od(_od(spark, sf).drop("dat"), path)
+    return spark.read.parquet(path)
+
+
+@query
+def write_stations(spark, sf):
+    path = _scratch(spark)
+    writers.write_stations(_stations(spark, sf).df, path)
+    return _station_rows(spark.read.parquet(path))
+
+
+@query
+def append_eval(spark, sf):
+    """Two runs; the first is written twice and kept once."""
+    path = _scratch(spark)
+    report = stage(_report(spark, sf), "report").df
+    for run in ("one", "two", "one"):
+        writers.append_eval(report, path, run)
+    stored = spark.read.parquet(path)
+    return stored.select("city", "run_id", "metric", "channel", "step", "idx", *six("value"))
+
+
 # Projections and scalar functions
 
 
@@ -381,7 +442,7 @@ def project_needed(spark, sf):
 @query
 def rename_cols(spark, sf):
     names = {"start_station": "id", "start_lat": "lat", "start_lon": "lon", "start_time": "time"}
-    renamed = fx.station_trips_fx(spark, sf).withColumnsRenamed(names)
+    renamed = readers.rename_cols(fx.station_trips_fx(spark, sf), names)
     return renamed.select("trip_id", "id", *six("lat", "lon"), "time")
 
 
@@ -717,7 +778,7 @@ def union_stations(spark, sf):
 
 @query
 def distinct_axis(spark, sf):
-    return _counts(spark, sf).select("city", "x").distinct().orderBy("city", "x")
+    return grid.distinct_axis(_counts(spark, sf), "x").orderBy("city", "x")
 
 
 @query
@@ -869,6 +930,3 @@ def exp_plain_lstm(spark, sf):
 def exp_autoencoder(spark, sf):
     return forecast_plan.run_encoder(spark, _stored_set(spark, sf))
 
-
-def names() -> Sequence[str]:
-    return tuple(QUERIES)

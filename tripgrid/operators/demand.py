@@ -59,21 +59,25 @@ def rebase_hours(tagged: DataFrame, span: DataFrame | Staged, keys: Sequence[str
     )
 
 
-def hourly_demand(gridded: DataFrame, keys: Sequence[str] = CITY, bucket_end_by: str = "start") -> DataFrame:
+def hourly_demand(
+    gridded: DataFrame, keys: Sequence[str] = CITY, bucket_end_by: str = "start", order: str | None = None
+) -> DataFrame:
     """``hour, channel, x, y, cnt``: trips that start (0) and end (1) in each cell.
 
-    Trip ends are counted in the hour the trip started, or with ``bucket_end_by="end"``
+    With ``order``, the row order of the trips, also ``first_seen``, the place of the
+    first of them; a trip's start is seen before its end. Trip ends are counted in the hour the trip started, or with ``bucket_end_by="end"``
     in the hour it ended. Cells without trips have no row. The count is combined
     before the shuffle, so a cell that holds a third of all trips arrives as one row
     per task.
     """
     if bucket_end_by not in ("start", "end"):
         raise ValueError(f"bucket_end_by must be 'start' or 'end', not {bucket_end_by!r}")
-    ends = union_ends(gridded, [*keys, "start_hour", "end_hour"])
+    ends = union_ends(gridded, [*keys, "start_hour", "end_hour", *([order] if order else [])])
     hour = F.col("start_hour")
     if bucket_end_by == "end":
         hour = F.when(F.col("channel") == 0, F.col("start_hour")).otherwise(F.col("end_hour"))
-    return ends.groupBy(*keys, hour.alias("hour"), "channel", "x", "y").agg(F.count(F.lit(1)).alias("cnt"))
+    first = [F.min(F.col(order) * 2 + F.col("channel")).alias("first_seen")] if order else []
+    return ends.groupBy(*keys, hour.alias("hour"), "channel", "x", "y").agg(F.count(F.lit(1)).alias("cnt"), *first)
 
 
 def hour_calendar(

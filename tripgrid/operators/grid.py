@@ -77,15 +77,30 @@ def cell_table(gridded: DataFrame, order: str, keys: Sequence[str] = CITY, **ran
             F.min(F.col(order) * 2 + F.col("channel")).alias("first_seen"),
         )
     )
+    return _numbered(seen, keys, **rank)
+
+
+def cells_of_demand(counts: DataFrame, keys: Sequence[str] = CITY, **rank) -> DataFrame:
+    """The same table from hourly counts with ``first_seen``, without another pass over the trips."""
+    seen = counts.groupBy(*keys, "x", "y").agg(F.sum("cnt").alias("visits"), F.min("first_seen").alias("first_seen"))
+    return _numbered(seen, keys, **rank)
+
+
+def _numbered(seen: DataFrame, keys: Sequence[str], **rank) -> DataFrame:
     return dense_position(seen, "first_seen", "cell_id", keys, **rank).select(*keys, "x", "y", "cell_id", "visits")
 
 
+def distinct_axis(ends: DataFrame, axis: str, keys: Sequence[str] = CITY) -> DataFrame:
+    """The ``x`` (or ``y``) values that occur in each set."""
+    return ends.select(*keys, axis).distinct()
+
+
 def axis_rank(ends: DataFrame, axis: str, keys: Sequence[str] = CITY) -> DataFrame:
     """The distinct ``x`` (or ``y``) values of a set, numbered from 0 in order.
 
     There are at most 160,000 of them in a set: the circumference over the cell side.
     """
-    return dense_position(ends.select(*keys, axis).distinct(), axis, f"{axis}_idx", keys)
+    return dense_position(distinct_axis(ends, axis, keys), axis, f"{axis}_idx", keys)
 
 
 def axis_lookup(ends: DataFrame, x_axis: DataFrame | Staged, y_axis: DataFrame | Staged, keys: Sequence[str] = CITY) -> DataFrame:

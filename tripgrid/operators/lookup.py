@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tripgrid.session import Staged, stage
 
-# A lookup row is a handful of numbers and a set name, some 100 bytes as a hash-table
-# entry, so this bounds a broadcast to about 50 MB on each executor.
+# What a lookup table may weigh as a hash table on each executor, and its rows.
+BROADCAST_BYTES = 50_000_000
 BROADCAST_ROWS = 500_000
 # Tasks over which one hot key is spread when the lookup is too big to broadcast.
 SALTS = 32
@@ -26,14 +26,14 @@ def lookup_join(
 ) -> DataFrame:
     """Join ``df`` to a lookup table without moving ``df`` when that is safe.
 
-    The lookup is written and counted first. Up to ``max_rows`` it is broadcast. Above
-    that, both sides are shuffled on the key and a salt: ``df`` rows of a hot key go
+    The lookup is written, counted and weighed first. Up to ``max_rows`` and
+    ``BROADCAST_BYTES`` it is broadcast. Above that, both sides are shuffled on the key and a salt: ``df`` rows of a hot key go
     to ``salts`` tasks, and each lookup row is repeated once per salt, so every row
     still meets its match exactly once.
     """
     held = small if isinstance(small, Staged) else stage(small, "lookup")
     on = list(on)
-    if held.rows <= max_rows:
+    if held.rows <= max_rows and held.bytes <= BROADCAST_BYTES:
         return df.join(F.broadcast(held.df), on, how)
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
     repeated = held.df.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -55,3 +55,20 @@ def dense_position(
         .withColumn(out, F.col("__before") + F.row_number().over(inside) - 1)
         .drop("__before", "__band")
     )
+
+
+def range_position(df: DataFrame, order: str, out: str, parts: int | None = None) -> DataFrame:
+    """Number all rows by ``order``, which may be text, without sorting them in one task.
+
+    Rows are dealt to sorted ranges and written with their place inside; ranges are
+    shifted by the counts of those before them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    inside = df.repartitionByRange(parts or cores, order).sortWithinPartitions(order)
+    place = F.pmod(F.monotonically_increasing_id(), F.lit(2**33))
+    held = stage(inside.withColumn("__part", F.spark_partition_id()).withColumn("__place", place), "range").df
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = held.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    shifts = shifts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    placed = lookup_join(held, shifts, ["__part"])
+    return placed.withColumn(out, F.col("__before") + F.col("__place")).drop("__part", "__place", "__before")

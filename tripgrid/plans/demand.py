@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripgrid.config import CityConfig, ColumnMap
+from tripgrid.config import CELL_MIN_VISITS, CityConfig, ColumnMap
 from tripgrid.functions.dates import hour_interval, parse_ts
 from tripgrid.functions.order import reading_order
 from tripgrid.operators import cleaning, demand, grid
@@ -34,6 +34,7 @@ def demand_tables(
     columns: ColumnMap = ColumnMap(),
     carry: Sequence[str] = (),
     bucket_end_by: str = "start",
+    order: str | None = None,
 ) -> DemandTables:
     """From typed trips without nulls to hourly counts.
 
@@ -45,13 +46,15 @@ def demand_tables(
     tagged = demand.tag_hours(cleaning.project_needed(kept, [*keys, *carry], columns), columns)
     frame = stage(demand.trip_frame(tagged, keys, columns), "frame")
     gridded = demand.rebase_hours(grid.grid_trips(tagged, frame, keys, columns), frame, keys)
-    counts = stage(demand.hourly_demand(gridded, keys, bucket_end_by), "demand")
+    counts = stage(demand.hourly_demand(gridded, keys, bucket_end_by, order), "demand")
     return DemandTables(gridded, frame, counts)
 
 
-def stored_demand(tables: DemandTables, keys: Sequence[str] = CITY, time_base: str = "true") -> DataFrame:
+def stored_demand(
+    tables: DemandTables, keys: Sequence[str] = CITY, time_base: str = "true", drop_last: bool = True
+) -> DataFrame:
     """``hour, t0, t1, channel, x, y, cnt`` for every hour of the calendar."""
-    filled = demand.fill_hours(tables.demand.df, tables.frame, keys)
+    filled = demand.fill_hours(tables.demand.df, tables.frame, keys, drop_last)
     frame = tables.frame
     first = Staged(frame.df.select(*keys, "first_hour"), frame.rows, frame.path)
     base = F.col("first_hour") if time_base == "true" else F.lit(0).cast("long")
@@ -80,20 +83,33 @@ _STANDARD = (
 )
 
 
-def run_demand_job(spark: SparkSession, jobs: Sequence[CityConfig], paths: Mapping[str, str], out: str) -> None:
-    """All cities at once. Writes ``demand``, ``trips``, ``cells``, ``x_axis``, ``y_axis`` and ``dims``.
+def run_demand_job(
+    spark: SparkSession,
+    jobs: Sequence[CityConfig],
+    paths: Mapping[str, str],
+    out: str,
+    drop_last: bool = True,
+    time_base: str = "true",
+    bucket_end_by: str = "start",
+    min_visits: int = CELL_MIN_VISITS,
+) -> None:
+    """All cities at once. Writes ``demand``, ``trips``, ``cells``, ``cell_mask``, ``x_axis``, ``y_axis`` and ``dims``.
 
-    The text is read once into columns; every later pass reads only what it needs.
+    The text is read once into columns; every later pass reads only what it needs. The
+    hourly counts also keep which trip was seen first, so cells are made from them.
+    ``cell_mask`` has the cells with at least ``min_visits`` visits.
     """
     pin_utc(spark)
     with scratch(spark):
         cities = [read_city(spark, job, paths[job.city]) for job in jobs]
         trips = stage(reduce(DataFrame.unionByName, cities), "trips").df
-        tables = demand_tables(trips, carry=("row_ord",))
-        writers.write_demand(stored_demand(tables), f"{out}/demand")
+        tables = demand_tables(trips, carry=("row_ord",), bucket_end_by=bucket_end_by, order="row_ord")
+        writers.write_demand(stored_demand(tables, time_base=time_base, drop_last=drop_last), f"{out}/demand")
         writers.write_trips(tables.gridded.drop("row_ord"), f"{out}/trips")
         axes = {axis: stage(grid.axis_rank(tables.demand.df, axis), "axis").df for axis in ("x", "y")}
-        writers.write_by_city(grid.cell_table(tables.gridded, "row_ord"), f"{out}/cells")
+        cells = stage(grid.cells_of_demand(tables.demand.df), "cells").df
+        writers.write_by_city(cells, f"{out}/cells")
+        writers.write_by_city(grid.high_demand_cells(cells, min_visits=min_visits), f"{out}/cell_mask")
         writers.write_by_city(axes["x"], f"{out}/x_axis")
         writers.write_by_city(axes["y"], f"{out}/y_axis")
         writers.write_by_city(grid.grid_dims(axes["x"], axes["y"]), f"{out}/dims")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from contextvars import ContextVar
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -38,7 +40,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 @lru_cache(maxsize=None)
 def _own_dir(application: str) -> str:
-    return tempfile.mkdtemp(prefix=f"tripgrid-{application}-")
+    path = tempfile.mkdtemp(prefix=f"tripgrid-{application}-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
+_session_dirs: dict[str, str] = {}
+
+
+def _session_dir(spark: SparkSession) -> str:
+    """One folder per application for its staged tables, removed when its Python ends."""
+    application = spark.sparkContext.applicationId
+    root = f"{shared_dir(spark)}/tripgrid-{application}"
+    if _session_dirs.get(application) != root:
+        _session_dirs[application] = root
+        atexit.register(_remove_at_exit, spark, root)
+    return root
+
+
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Also after the session was stopped: file systems outlive it, as long as the JVM does."""
+    with suppress(Exception):
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(hadoop, True)
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -76,13 +100,37 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(hadoop, True)
 
 
+# What a value of a column takes at most in a hash table, but for texts and arrays.
+_VALUE_BYTES = 16
+
+
 @dataclass(frozen=True)
 class Staged:
-    """A table written to the shared folder, with its exact row count."""
+    """A table written to the shared folder, with its exact row count and about its bytes.
+
+    ``width`` is the mean size of a row as a hash table holds it.
+    """
 
     df: DataFrame
     rows: int
     path: str
+    width: float = 100.0
+
+    @property
+    def bytes(self) -> float:
+        return self.rows * self.width
+
+
+def _extra_bytes(df: DataFrame) -> Column:
+    """Bytes of the texts and arrays of a row."""
+    sizes = [F.lit(0).cast("long")]
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            sizes.append(F.coalesce(F.octet_length(F.col(f"`{f.name}`")).cast("long"), F.lit(0)))
+        elif kind in ("array", "map"):
+            sizes.append(F.greatest(F.size(F.col(f"`{f.name}`")), F.lit(0)).cast("long") * _VALUE_BYTES)
+    return reduce(Column.__add__, sizes)
 
 
 def stage(df: DataFrame, label: str = "t") -> Staged:
@@ -90,15 +138,19 @@ def stage(df: DataFrame, label: str = "t") -> Staged:
 
     This cuts the lineage (a lost executor never repeats the scans behind it), keeps
     plans flat however many statistics are chained, and tells the caller the row
-    count, which is counted while writing and costs no extra job.
+    count and width, which are found while writing and cost no extra job. The folder
+    goes when the session's Python ends, or with the block of ``scratch`` around it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tripgrid-{label}-{uuid.uuid4().hex}"
+    path = f"{_session_dir(spark)}/tripgrid-{label}-{uuid.uuid4().hex}"
     if (held := _held.get()) is not None:
         held.append(path)
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
-    return Staged(spark.read.schema(df.schema).parquet(path), int(seen.get["rows"]), path)
+    found = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(_extra_bytes(df)).alias("extra"))
+    found.write.parquet(path)
+    rows = int(seen.get["rows"])
+    width = _VALUE_BYTES * (len(df.columns) + 2) + (seen.get["extra"] or 0) / max(rows, 1)
+    return Staged(spark.read.schema(df.schema).parquet(path), rows, path, width)
 
 
 def spread(df: DataFrame) -> DataFrame:

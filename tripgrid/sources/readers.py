@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from urllib.parse import unquote
 
@@ -13,12 +12,11 @@ from pyspark.sql import functions as F
 from tripgrid.config import STATION_RENAMES, ColumnMap
 from tripgrid.functions.numbers import blank_to_null
 from tripgrid.operators.lookup import lookup_join
+from tripgrid.operators.ranking import range_position
 
 # Room for the rows of one partition in a row number. Row numbers within a partition
 # stay below 2**33, so this never overflows.
 _ROWS = 10**11
-# Largest list of file names to broadcast, some 200 bytes each.
-FILE_ROWS = 2_000_000
 
 
 def _csv(spark: SparkSession) -> DataFrameReader:
@@ -26,28 +24,28 @@ def _csv(spark: SparkSession) -> DataFrameReader:
     return spark.read.option("header", True).option("escape", '"')
 
 
-def list_files(spark: SparkSession, paths: str | Sequence[str]) -> list[str]:
-    """Files behind paths or patterns, in name order, as the metadata column prints them.
+def list_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """``path``: files behind paths or patterns, as the metadata column prints them.
 
     Only names are read, no content.
     """
     roots = [paths] if isinstance(paths, str) else list(paths)
-    found = spark.read.format("binaryFile").load(roots).select("_metadata.file_path")
-    return sorted(r["file_path"] for r in found.toLocalIterator())
+    return spark.read.format("binaryFile").load(roots).select(F.col("_metadata.file_path").alias("path"))
 
 
-def _headers(spark: SparkSession, files: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
-    """Files grouped by their header line; Spark reads one line of each."""
+def _headers(spark: SparkSession, paths: str | Sequence[str]) -> list[tuple[tuple[str, ...], list[str]]]:
+    """Column names and files of each header line that occurs, found in one job over all files.
 
-    def columns(path: str) -> tuple[str, ...]:
-        return tuple(_csv(spark).csv(unquote(path)).columns)
-
-    with ThreadPoolExecutor(16) as pool:
-        heads = list(pool.map(columns, files))
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for path, head in zip(files, heads):
-        groups.setdefault(head, []).append(path)
-    return groups
+    The job keeps the first line of each file, before anything is shuffled; reading the
+    names costs one more for each different header. Spark's reader keeps the names of
+    the files it reads on the driver, and so does this.
+    """
+    roots = [paths] if isinstance(paths, str) else list(paths)
+    lines = spark.read.text(roots).where(F.col("_metadata.file_block_start") == 0)
+    first = lines.select(F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("at"))
+    heads = first.groupBy("path").agg(F.min_by("value", "at").alias("head"))
+    groups = heads.groupBy("head").agg(F.array_sort(F.collect_list("path")).alias("files")).collect()
+    return [(tuple(_csv(spark).csv(unquote(g["files"][0])).columns), g["files"]) for g in groups]
 
 
 def _in_reading_order(part: DataFrame) -> DataFrame:
@@ -64,17 +62,27 @@ def _in_reading_order(part: DataFrame) -> DataFrame:
     )
 
 
-def _number_files(spark: SparkSession, df: DataFrame, files: Sequence[str]) -> DataFrame:
-    """Replace ``path`` by ``file_ord``, the place of the file by name.
+def _number_files(df: DataFrame, files: DataFrame) -> DataFrame:
+    """Replace ``path`` by ``file_ord``, the place of the file by name among ``files``.
 
     A row of a file that was not there yet when the files were listed fails the read.
     """
-    order = spark.createDataFrame([(p, i) for i, p in enumerate(files)], "path string, file_ord long")
-    found = lookup_join(df, order, ["path"], "left", max_rows=FILE_ROWS)
+    found = lookup_join(df, range_position(files, "path", "file_ord"), ["path"], "left")
     late = F.raise_error(F.concat(F.lit("file appeared while it was read: "), "path")).cast("long")
     return found.withColumn("file_ord", F.coalesce("file_ord", late)).drop("path")
 
 
+def rename_cols(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
+    """Give drifted columns their present names; names that are absent change nothing.
+
+    Fails if two columns would get one name, which would make either unreadable.
+    """
+    new = [names.get(c, c) for c in df.columns]
+    if twice := sorted({c for c in new if new.count(c) > 1}):
+        raise ValueError(f"two columns would be called {twice}")
+    return df.withColumnsRenamed(dict(names))
+
+
 def read_text_tables(
     spark: SparkSession, paths: str | Sequence[str], rename: Mapping[str, str] | None = None
 ) -> DataFrame:
@@ -84,13 +92,12 @@ def read_text_tables(
     headers would put values under wrong names. Columns are then renamed and stacked
     by name, with ``file_ord`` and ``row_ord``.
     """
-    files = list_files(spark, paths)
     parts = []
-    for group in _headers(spark, files).values():
-        part = _csv(spark).csv([unquote(p) for p in group])
-        parts.append(_in_reading_order(part).withColumnsRenamed(dict(rename or {})))
+    for columns, files in _headers(spark, paths):
+        part = _csv(spark).schema(", ".join(f"`{c}` string" for c in columns)).csv([unquote(p) for p in files])
+        parts.append(rename_cols(_in_reading_order(part), dict(rename or {})))
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return _number_files(spark, stacked, files)
+    return _number_files(stacked, list_files(spark, paths))
 
 
 def scan_trips(
@@ -106,7 +113,7 @@ def scan_trips(
     missing = needed - set(trips.columns)
     if missing:
         raise ValueError(f"trip file lacks the columns {sorted(missing)}")
-    ordered = _number_files(spark, _in_reading_order(trips), list_files(spark, path))
+    ordered = _number_files(_in_reading_order(trips), list_files(spark, path))
     return ordered if city is None else ordered.withColumn("city", F.lit(city))
 
 

@@ -12,8 +12,11 @@ def write_by_city(df: DataFrame, path: str) -> None:
     Rows are rebalanced by city first: a large city is spread over several files of
     even size and small cities do not leave one file per task.
     """
-    balanced = df.hint("rebalance", "city")
-    balanced.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("city").parquet(path)
+    _replace_cities(df.hint("rebalance", "city"), path)
+
+
+def _replace_cities(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("city").parquet(path)
 
 
 def write_demand(demand: DataFrame, path: str) -> None:
@@ -21,7 +24,8 @@ def write_demand(demand: DataFrame, path: str) -> None:
 
 
 def write_trips(trips: DataFrame, path: str) -> None:
-    write_by_city(trips, path)
+    """Trips where they are: they were read city by city, so each task has one city or two."""
+    _replace_cities(trips, path)
 
 
 def write_cells(cells: DataFrame, path: str, fmt: str = "parquet") -> None:
