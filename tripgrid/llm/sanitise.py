@@ -170,8 +170,8 @@ def _document_terms(text: Column) -> Column:
 def disclosures(docs: DataFrame, found: DataFrame, text: str = "text", contexts: int = CONTEXTS, generalise: float = GENERALISE) -> DataFrame:
     """(term, entity, disclosure) of pairs whose PMI is at least the share ``generalise`` of the entity's IC.
 
-    Counts are over all documents; only terms that already stand beside an entity in
-    enough surroundings are counted, and they are combined before they are shuffled.
+    Counts are over all documents and all their terms, combined before they are
+    shuffled; only the counts meet the pairs.
     """
     total = float(max(docs.count(), 1))
     names = F.array_distinct(F.transform("found", lambda x: x["entity"]))
@@ -182,9 +182,8 @@ def disclosures(docs: DataFrame, found: DataFrame, text: str = "text", contexts:
     by_context = by_row.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n"), F.first("with_e").alias("with_e"))
     pairs = by_context.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("contexts"), F.first("with_e").alias("with_e"))
     pairs = stage(pairs.filter(F.col("contexts") >= contexts), "pairs")
-    wanted = stage(pairs.df.select("term").distinct(), "terms")
     spoken = docs.select(F.explode(_document_terms(whole(text))).alias("term"))
-    with_t = lookup_join(spoken, wanted, ["term"]).groupBy("term").agg(F.count(F.lit(1)).alias("with_t"))
+    with_t = spoken.groupBy("term").agg(F.count(F.lit(1)).alias("with_t"))
     pmi = F.log2(F.col("both") * total / (F.col("with_t") * F.col("with_e")))
     content = F.log2(F.lit(total) / F.col("with_e"))
     scored = pairs.df.join(with_t, "term").select("term", "entity", (pmi / content).alias("disclosure"))
