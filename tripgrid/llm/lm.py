@@ -52,6 +52,8 @@ NOISE = 64
 STEP = 512
 BATCH = 8192
 SEED = 5
+# Texts that a task holds as words or classes at a time.
+TEXTS = 256
 # Distinct words counted in a task before they are passed on.
 COUNTED = 300_000
 # The end of a text among the words; no word is empty.
@@ -161,32 +163,40 @@ def encode(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
         v = shared.value
         place, classes, logs = v.place, v.classes, np.log10(v.counts + 1.0)
         known = v.counts > 0
-        kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-        for batch in batches:
-            out = []
-            for text in batch.column("text"):
-                words = tokens(text.as_py())
-                at = np.fromiter((place.get(w, -1) for w in words), np.int64, len(words))
-                common = at >= 0
-                mine = np.empty(len(words), np.uint16)
-                mine[common] = classes[at[common]]
-                others = [words[i] for i in np.nonzero(~common)[0]]
-                mine[~common] = [rare_class(w) for w in others]
-                own = at[common]
-                out.append(
-                    (
-                        len(words),
-                        mine.tobytes(),
-                        int(known[own].sum()),
-                        float(logs[own].sum()),
-                        float(logs[own[own >= OWN]].sum()),
-                        [{"word": w, "n": n} for w, n in Counter(others).items()],
-                    )
-                )
-            types = [pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.float64(), kind]
-            made = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types]
-            given = [batch.column(c) for c in ("row", "doc_id", "held_out")]
-            yield pa.RecordBatch.from_arrays([*given, *made], ["row", "doc_id", "held_out", "n_tokens", "classes", "known", "logs", "rare_logs", "rare"])
+        for whole_batch in batches:
+            for at in range(0, whole_batch.num_rows, TEXTS):
+                batch = whole_batch.slice(at, TEXTS)
+                sizes, raw, seen, sums, rare_sums, words_out, n_out, ends = [], [], [], [], [], [], [], [0]
+                for text in batch.column("text"):
+                    words = tokens(text.as_py())
+                    found = np.fromiter((place.get(w, -1) for w in words), np.int64, len(words))
+                    common = found >= 0
+                    own = found[common]
+                    others = [words[i] for i in np.flatnonzero(~common)]
+                    mine = np.empty(len(words), np.uint16)
+                    mine[common] = classes[own]
+                    mine[~common] = [rare_class(w) for w in others]
+                    counted = Counter(others)
+                    sizes.append(len(words))
+                    raw.append(mine.tobytes())
+                    seen.append(int(known[own].sum()))
+                    sums.append(float(logs[own].sum()))
+                    rare_sums.append(float(logs[own[own >= OWN]].sum()))
+                    words_out += counted.keys()
+                    n_out += counted.values()
+                    ends.append(len(words_out))
+                pairs = pa.StructArray.from_arrays([pa.array(words_out, pa.binary()), pa.array(n_out, pa.int64())], ["word", "n"])
+                made = [
+                    pa.array(sizes, pa.int64()),
+                    pa.array(raw, pa.binary()),
+                    pa.array(seen, pa.int64()),
+                    pa.array(sums, pa.float64()),
+                    pa.array(rare_sums, pa.float64()),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs),
+                ]
+                given = [batch.column(c) for c in ("row", "doc_id", "held_out")]
+                names = ["row", "doc_id", "held_out", "n_tokens", "classes", "known", "logs", "rare_logs", "rare"]
+                yield pa.RecordBatch.from_arrays([*given, *made], names)
 
     return docs.select("row", "doc_id", "held_out", "text").mapInArrow(run, ENCODED)
 
@@ -301,13 +311,12 @@ def train(encoded: DataFrame, weights: np.ndarray) -> Model:
             own = Model(**{name: p.copy() for name, p in start.parts().items()})
             trainer, seen = Trainer(own, {name: p.copy() for name, p in sums.items()}, weights, SEED + k), 0
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                classes, ends = _texts(batch)
-                contexts = contexts_of(classes, ends, len(weights))
-                for at in range(0, len(classes), STEP):
-                    trainer.step(contexts[at : at + STEP], classes[at : at + STEP])
-                seen += len(classes)
+                for piece in (batch.slice(at, TEXTS) for at in range(0, batch.num_rows, TEXTS)):
+                    classes, ends = _texts(piece)
+                    contexts = contexts_of(classes, ends, len(weights))
+                    for at in range(0, len(classes), STEP):
+                        trainer.step(contexts[at : at + STEP], classes[at : at + STEP])
+                    seen += len(classes)
             if seen:
                 for name, p in own.parts().items():
                     both = np.column_stack((p, trainer.squares[name]))
@@ -367,8 +376,7 @@ def predict(encoded: DataFrame, model: Model, masses: np.ndarray) -> DataFrame:
         own, z = shared.value
         inside = np.where(np.arange(OWN + RARE) < OWN, 0.0, np.log10(masses))
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                piece = batch.slice(at, 500)
+            for piece in (batch.slice(at, TEXTS) for at in range(0, batch.num_rows, TEXTS)):
                 classes, ends = _texts(piece)
                 contexts = contexts_of(classes, ends, OWN + RARE)
                 each = log_probabilities(own, z, classes, contexts) / math.log(10) - inside[classes]
