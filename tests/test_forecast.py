@@ -1,3 +1,5 @@
+from datetime import datetime, timezone
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -44,28 +46,60 @@ def test_forecast_beats_repeating_the_last_value(spark, parts, kind):
 
 @pytest.mark.parametrize("kind", ["linear", "gbt"])
 def test_roll_out_equals_the_model_step_by_step(spark, parts, kind):
-    """The first two steps, recomputed with the fitted model itself."""
+    """Every step, recomputed row by row from the model's numbers."""
     train, test = parts
     lags = (1, 3)
     fitted = forecast.fit_forecaster(series.lag_features(train, lags), lags, kind, trees=4)
     cut = series.sliding_windows(test, 6, 3)
-    got = forecast.forecast_windows(cut, fitted, 6, 3).where("step < 2").groupBy("x", "idx").pivot("step", [0, 1]).agg(F.first("yhat"))
-    hour = F.timestamp_seconds((F.col("first_hour") + F.col("idx") + 6) * 3600)
-
-    def predict(rows, lag_columns, ts):
-        prepared = rows.withColumns({"lags": F.array(*lag_columns), "time_features": time_features(ts), "label": F.lit(0)})
-        data = prepared.withColumn("__id", F.struct("x", "idx"))
-        inputs = F.concat(F.col("lags").cast("array<double>"), F.col("time_features"))
-        from pyspark.ml.functions import array_to_vector
-
-        return fitted.model.transform(data.withColumn("features", array_to_vector(inputs))).drop("features")
-
-    kept = cut.withColumn("w", F.col("features"))
-    one = predict(kept, [F.get("w", F.lit(5)), F.get("w", F.lit(3))], hour).withColumnRenamed("prediction", "p0")
-    two = predict(one, [F.col("p0"), F.get("w", F.lit(4)).cast("double")], F.timestamp_seconds(F.unix_seconds(hour) + 3600))
-    both = two.select("x", "idx", "p0", F.col("prediction").alias("p1")).join(got, ["x", "idx"])
-    off = both.where((F.abs(F.col("p0") - F.col("0")) > 1e-9) | (F.abs(F.col("p1") - F.col("1")) > 1e-9))
-    assert both.count() == cut.count() and off.count() == 0
+    got = forecast.forecast_windows(cut, fitted, 6, 3).collect()
+    found = {(r["x"], r["idx"], r["step"]): r["yhat"] for r in got}
+
+    def predict(values):
+        if kind == "linear":
+            return sum(w * v for w, v in zip(fitted.weights, values)) + fitted.weights[-1]
+        total = 0.0
+        for t in fitted.trees:
+            n = 0
+            while t.feature[n] >= 0:
+                n = t.left[n] if values[t.feature[n]] <= t.threshold[n] else t.right[n]
+            total += t.weight * t.value[n]
+        return total
+
+    assert len(found) == cut.count() * 3
+    for r in cut.collect():
+        known = list(map(float, r["features"]))
+        for step in range(3):
+            at = datetime.fromtimestamp((r["first_hour"] + r["idx"] + 6 + step) * 3600, timezone.utc)
+            flags = [at.weekday() == d for d in range(1, 7)] + [at.month == m for m in range(2, 13)]
+            known.append(predict([known[-k] for k in lags] + flags + [at.hour / 23]))
+            assert found[r["x"], r["idx"], step] == pytest.approx(known[-1], abs=1e-9)
+
+
+def test_fit_equals_numpy_least_squares(spark, seasonal):
+    rows = series.lag_features(seasonal, (1, 2)).collect()
+    use = [i for i in forecast.CALENDAR if len({r["time_features"][i] for r in rows}) > 1]
+    x = np.array([[*r["lags"], *[r["time_features"][i] for i in use], 1.0] for r in rows])
+    y = np.array([r["label"] for r in rows])
+    best = np.linalg.lstsq(x, y, rcond=None)[0]
+    fitted = forecast.fit_forecaster(series.lag_features(seasonal, (1, 2)), (1, 2))
+    weights = dict(zip([("lag", 1), ("lag", 2), *forecast.CALENDAR, "intercept"], fitted.weights))
+    got = [weights[k] for k in [("lag", 1), ("lag", 2), *use, "intercept"]]
+    assert np.allclose(got, best, atol=1e-6)
+    assert fitted.losses[0] == pytest.approx(np.mean((x @ best - y) ** 2))
+
+
+@pytest.mark.parametrize("kind", ["linear", "gbt"])
+def test_training_goes_on_from_a_saved_model(spark, parts, kind):
+    train, _ = parts
+    rows = series.lag_features(train, (1, 24))
+    first = forecast.fit_forecaster(rows, (1, 24), kind, max_iter=2, solver="l-bfgs", trees=2)
+    more = forecast.fit_forecaster(rows, (1, 24), kind, max_iter=30, solver="l-bfgs", trees=2, start=first)
+    error = lambda m: forecast._residuals(rows, m).agg(F.avg(F.pow("label", F.lit(2)))).first()[0]
+    assert error(more) < error(first)
+    if kind == "gbt":
+        assert more.trees[:2] == first.trees and len(more.trees) == 4
+    with pytest.raises(ValueError, match="other inputs"):
+        forecast.fit_forecaster(rows, (1, 2), kind, start=first)
 
 
 def test_calendar_inputs_agree_with_the_column_function(spark):

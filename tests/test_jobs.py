@@ -63,6 +63,7 @@ def test_scan_demand_reads_one_folder(spark, demand_set):
 def test_forecast_job(spark, demand_set, tmp_path):
     jobs, _, source = demand_set
     demand_plan.run_demand_job(spark, jobs, demand_set[1], source)
+    jobs = [replace(j, solver="normal") for j in jobs]
     out = str(tmp_path / "fc")
     for run_id in ("one", "two", "two"):
         forecast_plan.run_forecast_job(spark, source, jobs, out, run_id, lags=(1, 24), share=0.9)
@@ -78,6 +79,26 @@ def test_forecast_job(spark, demand_set, tmp_path):
         forecast_plan.run_forecast_job(spark, source, [replace(jobs[0], kind="x")], out, "bad", lags=(1, 24))
 
 
+def test_passes_and_saved_models_of_the_forecast_job(spark, demand_set, tmp_path):
+    jobs, _, source = demand_set
+    jobs, out = [replace(jobs[0], max_iter=3)], str(tmp_path / "fc")
+
+    def run(run_id, **how):
+        forecast_plan.run_forecast_job(spark, source, jobs, out, run_id, lags=(1, 24), **how)
+        report = spark.read.parquet(f"{out}/eval").where(F.col("run_id") == run_id)
+        return {m: report.where(F.col("metric") == m).count() for m in ("training_loss", "mean_loss")}
+
+    with pytest.raises(ValueError, match="no model is saved"):
+        run("none", start="score")
+    passes = run("fresh")["training_loss"]
+    # The loss before the first pass and after each.
+    assert passes == 4
+    assert run("scored", start="score") == {"training_loss": passes, "mean_loss": 6}
+    assert run("more", start="continue")["training_loss"] > passes
+    with pytest.raises(ValueError, match="start must be"):
+        run("bad", start="warm")
+
+
 def test_older_experiments(spark, demand_set):
     _, _, source = demand_set
     assert forecast_plan.run_plain_forecast(spark, source, 24, 3, (1, 24)).where("mse > 0").count() == 3

@@ -192,6 +192,98 @@ def _windows(gap: int) -> str:
     WHERE s.hour < s.n - 29 GROUP BY s.city, s.hour"""
 
 
+_CTES["cells"] = "SELECT DISTINCT city, x, y, channel FROM demand"
+_CTES["dense"] = """
+  SELECT c.city, c.x, c.y, c.channel, h.hour, h.n, h.first_hour, floor(0.9e0 * h.n)::BIGINT AS cut, coalesce(d.cnt, 0) AS cnt
+  FROM cells c JOIN hours h ON h.city = c.city
+  LEFT JOIN demand d ON d.city = c.city AND d.hour = h.hour AND d.x = c.x AND d.y = c.y AND d.channel = c.channel"""
+_CTES["lag_pairs"] = """
+  SELECT y, x FROM (SELECT hour, cnt AS y, lag(cnt) OVER (PARTITION BY city, x, y, channel ORDER BY hour) AS x FROM dense WHERE hour < cut)
+  WHERE x IS NOT NULL"""
+_CTES["test_values"] = "SELECT city, x, y, channel, hour - cut AS t, n - cut AS m, first_hour + cut AS base, cnt FROM dense WHERE hour >= cut"
+# A random draw of hours, and each part's hours numbered without holes.
+_CTES["drawn"] = """
+  SELECT city, hour, CASE WHEN ('0x' || substr(md5(concat_ws('|', city, hour::VARCHAR, '0')), 1, 8))::BIGINT % 1000000 < 800000
+    THEN 'train' ELSE 'test' END AS part FROM hours"""
+_CTES["placed"] = "SELECT *, row_number() OVER (PARTITION BY city, part ORDER BY hour) - 1 AS t, count(*) OVER (PARTITION BY city, part) AS m FROM drawn"
+for _part in ("train", "test"):
+    _CTES[f"drawn_{_part}"] = f"SELECT d.city, d.x, d.y, d.channel, p.t AS hour, cnt FROM demand d JOIN placed p ON p.city = d.city AND p.hour = d.hour AND part = '{_part}'"
+    _CTES[f"drawn_{_part}_n"] = f"SELECT DISTINCT city, m AS n FROM placed WHERE part = '{_part}'"
+_CTES["other_cells"] = "SELECT DISTINCT city, x, y, channel FROM drawn_test"
+_CTES["other_values"] = """
+  SELECT c.city, c.x, c.y, c.channel, p.t, p.m, 0 AS base, coalesce(d.cnt, 0) AS cnt
+  FROM other_cells c JOIN placed p ON p.city = c.city AND part = 'test'
+  LEFT JOIN drawn_test d ON d.city = c.city AND d.hour = p.t AND d.x = c.x AND d.y = c.y AND d.channel = c.channel"""
+
+
+def _rolled(values: str, gap: int, result: str) -> str:
+    """Fixed weights rolled out five steps over the windows of ``values``, each step fed with the one before."""
+    at = f"TIMESTAMP '1970-01-01' + to_hours((i.base + i.t + 24 + {gap} + STEP)::BIGINT)"
+    calendar = (
+        f"CASE WHEN isodow({at}) > 1 THEN 0.011e0 * isodow({at}) ELSE 0e0 END"
+        f" + CASE WHEN month({at}) > 1 THEN 0.003e0 * month({at}) ELSE 0e0 END + 0.07e0 * hour({at}) / 23e0 + 0.013e0"
+    )
+    place = "city, x, y, channel, t"
+    steps = []
+    for k in range(5):
+        before = f"(SELECT *, cnt::DOUBLE AS yhat FROM {values})" if k == 0 else f"step{k - 1}"
+        # The hour before the first step is the last of the window; later ones are forecasts.
+        last = "l.t = i.t + 23" if k == 0 else "l.t = i.t"
+        steps.append(
+            f"""step{k} AS MATERIALIZED (SELECT i.city, i.x, i.y, i.channel, i.t, i.m, i.base,
+              0.37e0 * l.yhat + 0.21e0 * d.cnt + {calendar.replace('STEP', str(k))} AS yhat, a.cnt AS actual
+            FROM {values} i
+            JOIN {before} l ON l.city = i.city AND l.x = i.x AND l.y = i.y AND l.channel = i.channel AND {last}
+            JOIN {values} d ON d.city = i.city AND d.x = i.x AND d.y = i.y AND d.channel = i.channel AND d.t = i.t + {k}
+            JOIN {values} a ON a.city = i.city AND a.x = i.x AND a.y = i.y AND a.channel = i.channel AND a.t = i.t + {24 + gap + k}
+            WHERE i.t < i.m - 29)"""
+        )
+    every = " UNION ALL ".join(f"SELECT *, {k}::INTEGER AS step FROM step{k}" for k in range(5))
+    head = "WITH " + ", ".join(steps) + f", rolled AS ({every}) "
+    if result == "scores":
+        return head + """SELECT city, t AS idx, step, channel, round(sum((yhat - actual) ** 2), 6) AS se,
+          sum(round_even(yhat, 0))::BIGINT AS pred, sum(actual)::BIGINT AS actual FROM rolled GROUP BY city, t, step, channel"""
+    return head + """SELECT city, round(sum((yhat - actual) ** 2) / any_value(nx * ny * 2 * 5 * (m - 29)), 6) AS mse
+      FROM rolled JOIN dims USING (city) GROUP BY city"""
+
+
+def _axes(train: str, lengths: str) -> str:
+    """Per cell: mean counts m0, m1 of both channels, the axis v0, v1 of largest variance, and what lies off it."""
+    return f"""SELECT *, m0 - v0 * (v0 * m0 + v1 * m1) AS b0, m1 - v1 * (v0 * m0 + v1 * m1) AS b1
+      FROM (SELECT *, CASE WHEN q1 = 0 THEN 1e0 WHEN q0 = 0 THEN 0e0 WHEN b = 0 THEN (a > d)::INTEGER::DOUBLE ELSE b / sqrt(b * b + (top - a) ** 2) END AS v0,
+          CASE WHEN q1 = 0 THEN 0e0 WHEN q0 = 0 THEN 1e0 WHEN b = 0 THEN (a <= d)::INTEGER::DOUBLE ELSE (top - a) / sqrt(b * b + (top - a) ** 2) END AS v1
+        FROM (SELECT *, (a + d) / 2 + sqrt(((a - d) / 2) ** 2 + b * b) AS top
+          FROM (SELECT city, x, y, n, q0, q1, s0 / n AS m0, s1 / n AS m1, q0 / n - (s0 / n) ** 2 AS a, q1 / n - (s1 / n) ** 2 AS d, q01 / n - s0 / n * s1 / n AS b
+            FROM (SELECT city, x, y, sum(c0)::DOUBLE AS s0, sum(c1)::DOUBLE AS s1, sum(c0 * c0)::DOUBLE AS q0, sum(c1 * c1)::DOUBLE AS q1, sum(c0 * c1)::DOUBLE AS q01
+              FROM ({_pairs(train)}) GROUP BY city, x, y) JOIN {lengths} USING (city))))"""
+
+
+def _pairs(source: str) -> str:
+    return f"""SELECT city, x, y, hour, sum(CASE channel WHEN 0 THEN cnt ELSE 0 END) AS c0, sum(CASE channel WHEN 1 THEN cnt ELSE 0 END) AS c1
+      FROM {source} GROUP BY city, x, y, hour"""
+
+
+def _coded(train: str, test: str, lengths: str) -> str:
+    """Each hour of a known cell with its code ``z``, from the channels the axis knows."""
+    return f"""SELECT a.*, hour, v0 * c0 + v1 * c1 AS z FROM ({_axes(train, lengths)}) a JOIN ({_pairs(test)}) p USING (city, x, y)
+      WHERE q0 > 0 AND c0 > 0 OR q1 > 0 AND c1 > 0"""
+
+
+def _lost(train: str, test: str, train_n: str, test_n: str) -> str:
+    """Mean squared error over known and unseen columns: hour by hour where there were trips, else ``base`` alone."""
+    return f"""WITH axes AS MATERIALIZED ({_axes(train, train_n)}), pairs AS ({_pairs(test)}),
+      busy AS (SELECT city, sum(CASE WHEN q0 > 0 THEN (c0 - b0 - v0 * z) ** 2 ELSE coalesce(c0, 0) ** 2 END
+          + CASE WHEN q1 > 0 THEN (c1 - b1 - v1 * z) ** 2 ELSE c1 ** 2 END
+          - CASE WHEN q0 > 0 THEN b0 * b0 ELSE 0e0 END - CASE WHEN q1 > 0 THEN b1 * b1 ELSE 0e0 END) AS se
+        FROM (SELECT p.*, q0, q1, b0, b1, v0, v1, CASE WHEN q0 > 0 THEN v0 * c0 ELSE 0e0 END + CASE WHEN q1 > 0 THEN v1 * c1 ELSE 0e0 END AS z
+          FROM pairs p LEFT JOIN axes USING (city, x, y)) GROUP BY city),
+      quiet AS (SELECT city, sum((q0 > 0)::INTEGER * b0 * b0 + (q1 > 0)::INTEGER * b1 * b1) AS off, sum((q0 > 0)::INTEGER + (q1 > 0)::INTEGER) AS known FROM axes GROUP BY city),
+      unseen AS (SELECT city, count(*) AS fresh FROM (SELECT DISTINCT t.city, t.x, t.y, t.channel FROM {test} t
+        LEFT JOIN axes a ON a.city = t.city AND a.x = t.x AND a.y = t.y WHERE coalesce(CASE t.channel WHEN 0 THEN q0 ELSE q1 END, 0) = 0) GROUP BY city)
+      SELECT city, round((se + off * n) / ((known + coalesce(fresh, 0)) * n), 6) AS mse
+      FROM busy JOIN quiet USING (city) JOIN {test_n} USING (city) LEFT JOIN unseen USING (city)"""
+
+
 _FINAL = {
     "scan_trips": """SELECT trip_id, city, start_time_utc, end_time_utc, round(start_lat, 6) AS start_lat,
       round(start_lon, 6) AS start_lon, round(end_lat, 6) AS end_lat, round(end_lon, 6) AS end_lon,
@@ -322,9 +414,22 @@ _FINAL = {
           lag(weighted, 3) OVER w AS l3, lag(weighted, 24) OVER w AS l24
         FROM hour_values WINDOW w AS (PARTITION BY city ORDER BY hour))
       WHERE hour >= 24""",
-    "encode_grid": """SELECT city, hour, x // 4 AS tx, y // 4 AS ty, round(sum(cnt * cnt)::DOUBLE, 6) AS energy
-      FROM demand GROUP BY ALL""",
-    "decode_grid": "SELECT * FROM demand",
+    "fit_forecaster": """SELECT 'lag_1' AS input, round(regr_slope(y, x), 6) AS weight FROM lag_pairs
+      UNION ALL SELECT 'intercept', round(regr_intercept(y, x), 6) FROM lag_pairs
+      UNION ALL SELECT 'loss', round((regr_syy(y, x) - regr_sxy(y, x) ** 2 / regr_sxx(y, x)) / count(*), 6) FROM lag_pairs""",
+    "loss_history": """SELECT pass, round(loss, 6) AS loss
+      FROM (SELECT (regr_syy(y, x) - regr_sxy(y, x) ** 2 / regr_sxx(y, x)) / count(*) AS loss FROM lag_pairs),
+        (SELECT unnest(range(0, 2))::INTEGER AS pass)""",
+    "save_load_model": _rolled("test_values", 0, "scores"),
+    "forecast_recursive": _rolled("test_values", 0, "scores"),
+    "exp_plain_lstm": _rolled("other_values", 1, "mse"),
+    "encode_grid": f"SELECT city, hour, x, y, round(z * z, 6) AS energy FROM ({_coded('demand', 'demand', 'lengths')})",
+    "decode_grid": f"""SELECT city, hour, channel, x, y, round(CASE channel WHEN 0 THEN b0 + v0 * z ELSE b1 + v1 * z END, 6) AS yhat
+      FROM ({_coded('demand', 'demand', 'lengths')}), (SELECT unnest([0, 1])::INTEGER AS channel)
+      WHERE CASE channel WHEN 0 THEN q0 ELSE q1 END > 0""",
+    "reconstruction_mse": _lost("demand", "demand", "lengths", "lengths"),
+    "exp_autoencoder": _lost("drawn_train", "drawn_test", "drawn_train_n", "drawn_test_n"),
+    "split_random": "SELECT city, hour, part FROM drawn",
     "score_forecast": "SELECT city, metric, channel, step, idx, round(value, 6) AS value FROM report",
     "heatmap_cells": """SELECT a.city, x, y, channel, actual, round_even(yhat, 0)::BIGINT AS pred
       FROM aligned a JOIN (SELECT city, least(20, max(idx)) AS k FROM aligned WHERE step = 0 GROUP BY city) m
@@ -356,7 +461,9 @@ def _needed(sql: str) -> list[str]:
 def _statement(sql: str) -> str:
     # A column may share its name with an expression; an unused expression is harmless.
     parts = ",\n".join(f"{n} AS MATERIALIZED ({_CTES[n]})" for n in _needed(sql))
-    return f"WITH {parts}\n{sql}" if parts else sql
+    if not parts:
+        return sql
+    return f"WITH {parts},\n{sql.removeprefix('WITH ')}" if sql.startswith("WITH ") else f"WITH {parts}\n{sql}"
 
 
 ORACLES = {name: _statement(sql) for name, sql in _FINAL.items()}

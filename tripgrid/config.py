@@ -62,7 +62,11 @@ class ColumnMap:
 
 @dataclass(frozen=True)
 class CityConfig:
-    """One city of a job. ``time_format`` is written with ``%``-codes."""
+    """One city of a job. ``time_format`` is written with ``%``-codes.
+
+    ``max_iter`` is the number of training passes of ``solver="l-bfgs"``; ``trees``
+    belong to the kind ``gbt``.
+    """
 
     city: str
     time_format: str
@@ -71,6 +75,8 @@ class CityConfig:
     horizon: int = HORIZON_HOURS
     kind: str = "linear"
     max_iter: int = 115
+    solver: str = "l-bfgs"
+    trees: int = 20
 
 
 # How each city's file prints its times.

@@ -6,41 +6,102 @@ the cell and the calendar of the hour to be forecast.
 
 from __future__ import annotations
 
-import re
+import uuid
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import (
-    GBTRegressionModel,
-    GBTRegressor,
-    LinearRegression,
-    LinearRegressionModel,
-)
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripgrid.session import path_exists
+from tripgrid.session import path_exists, remove, shared_dir
 
-KINDS = {"linear": LinearRegressionModel, "gbt": GBTRegressionModel}
+KINDS = ("linear", "gbt")
+# Time features that are inputs: without the first weekday and the first month, which
+# the others and the intercept determine.
+CALENDAR = tuple(i for i in range(20) if i not in (0, 7))
+
+
+@dataclass(frozen=True)
+class Tree:
+    """Nodes from the root down: a node with ``feature`` -1 is a leaf with ``value``."""
+
+    weight: float
+    feature: tuple[int, ...]
+    threshold: tuple[float, ...]
+    left: tuple[int, ...]
+    right: tuple[int, ...]
+    value: tuple[float, ...]
 
 
 @dataclass(frozen=True)
 class Forecaster:
-    """A fitted model, the lags it reads, and one loss per training pass."""
+    """Plain numbers of a fitted model, the lags it reads, and one loss per training pass.
+
+    A linear one has a weight for each lag and calendar input, then the intercept.
+    """
 
     kind: str
     lags: tuple[int, ...]
-    model: LinearRegressionModel | GBTRegressionModel
+    weights: tuple[float, ...] = ()
+    trees: tuple[Tree, ...] = ()
     losses: tuple[float, ...] = ()
+    calendar: bool = True
 
 
-def assemble(rows: DataFrame) -> DataFrame:
+def inputs(calendar: bool = True) -> Column:
+    """The input array of a row of ``lag_features``."""
+    if not calendar:
+        return F.col("lags")
+    return F.concat("lags", F.slice("time_features", 2, 6), F.slice("time_features", 9, 12))
+
+
+def assemble(rows: DataFrame, calendar: bool = True) -> DataFrame:
     """``features`` and ``label`` vectors from the output of ``lag_features``."""
-    return rows.select(array_to_vector(F.concat("lags", "time_features")).alias("features"), "label")
+    return rows.select(array_to_vector(inputs(calendar)).alias("features"), "label")
+
+
+def _residuals(rows: DataFrame, start: Forecaster) -> DataFrame:
+    """Rows whose label is what ``start`` leaves unexplained."""
+    predict = _predictor(start)
+
+    @F.pandas_udf("double")
+    def explained(values: pd.Series) -> pd.Series:
+        return pd.Series(predict(np.stack(values.to_numpy())) if len(values) else [], dtype=float)
+
+    return rows.withColumn("label", F.col("label") - explained(inputs(start.calendar)))
+
+
+def _tree_tables(spark: SparkSession, model: GBTRegressionModel) -> tuple[Tree, ...]:
+    """Node tables as the stored model keeps them."""
+    path = f"{shared_dir(spark)}/tripgrid-model-{uuid.uuid4().hex}"
+    model.write().save(path)
+    trees = []
+    for tree, weight in enumerate(model.treeWeights):
+        node, split = F.col("nodeData"), F.col("nodeData.split")
+        stored = spark.read.parquet(f"{path}/data").where(F.col("treeID") == tree).select(
+            node["id"].alias("id"),
+            split["featureIndex"].alias("feature"),
+            F.get(split["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"),
+            split["numCategories"].alias("categories"),
+            node["leftChild"].alias("left"),
+            node["rightChild"].alias("right"),
+            node["prediction"].alias("value"),
+        )
+        nodes = sorted(stored.collect(), key=lambda n: n["id"])
+        for i, n in enumerate(nodes):
+            leaf = n["left"] < 0
+            if n["id"] != i or leaf != (n["feature"] < 0) or not leaf and (n["categories"] != -1 or n["threshold"] is None):
+                raise ValueError(f"node {n} of tree {tree} is of an unknown form")
+        columns = {c: tuple(n[c] for n in nodes) for c in ("feature", "left", "right", "value")}
+        trees.append(Tree(weight, threshold=tuple(0.0 if n["threshold"] is None else n["threshold"] for n in nodes), **columns))
+    remove(spark, path)
+    return tuple(trees)
 
 
 def fit_forecaster(
@@ -51,24 +112,37 @@ def fit_forecaster(
     solver: str = "normal",
     trees: int = 20,
     seed: int = 0,
+    calendar: bool = True,
+    start: Forecaster | None = None,
 ) -> Forecaster:
     """Fit on the output of ``lag_features``; ``kind`` is ``linear`` or ``gbt``.
 
     The normal solver of the linear kind reads the rows once and keeps only the
     products of the inputs. ``solver="l-bfgs"`` makes up to ``max_iter`` passes and
-    reports its objective after each.
+    reports its objective after each. ``start`` is trained on: the fit is made to what
+    it leaves unexplained, and added to it.
     """
     if kind not in KINDS:
         raise ValueError(f"unknown forecaster {kind!r}, use one of {sorted(KINDS)}")
-    data = assemble(rows)
+    lags = tuple(lags)
+    if start is not None:
+        if (start.kind, start.lags, start.calendar) != (kind, lags, calendar):
+            raise ValueError("the forecaster to go on with has another kind or other inputs")
+        rows = _residuals(rows, start)
+    data = assemble(rows, calendar)
     if kind == "gbt":
         model = GBTRegressor(maxIter=trees, maxDepth=4, seed=seed).fit(data)
         losses = model.evaluateEachIteration(data, "squared")
+        own = Forecaster(kind, lags, trees=_tree_tables(rows.sparkSession, model), calendar=calendar)
     else:
         model = LinearRegression(solver=solver, maxIter=max_iter).fit(data)
         normal = solver == "normal"
         losses = [model.summary.meanSquaredError] if normal else model.summary.objectiveHistory
-    return Forecaster(kind, tuple(lags), model, tuple(float(v) for v in losses))
+        own = Forecaster(kind, lags, (*map(float, model.coefficients), float(model.intercept)), calendar=calendar)
+    if start is not None:
+        added = tuple(a + b for a, b in zip(start.weights, own.weights))
+        own = replace(own, weights=added, trees=start.trees + own.trees)
+    return replace(own, losses=tuple(float(v) for v in losses))
 
 
 def loss_history(spark: SparkSession, path: str) -> DataFrame:
@@ -82,19 +156,26 @@ def save_forecaster(spark: SparkSession, fitted: Forecaster, path: str) -> None:
     if path_exists(spark, f"{path}/history"):
         done = loss_history(spark, path).agg(F.coalesce(F.max("pass") + 1, F.lit(0))).first()[0]
     passes = [(done + i, loss) for i, loss in enumerate(fitted.losses)]
-    fitted.model.write().overwrite().save(f"{path}/model")
-    settings = spark.createDataFrame([(fitted.kind, list(fitted.lags))], "kind string, lags array<int>")
-    settings.coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
+    trees = [(t.weight, list(t.feature), list(t.threshold), list(t.left), list(t.right), list(t.value)) for t in fitted.trees]
+    row = (fitted.kind, list(fitted.lags), fitted.calendar, list(fitted.weights), trees)
+    spark.createDataFrame([row], _MODEL).coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
     spark.createDataFrame(passes, "pass int, loss double").coalesce(1).write.mode("append").parquet(f"{path}/history")
 
 
+_MODEL = (
+    "kind string, lags array<int>, calendar boolean, weights array<double>, trees array<struct<weight:double,"
+    "feature:array<int>,threshold:array<double>,left:array<int>,right:array<int>,value:array<double>>>"
+)
+
+
 def load_forecaster(spark: SparkSession, path: str) -> Forecaster | None:
     """The saved model, or ``None`` when there is none and training starts fresh."""
-    if not path_exists(spark, f"{path}/settings"):
+    if not path_exists(spark, f"{path}/model"):
         return None
-    kind, lags = spark.read.parquet(f"{path}/settings").first()
+    row = spark.read.schema(_MODEL).parquet(f"{path}/model").first()
     losses = [r["loss"] for r in loss_history(spark, path).orderBy("pass").toLocalIterator()]
-    return Forecaster(kind, tuple(lags), KINDS[kind].load(f"{path}/model"), tuple(losses))
+    trees = tuple(Tree(t["weight"], *(tuple(t[c]) for c in ("feature", "threshold", "left", "right", "value"))) for t in row["trees"])
+    return Forecaster(row["kind"], tuple(row["lags"]), tuple(row["weights"]), trees, tuple(losses), row["calendar"])
 
 
 def _calendar(hours: np.ndarray) -> np.ndarray:
@@ -108,49 +189,22 @@ def _calendar(hours: np.ndarray) -> np.ndarray:
     return out
 
 
-_SPLIT = re.compile(r"If \(feature (\d+) <= (\S+)\)")
-
-
-def _tree_tables(model: GBTRegressionModel) -> list[tuple]:
-    """Weight and node arrays of each tree, from the model's printed form."""
-    tables = []
-    for tree, weight in zip(model.trees, model.treeWeights):
-        feature, threshold, right, value = [], [], [], []
-        open_splits: list[int] = []
-        for line in tree.toDebugString.splitlines()[1:]:
-            text = line.strip()
-            split = _SPLIT.match(text)
-            if split:
-                open_splits.append(len(feature))
-            elif text.startswith("Else"):
-                right[open_splits.pop()] = len(feature)
-                continue
-            elif not text.startswith("Predict"):
-                continue
-            feature.append(int(split[1]) if split else -1)
-            threshold.append(float(split[2]) if split else 0.0)
-            value.append(0.0 if split else float(text.split(":")[1]))
-            right.append(-1)
-        tables.append((weight, *map(np.array, (feature, threshold, right, value))))
-    return tables
-
-
 def _predictor(fitted: Forecaster):
     """A small picklable function from an input matrix to predictions."""
     if fitted.kind == "linear":
-        weights, intercept = fitted.model.coefficients.toArray(), fitted.model.intercept
-        return lambda inputs: inputs @ weights + intercept
-    tables = _tree_tables(fitted.model)
-
-    def boosted(inputs: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(inputs))
-        rows = np.arange(len(inputs))
-        for weight, feature, threshold, right, value in tables:
-            node = np.zeros(len(inputs), dtype=np.int64)
+        weights, intercept = np.array(fitted.weights[:-1]), fitted.weights[-1]
+        return lambda values: values @ weights + intercept
+    tables = [(t.weight, *map(np.array, (t.feature, t.threshold, t.left, t.right, t.value))) for t in fitted.trees]
+
+    def boosted(values: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(values))
+        rows = np.arange(len(values))
+        for weight, feature, threshold, left, right, value in tables:
+            node = np.zeros(len(values), dtype=np.int64)
             while (feature[node] >= 0).any():
                 inner = feature[node] >= 0
-                goes_left = inputs[rows, np.maximum(feature[node], 0)] <= threshold[node]
-                node = np.where(inner, np.where(goes_left, node + 1, right[node]), node)
+                goes_left = values[rows, np.maximum(feature[node], 0)] <= threshold[node]
+                node = np.where(inner, np.where(goes_left, left[node], right[node]), node)
             total += weight * value[node]
         return total
 
@@ -167,14 +221,14 @@ def forecast_recursive(samples: DataFrame, fitted: Forecaster, f: int) -> DataFr
     """
     depth = max(fitted.lags)
     lags = np.array(fitted.lags)
-    predict = _predictor(fitted)
+    predict, calendar = _predictor(fitted), fitted.calendar
     rest = [c for c in samples.columns if c not in ("features", "at")]
     recent = F.slice("features", F.size("features") - depth + 1, depth)
     checked = F.when(F.size("features") < depth, F.raise_error(F.lit("window is shorter than the longest lag"))).otherwise(
         recent.cast("array<double>")
     )
-    inputs = samples.select(*rest, checked.alias("features"), "at")
-    schema = T.StructType([inputs.schema[c] for c in rest] + [T.StructField("yhat", T.ArrayType(T.DoubleType()))])
+    given = samples.select(*rest, checked.alias("features"), "at")
+    schema = T.StructType([given.schema[c] for c in rest] + [T.StructField("yhat", T.ArrayType(T.DoubleType()))])
 
     def roll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,12 +238,13 @@ def forecast_recursive(samples: DataFrame, fitted: Forecaster, f: int) -> DataFr
             first = batch.column("at").to_numpy(zero_copy_only=False).astype(np.int64)
             for step in range(f):
                 known = state[:, depth + step - lags]
-                state[:, depth + step] = predict(np.hstack([known, _calendar(first + step)]))
+                hour = [_calendar(first + step)[:, CALENDAR]] if calendar else []
+                state[:, depth + step] = predict(np.hstack([known, *hour]))
             ends = np.arange(n + 1, dtype=np.int32) * f
             yhat = pa.ListArray.from_arrays(pa.array(ends), pa.array(state[:, depth:].reshape(-1)))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], yhat], [*rest, "yhat"])
 
-    return inputs.mapInArrow(roll, schema)
+    return given.mapInArrow(roll, schema)
 
 
 def forecast_windows(windows: DataFrame, fitted: Forecaster, w: int, f: int, gap: int = 0) -> DataFrame:

@@ -40,10 +40,11 @@ def split_random(
 ) -> tuple[DataFrame, DataFrame]:
     """Bernoulli split of the records named by ``record``.
 
-    The draw is a hash of the record and the seed: a task that runs again, or another
-    number of partitions, gives the same split.
+    The draw is the MD5 of the printed record and the seed: a task that runs again, or
+    another number of partitions, gives the same split, and so does any other engine.
     """
-    draw = F.pmod(F.xxhash64(*record, F.lit(seed)), F.lit(_DRAWS))
+    printed = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in record], F.lit(str(seed)))
+    draw = F.conv(F.substring(F.md5(printed), 1, 8), 16, 10).cast("long") % _DRAWS
     kept = draw < round(share * _DRAWS)
     return df.where(kept), df.where(~kept)
 

@@ -21,6 +21,9 @@ from tripgrid.session import Staged, pin_utc, scratch, stage
 from tripgrid.sources import readers, writers
 
 
+STARTS = ("fresh", "continue", "score")
+
+
 def stored_span(stored: DataFrame, keys: Sequence[str] = CITY) -> DataFrame:
     """First and last hour, counted since 1970, of a stored demand set."""
     absolute = F.floor(F.unix_seconds("t0") / HOUR_S)
@@ -42,17 +45,24 @@ def run_forecast_job(
     run_id: str,
     lags: Sequence[int] | None = None,
     share: float = CHRONO_SHARE,
+    start: str = "fresh",
+    models: str | None = None,
 ) -> None:
     """Fit, forecast and score the named cities of a demand set written by the demand job.
 
     Cities with the same settings share one model and one pass. Appends the report to
-    ``out/eval`` and keeps the model under ``out/model-...``.
+    ``out/eval`` and keeps the model under ``out/model-...``. ``start`` is ``fresh``, or
+    ``continue`` to train on from the model saved there or under ``models``, or
+    ``score`` to use that model as it is.
     """
+    if start not in STARTS:
+        raise ValueError(f"start must be one of {STARTS}, not {start!r}")
     pin_utc(spark)
     groups: dict[tuple, list[str]] = {}
     for job in jobs:
-        groups.setdefault((job.window, job.horizon, job.kind, job.max_iter), []).append(job.city)
-    for (w, f, kind, max_iter), cities in groups.items():
+        groups.setdefault((job.window, job.horizon, job.kind, job.max_iter, job.solver, job.trees), []).append(job.city)
+    for (w, f, kind, max_iter, solver, trees), cities in groups.items():
+        name = f"model-{kind}-{w}-{f}"
         with scratch(spark):
             stored = readers.scan_demand(spark, f"{source}/demand").where(F.col("city").isin(cities))
             dims = stage(spark.read.parquet(f"{source}/dims").where(F.col("city").isin(cities)), "dims")
@@ -61,9 +71,16 @@ def run_forecast_job(
             whole = series.stage_series(counts, span, drop_last=False)
             train, test = series.split_series(whole, share)
             depths = tuple(lags or range(1, w + 1))
-            fitted = forecast.fit_forecaster(series.lag_features(train, depths), depths, kind, max_iter)
-            forecast.save_forecaster(spark, fitted, f"{out}/model-{kind}-{w}-{f}")
-            history = forecast.loss_history(spark, f"{out}/model-{kind}-{w}-{f}")
+            saved = None if start == "fresh" else forecast.load_forecaster(spark, f"{models or out}/{name}")
+            if start == "score":
+                if saved is None:
+                    raise ValueError(f"no model is saved under {models or out}/{name}")
+                fitted = saved
+            else:
+                rows = series.lag_features(train, depths)
+                fitted = forecast.fit_forecaster(rows, depths, kind, max_iter, solver, trees, start=saved)
+                forecast.save_forecaster(spark, fitted, f"{out}/{name}")
+            history = forecast.loss_history(spark, f"{(models or out) if start == 'score' else out}/{name}")
             per_city = history.withColumn("city", F.explode(F.array(*[F.lit(c) for c in cities])))
             aligned = forecast.forecast_windows(series.sliding_windows(test, w, f), fitted, w, f)
             n_samples = stage(sample_counts(span.df, w, f, share), "samples")
@@ -93,17 +110,20 @@ def run_plain_forecast(
     share: float = RANDOM_SHARE,
     seed: int = 0,
     keys: Sequence[str] = CITY,
+    fitted: forecast.Forecaster | None = None,
 ) -> DataFrame:
     """Older experiment: random hours, windows with a gap, fit, mean test loss per set.
 
-    Random hours have no calendar of their own, so positions stand in for hours.
+    Random hours have no calendar of their own, so positions stand in for hours. With
+    ``fitted`` nothing is trained. Staged tables last as long as the session.
     """
     pin_utc(spark)
     stored = readers.scan_demand(spark, f"{source}/demand")
     (train, train_span), (test, test_span) = _random_parts(stored, share, seed, keys)
     depths = tuple(lags or range(1, w + 1))
-    rows = series.lag_features(series.stage_series(train, train_span, keys, drop_last=False), depths)
-    fitted = forecast.fit_forecaster(rows, depths)
+    if fitted is None:
+        rows = series.lag_features(series.stage_series(train, train_span, keys, drop_last=False), depths)
+        fitted = forecast.fit_forecaster(rows, depths)
     cut = series.sliding_windows_gap(series.stage_series(test, test_span, keys, drop_last=False), w, f)
     aligned = forecast.forecast_windows(cut, fitted, w, f, gap=1)
     dims = stage(spark.read.parquet(f"{source}/dims"), "dims")
