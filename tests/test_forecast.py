@@ -84,8 +84,8 @@ def test_fit_equals_numpy_least_squares(spark, seasonal):
     fitted = forecast.fit_forecaster(series.lag_features(seasonal, (1, 2)), (1, 2))
     weights = dict(zip([("lag", 1), ("lag", 2), *forecast.CALENDAR, "intercept"], fitted.weights))
     got = [weights[k] for k in [("lag", 1), ("lag", 2), *use, "intercept"]]
-    assert np.allclose(got, best, atol=1e-6)
-    assert fitted.losses[0] == pytest.approx(np.mean((x @ best - y) ** 2))
+    assert np.allclose(got, best, atol=1e-4)
+    assert fitted.losses[0] == pytest.approx(np.mean((x @ best - y) ** 2), rel=1e-4)
 
 
 @pytest.mark.parametrize("kind", ["linear", "gbt"])
