@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripgrid.llm.common import free, let, whole, words_of
+from tripgrid.operators.cleaning import computed_once
 from tripgrid.session import remove, stage
 
 WINDOW = 5
@@ -194,7 +195,8 @@ def filter_documents(docs: DataFrame, text: str = "text", rules: Sequence[Rule]
     """The rows that no rule rejects, with the columns they came with."""
     order = ordered(estimate(docs, text, rules), rules)
     df, body, words = _with_words(docs, text)
-    return df.filter(kept(order, _Lazy(F.col(body), F.col(words)))).select(*docs.columns)
+    # Otherwise the filter moves below the words, with a copy of them for each rule.
+    return computed_once(df).filter(kept(order, _Lazy(F.col(body), F.col(words)))).select(*docs.columns)
 
 
 def judge(docs: DataFrame, id: str = "doc_id", text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
