@@ -149,3 +149,75 @@ def test_luhn(spark, digits):
 def test_no_python_in_the_plan(docs):
     plan = s.scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def disclosing(texts):
+    """Marked terms of every text, by loops over whole documents and both ways to estimate p(e | t)."""
+    inside = lambda m, spans: any(m.start() < e and b < m.end() for _, b, e in spans)
+    group = list(range(len(texts)))
+    first = {}
+    for i, text in enumerate(texts):
+        words = "".join(" " if any(b <= j < e for _, b, e in base(text)) else c for j, c in enumerate(text)).split()
+        for j in range(max(1, len(words) - s.PASSAGE + 1)):
+            other = group[first.setdefault(tuple(words[j : j + s.PASSAGE]), i)]
+            group = [other if g == group[i] else g for g in group] if other != group[i] else group
+    term, holds, says, where = re.compile(r"[^\W\d_]{3,}"), defaultdict(dict), defaultdict(set), defaultdict(list)
+    for i, text in enumerate(texts):
+        spans = base(text)
+        for kind, b, e in spans:
+            holds[text[b:e].lower()].setdefault(i, (text[max(0, b - s.REACH - 1) : b], text[e : e + s.REACH + 1]))
+        for m in term.finditer(text):
+            says[m[0].lower()].add(i)
+            if not inside(m, spans):
+                where[(i, m[0].lower())].append((m.start(), m.end()))
+    out = defaultdict(dict)
+    for e, rows in holds.items():
+        content = math.log2(len(texts) / len(rows))
+        for t in {t for i, t in where if i in rows}:
+            both = [i for i in rows if (i, t) in where]
+            k = min(len({rows[i] for i in both}), len({group[i] for i in both}))
+            if k >= s.CONTEXTS:
+                likely = len(both) / len(says[t])
+            else:
+                n, z = len(says[t]) - len(both) + k, s.Z
+                likely = (2 * k + z * z - 1 - z * math.sqrt(z * z - 1 / n + 4 * k * (1 - k / n) + 4 * k / n - 2)) / (2 * (n + z * z))
+            share = (math.log2(likely) + content) / content
+            for i in both if share >= s.GENERALISE else ():
+                for place in where[(i, t)]:
+                    out[i][place] = max(out[i].get(place, 0), share)
+    return {i: {p: "remove" if d >= s.REMOVE else "generalise" for p, d in marks.items()} for i, marks in out.items()}
+
+
+def numbered(i):
+    return "".join(chr(97 + int(c)) for c in f"{i:04}")
+
+
+def rare_and_far():
+    filler = [f"plain words {numbered(i)} about nothing" for i in range(1500)]
+    rare = [f"{numbered(9000 + i)} the Quagga keeper is rare@corp.example.com {numbered(8000 + i)}" for i in range(3)]
+    copies = ["only Wombat friends know copy@corp.example.com here"] * 3
+    once = ["single Numbat sighting once@corp.example.com"]
+    gap = lambda i, n: " ".join(numbered(n + 30 * i + j) for j in range(30))
+    far = [f"{numbered(7000 + i)} write to far@corp.example.com {gap(i, 5000)} signed Okapi, {gap(i, 6000)} okapi" for i in range(6)]
+    near = [" ".join("other" + numbered(i) if j % 20 == 5 + i else "near@corp.example.com" if j == 4 + i else numbered(4000 + j) for j in range(200)) for i in range(4)]
+    return filler + rare + copies + once + far + near
+
+
+def test_rare_entities_are_protected(spark):
+    texts = rare_and_far()
+    got = found(spark, texts)
+    want = disclosing(texts)
+    assert {i: {(b, e): k for k, b, e in x if k not in BASE} for i, x in got.items()} == {i: want.get(i, {}) for i in range(len(texts))}
+    # Three documents tell the keeper; three copies of one text, or one text, do not.
+    marked = lambda i: {texts[i][b:e] for k, b, e in got[i] if k not in BASE}
+    assert all("Quagga" in marked(i) for i in range(1500, 1503))
+    assert not any(marked(i) for i in range(1503, 1507))
+    # Nor do copies with some words changed, the entity's neighbours among them.
+    assert not any(marked(i) for i in range(1513, 1517))
+
+
+def test_terms_far_from_the_entity(spark):
+    texts = rare_and_far()
+    got = found(spark, texts)
+    for i in range(1507, 1513):
+        assert [k for k, b, e in got[i] if texts[i][b:e].lower() == "okapi"] == ["remove", "remove"]
