@@ -112,3 +112,18 @@ def test_odd_rows(spark):
     assert links.judge(df.limit(0), RULES).count() == 0
 
 
+def test_scores_reach_the_end_of_a_chain(spark):
+    hosts = [f"h{i}" for i in range(100)]
+    edges = [(a, b, 1) for a, b in zip(hosts, hosts[1:])]
+    found = links.propagate(spark.createDataFrame(edges, "src string, dst string, n long"), spark.createDataFrame([("h0", 1.0)], "host string, seed double"))
+    got = {r["host"]: r["score"] for r in found.df.collect()}
+    assert set(got) == set(hosts)
+    share = sum(links.DAMPING**i for i in range(100))
+    for i in range(100):
+        assert got[f"h{i}"] == pytest.approx(links.DAMPING**i / share, abs=links.CHANGE)
+
+
+def test_scores_that_do_not_settle_are_an_error(spark):
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, n long")
+    with pytest.raises(RuntimeError):
+        links.propagate(edges, spark.createDataFrame([("a", 1.0)], "host string, seed double"), rounds=3)

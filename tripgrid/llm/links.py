@@ -25,9 +25,10 @@ from tripgrid.llm.common import free, uneven_join
 from tripgrid.session import Staged, remove, stage
 
 DAMPING = 0.85
-ROUNDS = 30
-# The rounds end when all scores together change by less.
+# The rounds end when all scores together change by less and no further host is reached.
 CHANGE = 1e-6
+# Changes shrink by the damping in every round, so that about 90 suffice; more than this is an error.
+ROUNDS = 1000
 TOLERANCE = 1.0
 # Tasks over which the links of one host are spread.
 SALTS = 16
@@ -78,6 +79,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     """Personalised PageRank (host, score) of ``seeds`` (host, seed) along ``edges`` (src, dst, n).
 
     Seeds are scaled to one together; a host without links hands its score back to them.
+    Rounds go on until scores change by less than ``change`` and every host that links
+    lead to has one; ``rounds`` that change them by more are an error.
     Scores are sent along links in salted joins, so a host with many links is spread over
     tasks, and what arrives is summed before it is shuffled.
     """
@@ -90,7 +93,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     sums = stage(out, "out")
     copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     scores = stage(start.df.select("host", F.col("seed").alias("score")), "scores")
-    for _ in range(rounds if parts.rows and start.rows else 0):
+    n = 0
+    while parts.rows and start.rows:
         sending = scores.df.join(sums.df.withColumnRenamed("src", "host"), "host", "left")
         # What hosts without links hold goes back to the seeds.
         kept = sending.agg(F.sum(F.when(F.col("all").isNull(), F.col("score")))).first()[0] or 0.0
@@ -105,9 +109,13 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
         moved = after.df.withColumnRenamed("score", "new").join(scores.df, "host", "full")
         delta = moved.agg(F.sum(F.abs(F.coalesce("new", F.lit(0.0)) - F.coalesce("score", F.lit(0.0))))).first()[0] or 0.0
         remove(spark, scores.path)
-        scores = after
-        if delta < change:
+        # A host once reached keeps a score, so the same number of hosts is the same hosts.
+        further, scores = after.rows > scores.rows, after
+        if delta < change and not further:
             break
+        n += delta >= change
+        if n >= rounds:
+            raise RuntimeError(f"scores of hosts still change by {delta} after {n} rounds")
     for gone in (start, parts, sums):
         remove(spark, gone.path)
     return scores
