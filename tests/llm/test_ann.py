@@ -104,3 +104,11 @@ def test_odd_rows(spark):
     assert ann.search(df.limit(0), asked()).count() == 0
     assert ann.search(df.filter("vec_id = 60"), asked()).count() == 0
     assert ann.search(df.filter("vec_id = 0"), asked()).count() == 0
+
+
+@pytest.mark.parametrize("n", [5, 21])
+def test_few_vectors_are_all_found(spark, n):
+    x = np.random.default_rng(7).normal(size=(n, 64))
+    rows = [(20 * i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(x)]
+    found = answers(ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), asked()))
+    assert {q: [i for i, _ in h] for q, h in found.items()} == {q: [i for i, _ in w] for q, w in exact(rows).items()}

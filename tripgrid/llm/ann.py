@@ -6,6 +6,8 @@ the nearest by inner product. Each of ``TABLES`` tables rotates them by three ro
 random signs and a fast Hadamard transform and assigns them to the nearest signed axis.
 A query looks into the buckets of its ``PROBES`` largest signed coordinates in every
 table; what it finds there is ranked by exact inner products of the original vectors.
+A query that finds fewer than ``K`` although there are more candidates asks again, in all
+buckets of one table, which hold every vector once.
 
 Buckets are counted first (their number is fixed by the dimension), and a bucket of
 more than ``BLOCK`` vectors is dealt to several tasks, as are the queries that probe
@@ -132,14 +134,14 @@ def search(
         rest = np.sqrt(np.clip(1 - (x * x).sum(axis=1), 0, 1))
         return np.column_stack((x, rest)) if lift else x
 
-    def hashed(index: bool):
+    def hashed(index: bool, every: bool = False):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 x = on_sphere(_matrix(batch.column("v")), index)
-                for table in range(tables):
-                    found = turn.bucket(x, table)[:, None] if index else turn.probes(x, table, probes)
+                for table in range(1 if every else tables):
+                    found = turn.bucket(x, table)[:, None] if index else turn.probes(x, table, 2 * turn.size if every else probes)
                     row = np.repeat(np.arange(len(x)), found.shape[1])
                     bucket = pa.array(found.ravel() + table * 2 * turn.size, pa.int32())
                     yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), batch.column("v").take(pa.array(row)), bucket], ["id", "v", "bucket"])
@@ -149,14 +151,13 @@ def search(
     schema = "id long, v array<double>, bucket int"
     index = good.mapInArrow(hashed(True), schema)
     asking = good.withColumnRenamed("id", id).filter(is_query).groupBy(id).agg(F.min("v").alias("v")).withColumnRenamed(id, "id")
-    asked = asking.select("id", "v").mapInArrow(hashed(False), schema)
-    index, asked = stage(index, "index"), stage(asked, "asked")
+    asking = stage(asking.select("id", "v"), "asking").df
+    index, asked = stage(index, "index").df, stage(asking.mapInArrow(hashed(False), schema), "asked").df
 
     # At most tables * 2 * size buckets, however many rows there are.
     def dealt(df: DataFrame) -> dict[int, int]:
         return {r["bucket"]: -(-r["count"] // block) for r in df.groupBy("bucket").count().collect()}
 
-    index_parts, asked_parts = dealt(index.df), dealt(asked.df)
     buckets = tables * 2 * turn.size
     parts = lambda held: F.get(F.array(*[F.lit(held.get(b, 1)) for b in range(buckets)]), F.col("bucket"))
     place = lambda n: F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), n).cast("int")
@@ -165,8 +166,6 @@ def search(
         placed = df.withColumn(own, place(parts(mine))).withColumn(all_, F.explode(F.sequence(F.lit(0), parts(other) - 1)))
         return placed.select("bucket", "i", "q", F.lit(side).alias("side"), "id", "v")
 
-    both = spread(index.df, index_parts, asked_parts, "i", "q", 0).unionByName(spread(asked.df, asked_parts, index_parts, "q", "i", 1))
-
     def rank(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
         ids = table.column("id").to_numpy()
@@ -194,11 +193,25 @@ def search(
         joined = [np.concatenate(o) if o else np.array([]) for o in out]
         return pa.table({"query_id": pa.array(joined[0], pa.int64()), "vec_id": pa.array(joined[1], pa.int64()), "score": pa.array(joined[2], pa.float64())})
 
-    ranked = both.groupBy("bucket", "i", "q").applyInArrow(rank, "query_id long, vec_id long, score double")
-    # A row found in several tables is one result; rows that repeat an id count once for its best score.
-    found = ranked.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def answered(index: DataFrame, asked: DataFrame) -> DataFrame:
+        index_parts, asked_parts = dealt(index), dealt(asked)
+        both = spread(index, index_parts, asked_parts, "i", "q", 0).unionByName(spread(asked, asked_parts, index_parts, "q", "i", 1))
+        ranked = both.groupBy("bucket", "i", "q").applyInArrow(rank, "query_id long, vec_id long, score double")
+        # A row found in several tables is one result; rows that repeat an id count once for its best score.
+        found = ranked.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    first = stage(answered(index, asked), "found").df
+    # Other candidates of a query; at most k + 1 ids are counted to the end.
+    others = good.select("id").distinct().limit(k + 1).count() - 1
+    counts = first.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    short = stage(asking.join(counts, "id", "left").filter(F.coalesce("n", F.lit(0)) < min(k, others)).select("id", "v"), "short")
+    if not short.rows:
+        return first
+    again = stage(short.df.mapInArrow(hashed(False, every=True), schema), "asked").df
+    rest = answered(index.filter(F.col("bucket") < 2 * turn.size), again)
+    return first.join(short.df.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(rest)
 
 
 def _best(scores: np.ndarray, n: int) -> np.ndarray:
