@@ -29,7 +29,7 @@ def test_encoder_equals_tokenizer(texts):
 
 def test_encoder_forgets_without_changing_ids(monkeypatch, texts):
     monkeypatch.setattr("tripgrid.llm.tokens.CACHED", 50)
-    monkeypatch.setattr("tripgrid.llm.tokens.SLICE", 20_000)
+    monkeypatch.setattr("tripgrid.llm.flat.SLICE", 20_000)
     some = [texts[i] for i in sorted(texts)] + ["<|endoftext|>", "a <|endoftext|> b", "", " ", "it's, 'tis. x"]
     assert [x.tolist() for x in Encoder(PATH).encode(pa.array(some))] == [ids_of(t)[:-1] for t in some]
 

@@ -57,7 +57,78 @@ def _mix() -> str:
     return "WITH " + ", ".join(parts)
 
 
+# CRC-32 byte by byte over the bytes of ``{0}``, by the table ``t`` of 256 entries.
+_CRC32 = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, strlen({0}) + 1), lambda i: ('0x' || substr(hex({0}), 2 * i - 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _spelling() -> str:
+    """Words that are near differ by one place: the same without it, or one is the other without it."""
+    return f"""
+        WITH RECURSIVE bits(i, k, c) AS (
+            SELECT unnest(range(256)), 0, unnest(range(256))
+            UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8
+        ), crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+        runs AS (
+            SELECT coalesce(doc_id::VARCHAR, '') || ':' AS p, {_LOWER.format("unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+'))")} AS w
+            FROM documents
+        ), counted AS (SELECT p, w, p || w AS s, count(*) AS n FROM runs WHERE length(w) >= 6 GROUP BY p, w),
+        checked AS (SELECT w, n, {_CRC32.format("s")} AS h FROM counted, crc),
+        spoiled AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM checked),
+        words AS (SELECT word, sum(n)::BIGINT AS n FROM spoiled WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+        places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+        holes AS (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM places),
+        near AS (
+            SELECT x.word, y.word AS other, y.n AS other_n FROM holes x JOIN holes y USING (i, a, b) WHERE x.word <> y.word
+            UNION SELECT x.word, y.word, y.n FROM holes x JOIN words y ON x.a || x.b = y.word
+            UNION SELECT y.word, x.word, x.n FROM holes x JOIN words y ON x.a || x.b = y.word
+        ), best AS (
+            SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word
+        ), forms AS (
+            SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * n THEN other END AS form, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n
+            FROM words LEFT JOIN best USING (word)
+        ), chain(word, root, next) AS (
+            SELECT word, word, form FROM forms
+            UNION ALL SELECT c.word, c.next, f.form FROM chain c JOIN forms f ON f.word = c.next
+        )
+        SELECT word, form, root, n, n_near, form_n FROM forms JOIN chain USING (word) WHERE next IS NULL
+    """
+
+
+def _phrases() -> str:
+    """All phrases of up to five words by their places; no structure is shared between lengths."""
+    ngrams = " UNION ALL ".join(
+        f"SELECT lang, {k} AS k, array_to_string(w[i:i + {k - 1}], ' ') AS phrase FROM places WHERE i + {k - 1} <= len(w)" for k in range(1, 6)
+    )
+    return f"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+        ), split AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+        places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM split),
+        totals AS (SELECT lang, count(*) AS n FROM places GROUP BY lang),
+        found AS (SELECT lang, k, phrase, count(*) AS a FROM ({ngrams}) GROUP BY ALL HAVING count(*) >= 100),
+        cuts AS (
+            SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS j FROM found WHERE k > 1
+        ), scored AS (
+            SELECT c.lang, c.phrase, c.a, j, x.a AS l, y.a AS r, n,
+                ((1000::HUGEINT * c.a * n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+            FROM cuts c JOIN totals t ON t.lang = c.lang
+                JOIN found x ON x.lang = c.lang AND x.phrase = array_to_string(w[:j], ' ')
+                JOIN found y ON y.lang = c.lang AND y.phrase = array_to_string(w[j + 1:], ' ')
+        ), weakest AS (SELECT DISTINCT ON (lang, phrase) * FROM scored ORDER BY lang, phrase, score, j),
+        outside AS (
+            SELECT * FROM weakest s WHERE NOT EXISTS (
+                SELECT 1 FROM weakest b WHERE b.lang = s.lang AND length(b.phrase) > length(s.phrase)
+                    AND contains(' ' || b.phrase || ' ', ' ' || s.phrase || ' ') AND 100 * b.a >= 100 * s.a
+            )
+        ), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM outside)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+    """
+
+
 ORACLES: dict[str, str] = {
+    "op11_spelling": _spelling(),
+    "op13_phrases": _phrases(),
     "op3_links": r"""
         WITH parts AS (
             SELECT page_id,

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripgrid.llm.common import whole
-from tripgrid.llm.tokens import encoder
+from tripgrid.llm.tokens import Encoder
 
 CAPACITY = 1024
 END = 2
@@ -157,9 +157,9 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        packer = _Packer(capacity, context.partitionId() if context else 0)
+        packer, code = _Packer(capacity, context.partitionId() if context else 0), Encoder(tokenizer)
         for batch in batches:
-            encoded = encoder(tokenizer).encode(batch.column("text"))
+            encoded = code.encode(batch.column("text"))
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
                 packer.add(doc_id, np.append(ids, end))
                 if packer.tokens >= block:

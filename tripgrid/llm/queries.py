@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripgrid.llm import ann, credentials, links, lm, mixing, packing, quality, records, sanitise, simhash
+from tripgrid.llm import ann, counts, credentials, links, lm, mixing, packing, phrases, quality, records, sanitise, simhash, spelling
 from tripgrid.llm.common import table
 from tripgrid.llm.oracle import ORACLES
 from tripgrid.session import shared_dir
@@ -124,3 +124,20 @@ def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     records.write(table(spark, sf_dir, "documents"), path, TOKENIZER)
     index = records.write_index(spark, path, f"{path}-index")
     return index.select("doc_id", "start", "n_tokens", F.col("crc32").alias("ids_crc32"))
+
+
+@query
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(table(spark, sf_dir, "documents"), spoil=spelling.SPOIL)
+    return spelling.variants(words)
+
+
+@query
+def op12_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = counts.count(table(spark, sf_dir, "documents"), TOKENIZER)
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+@query
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tripgrid.llm.common import whole
-from tripgrid.llm.tokens import encoder
+from tripgrid.llm.tokens import Encoder
 from tripgrid.session import remove, stage
 
 END = 2
@@ -81,14 +81,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, id: str = "doc_id", text:
     files = max(cores, -(-size // file_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = Encoder(tokenizer)
+        width = 2 if max(code.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else 4
         for batch in batches:
-            code = encoder(tokenizer)
-            width = 2 if max(code.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else 4
             out, held = [], 0
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), code.encode(batch.column("text")), strict=True):
                 out.append(frame(doc_id, np.append(ids, end), width))
                 held += len(out[-1])
-                if held > 1 << 24:
+                if held > 1 << 22:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
                     out, held = [], 0
             # The text writer adds the line end.
@@ -111,7 +111,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((file, offset, size, doc_id, start, len(ids), ids.astype("<u4").tobytes()))
                     start += len(ids)
                     held += size
-                    if held > 1 << 23:
+                    if held > 1 << 22:
                         yield _records(rows)
                         rows, held = [], 0
                 if rows:

@@ -1,135 +1,153 @@
 """Whole texts to token ids with a public byte-level BPE tokenizer, fast on repeating words.
 
-A byte-level tokenizer cuts a text into pieces before it merges, and a single white
-space between two other characters is always such a cut. So a text in which no white
-space touches another or an end is cut at its spaces and line ends, each distinct chunk
-of a batch is encoded once, and the ids are put together with numpy. All other texts,
-and those that hold one of the tokenizer's special strings, are encoded whole by the
-tokenizer. Ids are the same either way.
+A byte-level tokenizer cuts a text into pre-tokens before it merges. Some of these cuts
+can be told from the bytes alone: before a single blank or line end between two other
+characters, after such a line end, and between a Latin letter and a comma or full stop.
+Texts are cut there into chunks; each distinct chunk is encoded once, with all that
+stands between two such cuts left to the tokenizer, and the ids are put together by
+numpy. Ids are the same as those of whole texts.
+
+Chunks are remembered for one task and in bounded memory: all are forgotten when there
+are more than ``CACHED``. A slice of texts and its chunks are held at a time; one text
+longer than a slice is held whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Everything that any of the engines calls white space, and the separators some do.
-_BLANK = r"\x09-\x0D\x1C-\x20\x85\xA0\x{1680}\x{180E}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
-_UNEVEN = rf"^[{_BLANK}]|[{_BLANK}]$|[{_BLANK}][{_BLANK}]|^$"
-# Chunks remembered in each of two generations, some 100 bytes each.
-CACHED = 300_000
-# Characters of text encoded at a time.
-SLICE = 8_000_000
+from tripgrid.llm.flat import coded, ends_of, flat, slices
+
+CACHED = 400_000
+# Chunks that are one pre-token each: one Latin word, comma, full stop or line end.
+PLAIN = r"^ ?[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+$|^[,.\n]$"
+
+
+@lru_cache(maxsize=1)
+def load(path: str):
+    """The tokenizer of a file, read once in a Python worker."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    if any(re.search(r"[\s,.]", special) for special in specials(tokenizer)):
+        raise ValueError("special tokens that hold white space, commas or full stops are not supported")
+    return tokenizer
+
+
+def _byte_names() -> dict[int, str]:
+    """How byte-level vocabularies print each byte: as itself where it is visible, else from 256 on."""
+    visible = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b != 0xAD]
+    others = sorted(set(range(256)) - set(visible))
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_BYTE_NAMES = _byte_names()
+
+
+def merged(tokenizer, pretoken: str) -> list[int]:
+    """The ids of one pre-token, straight from the merges."""
+    return [t.id for t in tokenizer.model.tokenize(pretoken.encode().decode("latin-1").translate(_BYTE_NAMES))]
+
+
+def specials(tokenizer) -> list[str]:
+    return [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+
+
+def _class(*spans: tuple[int, int]) -> np.ndarray:
+    out = np.zeros(256, bool)
+    for a, b in spans:
+        out[a : b + 1] = True
+    return out
+
+
+# ASCII characters that are no blank in any engine, and first bytes of characters of
+# which none is: blanks beyond ASCII begin with C2, E1, E2, E3 or EF.
+_SOLID = _class((0x00, 0x08), (0x0E, 0x1B), (0x21, 0x7F), (0xC3, 0xE0), (0xE4, 0xEE), (0xF0, 0xF4))
+_LATER = _class((0x80, 0xBF))
+_LETTER = _class((0x41, 0x5A), (0x61, 0x7A))
+_STOP = _class((0x2C, 0x2C), (0x2E, 0x2E))
+
+
+def cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Ascending byte positions where chunks begin, the start of every text that is not empty among them."""
+    n = len(data)
+    solid, later = _SOLID[data], _LATER[data]
+    if later.any():
+        for _ in range(3):
+            solid[1:] |= later[1:] & solid[:-1]
+    line = data == 0x0A
+    at = np.zeros(n + 1, bool)
+    # Both neighbours of a single blank or line end are solid.
+    at[1 : n - 1] = ((data == 0x20) | line)[1:-1] & solid[:-2] & solid[2:]
+    at[1:n] |= at[: n - 1] & line[:-1]
+    letter = _LETTER[data]
+    # E0..FF after C3, without the signs for times and division: letters of two bytes.
+    letter[1:] |= (data[:-1] == 0xC3) & later[1:] & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    at[1:n] |= _STOP[data][1:] & letter[:-1]
+    at[starts] = True
+    return np.flatnonzero(at[:n])
+
+
+def chunks(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Code of each chunk, the distinct chunks, and where each text's chunks begin and the last one's end."""
+    data, starts = flat(texts)
+    begin = cuts(data, starts) if len(data) else np.zeros(0, np.int64)
+    code, names = coded(data, np.append(begin, len(data)))
+    return code, names, np.searchsorted(begin, starts)
 
 
 class Encoder:
-    """Encodes arrays of texts; remembers the ids of chunks in bounded memory."""
+    """Encodes arrays of texts for one task; remembers the ids of chunks in bounded memory."""
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.uneven = "|".join([_UNEVEN, *map(re.escape, special)])
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _remember(self, chunk: str, ids: bytes) -> bytes:
-        if len(self.new) >= CACHED:
-            self.old, self.new = self.new, {}
-        self.new[chunk] = ids
-        return ids
-
-    def _get(self, chunk: str) -> bytes | None:
-        found = self.new.get(chunk)
-        if found is None and (found := self.old.get(chunk)) is not None:
-            self._remember(chunk, found)
-        return found
-
-    @staticmethod
-    def _stopped(chunk: str) -> bool:
-        """A Latin word before one comma or full stop; the tokenizer always cuts between them."""
-        return chunk[-1] in ",." and chunk[-2:-1].isalpha() and chunk[-2] < "\u0250"
-
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        """Ids of each chunk. A word before a comma or full stop is looked up without it."""
-        out: list[bytes | None] = []
-        missing: dict[str, None] = {}
-        for chunk in chunks:
-            found = self._get(chunk)
-            if found is None:
-                missing[chunk[:-1] if self._stopped(chunk) else chunk] = None
-            out.append(found)
-        new = [m for m in missing if self._get(m) is None]
-        for m, encoded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self._remember(m, np.asarray(encoded.ids, "<u4").tobytes())
-        for i, found in enumerate(out):
-            if found is None:
-                out[i] = self._chunk(chunks[i])
-        return out  # type: ignore[return-value]
-
-    def _chunk(self, chunk: str) -> bytes:
-        found = self._get(chunk)
-        if found is None and self._stopped(chunk):
-            head, tail = self._get(chunk[:-1]), self._get(chunk[-1])
-            head = self._whole(chunk[:-1]) if head is None else head
-            tail = self._remember(chunk[-1], self._whole(chunk[-1])) if tail is None else tail
-            found = self._remember(chunk, head + tail)
-        return self._remember(chunk, self._whole(chunk)) if found is None else found
-
-    def _even(self, texts: pa.Array) -> list[np.ndarray]:
-        """Ids of texts whose white space stands alone."""
-        # A line end starts a chunk of its own, which keeps it; other chunks get their space back.
-        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
-        coded = lists.flatten().dictionary_encode()
-        first = np.zeros(len(coded), bool)
-        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-        first[np.concatenate(([0], ends[:-1]))] = True
-        code = coded.indices.to_numpy(zero_copy_only=False)
-        names = coded.dictionary.to_pylist()
-        opening = sorted(set(code[first].tolist()))
-        chunks = [n if n[0] == "\n" else " " + n for n in names] + [names[c] for c in opening]
-        code = code.astype(np.int64)
-        code[first] = len(names) + np.searchsorted(opening, code[first])
-        found = self._chunks(chunks)
-        pool = np.frombuffer(b"".join(found), "<u4")
-        size = np.fromiter((len(f) // 4 for f in found), np.int64, len(found))
-        start = np.cumsum(size) - size
-        size, start = size[code], start[code]
-        after = np.cumsum(size)
-        ids = pool[np.repeat(start - (after - size), size) + np.arange(after[-1])]
-        return np.split(ids, after[ends - 1][:-1])
+        self.tokenizer = load(path)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _ids(self, names: pa.Array) -> list[list[int]]:
+        """The ids of each chunk."""
+        plain = pc.match_substring_regex(names, PLAIN).to_pylist()
+        texts = names.to_pylist()
+        others = iter(self.tokenizer.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
+        return [merged(self.tokenizer, t) if p else next(others).ids for t, p in zip(texts, plain, strict=True)]
+
+    def _learn(self, names: pa.Array) -> np.ndarray:
+        """Where the ids of each distinct chunk stand in ``ids``, by number."""
+        if len(self.known) > CACHED:
+            self._forget()
+        texts = names.to_pylist()
+        number = np.fromiter((self.known.get(t, -1) for t in texts), np.int64, len(texts))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            number[new] = len(self.known) + np.arange(len(new))
+            found = self._ids(names.take(pa.array(new)))
+            self.known.update(zip((texts[i] for i in new), number[new].tolist(), strict=True))
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        return number
 
     def _slice(self, texts: pa.Array) -> list[np.ndarray]:
-        uneven = pc.match_substring_regex(texts, self.uneven)
-        even = pc.filter(texts, pc.invert(uneven))
-        ready = iter(self._even(even)) if len(even) else iter(())
-        return [
-            np.frombuffer(self._whole(text.as_py()), "<u4") if odd else next(ready)
-            for text, odd in zip(texts, uneven.to_pylist(), strict=True)
-        ]
-
-    def encode(self, texts: pa.Array):
+        code, names, first = chunks(texts)
+        number = self._learn(names)[code]
+        size = self.ends[number + 1] - self.ends[number]
+        after = ends_of(size)
+        ids = self.ids[np.repeat(self.ends[number] - after[:-1], size) + np.arange(after[-1])]
+        return np.split(ids, after[first[1:-1]])
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text without nulls, one array after the other."""
-        texts = texts.cast(pa.string())
-        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
-        at = 0
-        while at < len(texts):
-            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE, "right")))
-            yield from self._slice(texts.slice(at, end - at))
-            at = end
-
-
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder for each file in a Python worker; it lives as long as the worker."""
-    return Encoder(path)
+        for _, part in slices(texts):
+            yield from self._slice(part)
