@@ -172,7 +172,7 @@ def count(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text
     known = frequent(docs, tokenizer, text, most, sample_rows)
     slots = frequencies(docs, tokenizer, known, id, text)
     # Rows of documents have no pre-token; they are dealt by their own numbers.
-    owner = F.coalesce(F.xxhash64("pretoken"), F.col("row"))
+    owner = F.when(F.col("pretoken").isNull(), F.col("row")).otherwise(F.xxhash64("pretoken"))
     dealt = slots.repartition(owner).sortWithinPartitions("pretoken")
     weighed = dealt.mapInArrow(_weighed(tokenizer), "row long, doc_id long, n_bytes long, n long")
     summed = weighed.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
