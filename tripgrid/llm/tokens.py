@@ -18,7 +18,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +55,11 @@ _BYTE_NAMES = _byte_names()
 
 def merged(tokenizer, pretoken: str) -> list[int]:
     """The ids of one pre-token, straight from the merges."""
-    return [t.id for t in tokenizer.model.tokenize(pretoken.encode().decode("latin-1").translate(_BYTE_NAMES))]
+    if pretoken.isascii() and pretoken[1:].isalpha() and pretoken[0] == " ":
+        named = _BYTE_NAMES[0x20] + pretoken[1:]
+    else:
+        named = pretoken.encode().decode("latin-1").translate(_BYTE_NAMES)
+    return [t.id for t in tokenizer.model.tokenize(named)]
 
 
 def specials(tokenizer) -> list[str]:
@@ -128,7 +132,7 @@ class Encoder:
         if len(self.known) > CACHED:
             self._forget()
         texts = names.to_pylist()
-        number = np.fromiter((self.known.get(t, -1) for t in texts), np.int64, len(texts))
+        number = np.fromiter(map(self.known.get, texts, repeat(-1)), np.int64, len(texts))
         new = np.flatnonzero(number < 0)
         if len(new):
             number[new] = len(self.known) + np.arange(len(new))
