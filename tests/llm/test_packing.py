@@ -68,6 +68,12 @@ def test_documents(docs, texts, block):
     assert len(filled) <= sum(filled) / 1024 * 1.05 + 2
 
 
+@pytest.mark.parametrize("partitions", [1, 64, 256])
+def test_partitions_leave_little_room(docs, texts, partitions):
+    filled = check(packing.pack(docs.repartition(partitions), PATH).collect(), texts)
+    assert len(filled) <= sum(filled) / 1024 * 1.01 + 2
+
+
 def test_odd_rows(odd):
     rows = packing.pack(odd, PATH).collect()
     given = {r["doc_id"]: r["text"] for r in odd.collect()}

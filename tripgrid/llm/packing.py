@@ -7,7 +7,9 @@ remainder comes first, so that all later pieces are whole sequences.
 
 Each task packs what it reads, in blocks of bounded size, and carries sequences that
 are not nearly full over to the next block; so nothing is shuffled, a lost executor
-repeats its own tasks only, and a task leaves at most a few sequences with room.
+repeats its own tasks only, and a task leaves at most a few sequences with room. Tables
+in many small partitions are read by fewer tasks, ``TASK_BYTES`` of text each, so that
+what the tasks leave stays below one in a hundred sequences.
 
 A null text is empty and still has its end token. Repeated rows are packed as often as
 they occur, rows with a null id too; extra columns are not read. An empty table gives
@@ -31,6 +33,8 @@ CAPACITY = 1024
 END = 2
 # Tokens that a task holds before it packs them.
 BLOCK = 4_000_000
+# Text that a task reads at least, if there is so much.
+TASK_BYTES = 8_000_000
 # Sequences with room that go from one block to the next.
 CARRIED = 256
 # Sequences numbered within a task; the task's number is above these bits.
@@ -166,4 +170,6 @@ def pack(
                     yield from packer.pack(last=False)
         yield from packer.pack(last=True)
 
-    return docs.select(F.col(id).cast("long").alias("doc_id"), whole(text).alias("text")).mapInArrow(run, SCHEMA)
+    own = docs.select(F.col(id).cast("long").alias("doc_id"), whole(text).alias("text"))
+    size = own.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return own.coalesce(max(1, size // TASK_BYTES)).mapInArrow(run, SCHEMA)
