@@ -288,6 +288,16 @@ _FINAL = {
     "scan_trips": """SELECT trip_id, city, start_time_utc, end_time_utc, round(start_lat, 6) AS start_lat,
       round(start_lon, 6) AS start_lon, round(end_lat, 6) AS end_lat, round(end_lon, 6) AS end_lon,
       round(distance_miles, 6) AS distance_miles FROM trips_fx""",
+    "scan_trips_quoted": """SELECT trip_id, start_time_utc, 'by ' || scooter_id || ', "no"' || repeat(chr(10) || ', x', (trip_id % 4)::INTEGER) AS note
+      FROM trips_fx WHERE city = 'a'""",
+    "encode_grid": """SELECT city, hour, floor(x / 4e0)::INTEGER AS tx, floor(y / 4e0)::INTEGER AS ty, sum(cnt * cnt)::DOUBLE AS energy
+      FROM demand GROUP BY ALL""",
+    "decode_grid": """SELECT city, hour, channel, x, y, cnt::DOUBLE AS yhat FROM demand""",
+    "conv_surroundings": """SELECT city, hour, tx, ty, count(*) AS cells, sum(cnt)::BIGINT AS cnt, sum(((x - tx * 8 + 3) * 14 + y - ty * 8 + 3) * 2 + channel)::BIGINT AS slots
+      FROM (SELECT *, unnest(range(floor((x - 3) / 8e0)::BIGINT, floor((x + 2) / 8e0)::BIGINT + 2)) AS tx FROM demand) a
+        CROSS JOIN LATERAL (SELECT unnest(range(floor((y - 3) / 8e0)::BIGINT, floor((y + 2) / 8e0)::BIGINT + 2)) AS ty)
+      WHERE x - tx * 8 BETWEEN -3 AND 10 AND y - ty * 8 BETWEEN -3 AND 10
+      GROUP BY city, hour, tx, ty""",
     "scan_trips_drift": """SELECT trip_id, file_ord, start_time, start_station, end_station,
       CASE WHEN file_ord = 0 THEN round(start_lat, 6) END AS start_lat FROM station_trips""",
     "scan_stations": f"SELECT id, lat, datetime FROM ({_station_select('station_rows')})",
@@ -414,21 +424,21 @@ _FINAL = {
           lag(weighted, 3) OVER w AS l3, lag(weighted, 24) OVER w AS l24
         FROM hour_values WINDOW w AS (PARTITION BY city ORDER BY hour))
       WHERE hour >= 24""",
-    "fit_forecaster": """SELECT 'lag_1' AS input, round(regr_slope(y, x), 6) AS weight FROM lag_pairs
+    "fit_forecaster_lag": """SELECT 'lag_1' AS input, round(regr_slope(y, x), 6) AS weight FROM lag_pairs
       UNION ALL SELECT 'intercept', round(regr_intercept(y, x), 6) FROM lag_pairs
       UNION ALL SELECT 'loss', round((regr_syy(y, x) - regr_sxy(y, x) ** 2 / regr_sxx(y, x)) / count(*), 6) FROM lag_pairs""",
-    "loss_history": """SELECT pass, round(loss, 6) AS loss
+    "loss_history_lag": """SELECT pass, round(loss, 6) AS loss
       FROM (SELECT (regr_syy(y, x) - regr_sxy(y, x) ** 2 / regr_sxx(y, x)) / count(*) AS loss FROM lag_pairs),
         (SELECT unnest(range(0, 2))::INTEGER AS pass)""",
-    "save_load_model": _rolled("test_values", 0, "scores"),
-    "forecast_recursive": _rolled("test_values", 0, "scores"),
-    "exp_plain_lstm": _rolled("other_values", 1, "mse"),
-    "encode_grid": f"SELECT city, hour, x, y, round(z * z, 6) AS energy FROM ({_coded('demand', 'demand', 'lengths')})",
-    "decode_grid": f"""SELECT city, hour, channel, x, y, round(CASE channel WHEN 0 THEN b0 + v0 * z ELSE b1 + v1 * z END, 6) AS yhat
+    "save_load_model_fixed": _rolled("test_values", 0, "scores"),
+    "forecast_recursive_fixed": _rolled("test_values", 0, "scores"),
+    "exp_plain_fixed": _rolled("other_values", 1, "mse"),
+    "encode_grid_cell": f"SELECT city, hour, x, y, round(z * z, 6) AS energy FROM ({_coded('demand', 'demand', 'lengths')})",
+    "decode_grid_cell": f"""SELECT city, hour, channel, x, y, round(CASE channel WHEN 0 THEN b0 + v0 * z ELSE b1 + v1 * z END, 6) AS yhat
       FROM ({_coded('demand', 'demand', 'lengths')}), (SELECT unnest([0, 1])::INTEGER AS channel)
       WHERE CASE channel WHEN 0 THEN q0 ELSE q1 END > 0""",
-    "reconstruction_mse": _lost("demand", "demand", "lengths", "lengths"),
-    "exp_autoencoder": _lost("drawn_train", "drawn_test", "drawn_train_n", "drawn_test_n"),
+    "reconstruction_mse_cell": _lost("demand", "demand", "lengths", "lengths"),
+    "exp_autoencoder_cell": _lost("drawn_train", "drawn_test", "drawn_train_n", "drawn_test_n"),
     "split_random": "SELECT city, hour, part FROM drawn",
     "score_forecast": "SELECT city, metric, channel, step, idx, round(value, 6) AS value FROM report",
     "heatmap_cells": """SELECT a.city, x, y, channel, actual, round_even(yhat, 0)::BIGINT AS pred

@@ -6,7 +6,6 @@ values exactly.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -18,6 +17,7 @@ from tripgrid.config import CityConfig
 from tripgrid.functions import dates, encoding, numbers
 from tripgrid.operators import (
     cleaning,
+    conv,
     demand,
     evaluate,
     forecast,
@@ -31,7 +31,7 @@ from tripgrid.operators import (
 from tripgrid.operators.lookup import attach, lookup_join
 from tripgrid.plans import demand as demand_plan
 from tripgrid.plans import forecast as forecast_plan
-from tripgrid.session import Staged, pin_utc, shared_dir, spread, stage
+from tripgrid.session import Staged, own_path, pin_utc, spread, stage
 from tripgrid.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,7 +151,7 @@ def _samples(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/tripgrid-files-{uuid.uuid4().hex}"
+    return own_path(spark, "files")
 
 
 def _trip_files(spark: SparkSession, sf: str) -> dict[str, str]:
@@ -182,6 +182,18 @@ def scan_trips(spark, sf):
     )
 
 
+@query
+def scan_trips_quoted(spark, sf):
+    """Trip files with a free text that holds quotes, commas and line breaks."""
+    root = _scratch(spark)
+    trips = fx.trips_fx(spark, sf).where("city = 'a'").drop("city")
+    note = F.concat(F.lit("by "), F.col("scooter_id").cast("string"), F.lit(', "no"'), F.repeat(F.lit("\n, x"), (F.col("trip_id") % 4).cast("int")))
+    # The writer counts line ends as a reason to quote; doubled quotes are its escape here.
+    trips.withColumn("note", note).write.options(header=True, escape='"').csv(root)
+    read = readers.scan_trips(spark, f"{root}/*.csv", city="a")
+    return read.select(F.col("trip_id").cast("long").alias("trip_id"), "start_time_utc", "note")
+
+
 def _in_files(df: DataFrame, order: str, path: str, files: int = 4) -> None:
     """CSV files whose names keep ``order``."""
     ranged = df.repartitionByRange(files, order).sortWithinPartitions(order)
@@ -819,29 +831,72 @@ def lag_features(spark, sf):
     )
 
 
-def _simple(spark: SparkSession, sf: str) -> forecast.Forecaster:
+@lru_cache(maxsize=8)
+def _train(spark: SparkSession, sf: str) -> DataFrame:
+    return stage(series.split_series(_series(spark, sf), 0.9)[0], "train").df
+
+
+@lru_cache(maxsize=8)
+def _fitted(spark: SparkSession, sf: str) -> forecast.Forecaster:
+    """Several lags and the calendar."""
+    return forecast.fit_forecaster(series.lag_features(_train(spark, sf), LAGS), LAGS)
+
+
+@lru_cache(maxsize=8)
+def _fitted_lag(spark: SparkSession, sf: str) -> forecast.Forecaster:
     """Counts explained by the hour before alone, which SQL can fit too."""
-    train, _ = series.split_series(_series(spark, sf), 0.9)
-    return forecast.fit_forecaster(series.lag_features(train, (1,)), (1,), calendar=False)
+    return forecast.fit_forecaster(series.lag_features(_train(spark, sf), (1,)), (1,), calendar=False)
 
 
-_fitted = lru_cache(maxsize=8)(_simple)
+# A small recurrent network: what a query trains must stay a matter of seconds.
+NETWORK = {"hidden": 6, "passes": 3, "steps": 2, "rate": 0.02}
+
+
+@lru_cache(maxsize=8)
+def _recurrent(spark: SparkSession, sf: str, kind: str) -> forecast.Forecaster:
+    return forecast.fit_recurrent(_train(spark, sf), W, kind, path=_scratch(spark), **NETWORK)
 
 
 @query
 def fit_forecaster(spark, sf):
-    """Weights and training loss."""
+    """Weights of all lags and of the calendar, and the training loss."""
     fitted = _fitted(spark, sf)
+    names = [f"lag_{k}" for k in LAGS] + [f"calendar_{i}" for i in forecast.CALENDAR] + ["intercept"]
+    rows = [*zip(names, fitted.weights, strict=True), ("loss", fitted.losses[0])]
+    return spark.createDataFrame(rows, "input string, weight double").select("input", *six("weight"))
+
+
+@query
+def fit_forecaster_lag(spark, sf):
+    """Weights and training loss of one lag."""
+    fitted = _fitted_lag(spark, sf)
     rows = [("lag_1", fitted.weights[0]), ("intercept", fitted.weights[1]), ("loss", fitted.losses[0])]
     return spark.createDataFrame(rows, "input string, weight double").select("input", *six("weight"))
 
 
+@query
+def fit_recurrent(spark, sf):
+    """The loss of each pass of every recurrent kind."""
+    rows = [(kind, i, loss) for kind in forecast.RECURRENT for i, loss in enumerate(_recurrent(spark, sf, kind).losses)]
+    return spark.createDataFrame(rows, "kind string, pass int, loss double").select("kind", "pass", *six("loss"))
+
+
 @query
 def loss_history(spark, sf):
-    """Two trainings, one after the other."""
+    """A training that is stopped after two passes and finished by a second run."""
+    path = _scratch(spark)
+    for passes in (2, 3):
+        fitted = forecast.fit_recurrent(_train(spark, sf), W, "gru", path=path, **{**NETWORK, "passes": passes})
+        forecast.save_forecaster(spark, fitted, path)
+    return forecast.loss_history(spark, path).select("pass", *six("loss"))
+
+
+@query
+def loss_history_lag(spark, sf):
+    """The same training saved twice, one after the other."""
     path = _scratch(spark)
     for _ in range(2):
-        forecast.save_forecaster(spark, _fitted(spark, sf), path)
+        forecast.save_forecaster(spark, _fitted_lag(spark, sf), path)
     return forecast.loss_history(spark, path).select("pass", *six("loss"))
 
 
@@ -858,19 +913,108 @@ def _forecast(spark: SparkSession, sf: str, fitted: forecast.Forecaster) -> Data
     return scores.select("city", "idx", "step", "channel", *six("se"), "pred", "actual")
 
 
+def _reloaded(spark: SparkSession, fitted: forecast.Forecaster) -> forecast.Forecaster:
+    path = _scratch(spark)
+    forecast.save_forecaster(spark, fitted, path)
+    return forecast.load_forecaster(spark, path)
+
+
 @query
 def save_load_model(spark, sf):
-    """Forecasts of a model that was saved and loaded."""
-    path = _scratch(spark)
-    forecast.save_forecaster(spark, FIXED, path)
-    return _forecast(spark, sf, forecast.load_forecaster(spark, path))
+    """Forecasts of a fitted model that was saved and loaded."""
+    return _forecast(spark, sf, _reloaded(spark, _fitted(spark, sf)))
+
+
+@query
+def save_load_model_fixed(spark, sf):
+    """Forecasts of given weights that were saved and loaded."""
+    return _forecast(spark, sf, _reloaded(spark, FIXED))
 
 
 @query
 def forecast_recursive(spark, sf):
+    """The fitted model rolled out."""
+    return _forecast(spark, sf, _fitted(spark, sf))
+
+
+@query
+def forecast_recursive_fixed(spark, sf):
+    """Given weights rolled out."""
     return _forecast(spark, sf, FIXED)
 
 
+@query
+def forecast_recurrent(spark, sf):
+    """A recurrent network, saved and loaded, rolled out with its hidden state."""
+    return _forecast(spark, sf, _reloaded(spark, _recurrent(spark, sf, "lstm")))
+
+
+@lru_cache(maxsize=8)
+def _tile_encoder(spark: SparkSession, sf: str) -> latent.GridEncoder:
+    """All components of tiles of several cells."""
+    return latent.fit_encoder(_counts(spark, sf), _hours_n(spark, sf), k=2 * TILE * TILE, tile=TILE)
+
+
+@query
+def encode_grid(spark, sf):
+    """The squared length of each tile's code: with all components, that of the counts."""
+    z = latent.encode_grid(_counts(spark, sf), _tile_encoder(spark, sf))
+    energy = F.aggregate("z", F.lit(0.0), lambda acc, v: acc + v * v)
+    return z.select("city", "hour", "tx", "ty", F.round(energy, 6).alias("energy"))
+
+
+@query
+def decode_grid(spark, sf):
+    """What comes back from the codes of tiles: with all components, the counts themselves."""
+    encoder = _tile_encoder(spark, sf)
+    back = latent.decode_grid(latent.encode_grid(_counts(spark, sf), encoder), encoder)
+    counts = F.round(F.col("yhat"), 4)
+    return back.where(F.abs("yhat") > 0.5).select("city", "hour", "channel", "x", "y", counts.alias("yhat"))
+
+
+@query
+def reconstruction_mse(spark, sf):
+    """Error of the codes of tiles, with fewer components than columns."""
+    encoder = latent.fit_encoder(_counts(spark, sf), _hours_n(spark, sf), k=2, tile=TILE)
+    return latent.reconstruction_mse(_counts(spark, sf), encoder, _hours_n(spark, sf)).select("city", *six("mse"))
+
+
+CONV = conv.Shape(inner=4, code=2)
+
+
+@lru_cache(maxsize=8)
+def _conv_encoder(spark: SparkSession, sf: str) -> conv.ConvEncoder:
+    return conv.fit_conv_encoder(_counts(spark, sf), _hours_n(spark, sf), CONV, passes=3, steps=2, path=_scratch(spark))
+
+
+@query
+def encode_conv(spark, sf):
+    """Codes of tiles that see the cells around them."""
+    codes = conv.encode_tiles(_counts(spark, sf), _conv_encoder(spark, sf))
+    return codes.select("city", "hour", "tx", "ty", F.transform("z", lambda v: F.round(v, 6)).cast("string").alias("z"))
+
+
+@query
+def decode_conv(spark, sf):
+    encoder = _conv_encoder(spark, sf)
+    back = conv.decode_tiles(conv.encode_tiles(_counts(spark, sf), encoder), encoder)
+    return back.groupBy("city", "x", "y", "channel").agg(F.count(F.lit(1)).alias("hours"), F.round(F.avg("yhat"), 6).alias("yhat"))
+
+
+@query
+def conv_surroundings(spark, sf):
+    """How many counts each tile and hour sees, in it and around it."""
+    seen = conv.tiles(_counts(spark, sf))
+    total = F.aggregate("cells", F.lit(0.0), lambda acc, c: acc + c["cnt"]).cast("long")
+    slots = F.aggregate("cells", F.lit(0).cast("long"), lambda acc, c: acc + c["slot"])
+    return seen.select("city", "hour", "tx", "ty", F.size("cells").cast("long").alias("cells"), total.alias("cnt"), slots.alias("slots"))
+
+
+@query
+def conv_mse(spark, sf):
+    return conv.conv_mse(_counts(spark, sf), _conv_encoder(spark, sf), _hours_n(spark, sf)).select("city", *six("mse"))
+
+
 @lru_cache(maxsize=8)
 def _cell_encoder(spark: SparkSession, sf: str) -> latent.GridEncoder:
     """One number for the two channels of each cell, whose axis SQL can write down."""
@@ -878,23 +1022,23 @@ def _cell_encoder(spark: SparkSession, sf: str) -> latent.GridEncoder:
 
 
 @query
-def encode_grid(spark, sf):
-    """Squares of the codes; the sign of an axis is free."""
+def encode_grid_cell(spark, sf):
+    """Squares of the codes of single cells; the sign of an axis is free."""
     z = latent.encode_grid(_counts(spark, sf), _cell_encoder(spark, sf))
     code = F.get("z", F.lit(0))
     return z.select("city", "hour", F.col("tx").alias("x"), F.col("ty").alias("y"), F.round(code * code, 6).alias("energy"))
 
 
 @query
-def decode_grid(spark, sf):
-    """What comes back from the codes."""
+def decode_grid_cell(spark, sf):
+    """What comes back from the codes of single cells."""
     encoder = _cell_encoder(spark, sf)
     back = latent.decode_grid(latent.encode_grid(_counts(spark, sf), encoder), encoder)
     return back.select("city", "hour", "channel", "x", "y", *six("yhat"))
 
 
 @query
-def reconstruction_mse(spark, sf):
+def reconstruction_mse_cell(spark, sf):
     """Error of the code of each cell."""
     scored = latent.reconstruction_mse(_counts(spark, sf), _cell_encoder(spark, sf), _hours_n(spark, sf))
     return scored.select("city", *six("mse"))
@@ -935,11 +1079,40 @@ def _stored_set(spark: SparkSession, sf: str) -> str:
 
 @query
 def exp_plain_lstm(spark, sf):
+    """The older experiment with a recurrent network that is trained on its random hours."""
+    scored = forecast_plan.run_plain_forecast(spark, _stored_set(spark, sf), W, H, kind="lstm", **NETWORK)
+    return scored.select("city", *six("mse"))
+
+
+@query
+def exp_plain_lags(spark, sf):
+    """The older experiment with a regression on several lags."""
+    scored = forecast_plan.run_plain_forecast(spark, _stored_set(spark, sf), W, H, lags=LAGS)
+    return scored.select("city", *six("mse"))
+
+
+@query
+def exp_plain_fixed(spark, sf):
+    """The older experiment with given weights."""
     scored = forecast_plan.run_plain_forecast(spark, _stored_set(spark, sf), W, H, fitted=FIXED)
     return scored.select("city", *six("mse"))
 
 
 @query
 def exp_autoencoder(spark, sf):
+    """The older experiment with the library's own tiles and components."""
+    return forecast_plan.run_encoder(spark, _stored_set(spark, sf)).select("city", *six("mse"))
+
+
+@query
+def exp_autoencoder_cell(spark, sf):
+    """The older experiment with one number for each cell."""
     scored = forecast_plan.run_encoder(spark, _stored_set(spark, sf), k=1, tile=1)
     return scored.select("city", *six("mse"))
+
+
+@query
+def exp_autoencoder_conv(spark, sf):
+    """The older experiment with convolutions."""
+    scored = forecast_plan.run_conv_encoder(spark, _stored_set(spark, sf), CONV, passes=2, steps=2)
+    return scored.select("city", *six("mse"))

@@ -65,7 +65,8 @@ class CityConfig:
     """One city of a job. ``time_format`` is written with ``%``-codes.
 
     ``max_iter`` is the number of training passes of ``solver="l-bfgs"``; ``trees``
-    belong to the kind ``gbt``.
+    belong to the kind ``gbt``; ``hidden``, ``layers`` and ``passes`` to the recurrent
+    kinds ``rnn``, ``gru`` and ``lstm``.
     """
 
     city: str
@@ -77,6 +78,9 @@ class CityConfig:
     max_iter: int = 115
     solver: str = "l-bfgs"
     trees: int = 20
+    hidden: int = 32
+    layers: int = 1
+    passes: int = 10
 
 
 # How each city's file prints its times.

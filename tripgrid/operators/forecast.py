@@ -1,7 +1,8 @@
 """Pooled demand forecasters and the recursive roll-out.
 
-One regression serves every cell, channel and set: its inputs are the last counts of
-the cell and the calendar of the hour to be forecast.
+One model serves every cell, channel and set. Regressions and trees read the last counts
+of the cell and the calendar of the hour to be forecast; recurrent networks read the
+counts of a window one after the other and keep a hidden state.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tripgrid.functions.calendar import CALENDAR
+from tripgrid.functions.calendar import calendar as _calendar
+from tripgrid.operators import recurrent, training
 from tripgrid.session import path_exists, remove, shared_dir
 
 KINDS = ("linear", "gbt")
-# Time features that are inputs: without the first weekday and the first month, which
-# the others and the intercept determine.
-CALENDAR = tuple(i for i in range(20) if i not in (0, 7))
+RECURRENT = tuple(recurrent.GATES)
 
 
 @dataclass(frozen=True)
@@ -43,7 +45,9 @@ class Tree:
 class Forecaster:
     """Plain numbers of a fitted model, the lags it reads, and one loss per training pass.
 
-    A linear one has a weight for each lag and calendar input, then the intercept.
+    A linear one has a weight for each lag and calendar input, then the intercept. A
+    recurrent one has all weights of its network; its only lag is the length of the
+    window, and its counts are divided by ``scale``.
     """
 
     kind: str
@@ -52,6 +56,13 @@ class Forecaster:
     trees: tuple[Tree, ...] = ()
     losses: tuple[float, ...] = ()
     calendar: bool = True
+    hidden: int = 0
+    layers: int = 1
+    scale: float = 1.0
+
+    @property
+    def network(self) -> recurrent.Network:
+        return recurrent.Network(self.kind, self.hidden, self.layers)
 
 
 def inputs(calendar: bool = True) -> Column:
@@ -122,8 +133,10 @@ def fit_forecaster(
     reports its objective after each. ``start`` is trained on: the fit is made to what
     it leaves unexplained, and added to it.
     """
+    if kind in RECURRENT:
+        raise ValueError(f"{kind!r} is trained on series, by fit_recurrent")
     if kind not in KINDS:
-        raise ValueError(f"unknown forecaster {kind!r}, use one of {sorted(KINDS)}")
+        raise ValueError(f"unknown forecaster {kind!r}, use one of {sorted((*KINDS, *RECURRENT))}")
     lags = tuple(lags)
     if start is not None:
         if (start.kind, start.lags, start.calendar) != (kind, lags, calendar):
@@ -145,26 +158,59 @@ def fit_forecaster(
     return replace(own, losses=tuple(float(v) for v in losses))
 
 
+def fit_recurrent(
+    series: DataFrame,
+    window: int,
+    kind: str = "lstm",
+    hidden: int = 32,
+    layers: int = 1,
+    passes: int = 10,
+    path: str | None = None,
+    start: Forecaster | None = None,
+    **how,
+) -> Forecaster:
+    """Train a recurrent network on the output of ``stage_series``; ``kind`` is ``rnn``, ``gru`` or ``lstm``.
+
+    With ``path`` every pass is kept there, and training goes on behind the last one
+    until there are ``passes``. ``start`` lends its weights to a network that has no
+    passes yet.
+    """
+    if start is not None and (start.kind, start.hidden, start.layers) != (kind, hidden, layers):
+        raise ValueError("the forecaster to go on with has another kind or another size")
+    given = {} if start is None else {"start": np.array(start.weights), "scale": start.scale}
+    net, scale, state = recurrent.fit(series, kind, hidden, layers, passes, path=path, **given, **how)
+    return Forecaster(kind, (window,), tuple(map(float, state.weights)), losses=state.losses, hidden=hidden, layers=layers, scale=scale)
+
+
 def loss_history(spark: SparkSession, path: str) -> DataFrame:
-    """``pass, loss`` of all runs saved under ``path``."""
+    """``pass, loss`` of all runs saved under ``path``, those that were stopped included."""
+    if path_exists(spark, f"{path}/passes"):
+        state = training.load_state(spark, path)
+        passes = [] if state is None else list(enumerate(state.losses))
+        return spark.createDataFrame(passes, "pass int, loss double")
     return spark.read.schema("pass int, loss double").parquet(f"{path}/history")
 
 
 def save_forecaster(spark: SparkSession, fitted: Forecaster, path: str) -> None:
-    """Replace the model under ``path`` and append its losses to the history."""
+    """Replace the model under ``path`` and append its losses to the history.
+
+    Passes that were kept one by one are the history already.
+    """
     done = 0
     if path_exists(spark, f"{path}/history"):
         done = loss_history(spark, path).agg(F.coalesce(F.max("pass") + 1, F.lit(0))).first()[0]
     passes = [(done + i, loss) for i, loss in enumerate(fitted.losses)]
     trees = [(t.weight, list(t.feature), list(t.threshold), list(t.left), list(t.right), list(t.value)) for t in fitted.trees]
-    row = (fitted.kind, list(fitted.lags), fitted.calendar, list(fitted.weights), trees)
+    row = (fitted.kind, list(fitted.lags), fitted.calendar, list(fitted.weights), trees, fitted.hidden, fitted.layers, fitted.scale)
     spark.createDataFrame([row], _MODEL).coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
+    if path_exists(spark, f"{path}/passes"):
+        return
     spark.createDataFrame(passes, "pass int, loss double").coalesce(1).write.mode("append").parquet(f"{path}/history")
 
 
 _MODEL = (
     "kind string, lags array<int>, calendar boolean, weights array<double>, trees array<struct<weight:double,"
-    "feature:array<int>,threshold:array<double>,left:array<int>,right:array<int>,value:array<double>>>"
+    "feature:array<int>,threshold:array<double>,left:array<int>,right:array<int>,value:array<double>>>, hidden int, layers int, scale double"
 )
 
 
@@ -175,18 +221,9 @@ def load_forecaster(spark: SparkSession, path: str) -> Forecaster | None:
     row = spark.read.schema(_MODEL).parquet(f"{path}/model").first()
     losses = [r["loss"] for r in loss_history(spark, path).orderBy("pass").toLocalIterator()]
     trees = tuple(Tree(t["weight"], *(tuple(t[c]) for c in ("feature", "threshold", "left", "right", "value"))) for t in row["trees"])
-    return Forecaster(row["kind"], tuple(row["lags"]), tuple(row["weights"]), trees, tuple(losses), row["calendar"])
-
-
-def _calendar(hours: np.ndarray) -> np.ndarray:
-    """The twenty time features of hours counted since 1970, a Thursday."""
-    out = np.zeros((len(hours), 20))
-    rows = np.arange(len(hours))
-    months = hours.astype("datetime64[h]").astype("datetime64[M]").astype(np.int64)
-    out[rows, (hours // 24 + 3) % 7] = 1.0
-    out[rows, 7 + months % 12] = 1.0
-    out[:, 19] = (hours % 24) / 23.0
-    return out
+    # Models of older versions have no network.
+    size = (row["hidden"] or 0, row["layers"] or 1, row["scale"] or 1.0)
+    return Forecaster(row["kind"], tuple(row["lags"]), tuple(row["weights"]), trees, tuple(losses), row["calendar"], *size)
 
 
 def _predictor(fitted: Forecaster):
@@ -216,12 +253,11 @@ def forecast_recursive(samples: DataFrame, fitted: Forecaster, f: int) -> DataFr
 
     ``features`` holds the last counts, newest at the end, and ``at`` is the first
     hour to forecast, counted since 1970. Each forecast becomes an input of the next
-    one. Rows are independent, so there is no shuffle: a task works through Arrow
-    batches and computes one step of a whole batch at a time.
+    one; a recurrent forecaster also keeps its hidden state from step to step. Rows are
+    independent, so there is no shuffle: a task works through Arrow batches and computes
+    one step of a whole batch at a time.
     """
     depth = max(fitted.lags)
-    lags = np.array(fitted.lags)
-    predict, calendar = _predictor(fitted), fitted.calendar
     rest = [c for c in samples.columns if c not in ("features", "at")]
     recent = F.slice("features", F.size("features") - depth + 1, depth)
     checked = F.when(F.size("features") < depth, F.raise_error(F.lit("window is shorter than the longest lag"))).otherwise(
@@ -230,6 +266,12 @@ def forecast_recursive(samples: DataFrame, fitted: Forecaster, f: int) -> DataFr
     given = samples.select(*rest, checked.alias("features"), "at")
     schema = T.StructType([given.schema[c] for c in rest] + [T.StructField("yhat", T.ArrayType(T.DoubleType()))])
 
+    if fitted.kind in RECURRENT:
+        weights = np.array(fitted.weights)
+        return given.mapInArrow(recurrent.rolled(fitted.network, weights, fitted.scale, depth, f, rest), schema)
+    lags = np.array(fitted.lags)
+    predict, calendar = _predictor(fitted), fitted.calendar
+
     def roll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows

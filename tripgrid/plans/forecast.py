@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,14 +15,15 @@ from tripgrid.config import (
     PLAIN_WINDOW_HOURS,
     RANDOM_SHARE,
     CityConfig,
+    ColumnMap,
 )
-from tripgrid.operators import evaluate, forecast, latent, series, splits
+from tripgrid.operators import conv, evaluate, forecast, latent, series, splits, training
 from tripgrid.operators.cleaning import CITY
-from tripgrid.session import Staged, pin_utc, scratch, stage
+from tripgrid.session import Staged, pin_utc, remove, scratch, stage
 from tripgrid.sources import readers, writers
 
 
-STARTS = ("fresh", "continue", "score")
+STARTS = ("fresh", "continue", "resume", "score")
 
 
 def stored_span(stored: DataFrame, keys: Sequence[str] = CITY) -> DataFrame:
@@ -53,15 +55,17 @@ def run_forecast_job(
     Cities with the same settings share one model and one pass. Appends the report to
     ``out/eval`` and keeps the model under ``out/model-...``. ``start`` is ``fresh``, or
     ``continue`` to train on from the model saved there or under ``models``, or
-    ``score`` to use that model as it is.
+    ``resume`` to finish the passes of a recurrent kind that was stopped, or ``score``
+    to use that model as it is.
     """
     if start not in STARTS:
         raise ValueError(f"start must be one of {STARTS}, not {start!r}")
     pin_utc(spark)
-    groups: dict[tuple, list[str]] = {}
+    groups: dict[CityConfig, list[str]] = {}
     for job in jobs:
-        groups.setdefault((job.window, job.horizon, job.kind, job.max_iter, job.solver, job.trees), []).append(job.city)
-    for (w, f, kind, max_iter, solver, trees), cities in groups.items():
+        groups.setdefault(replace(job, city="", time_format="", columns=ColumnMap()), []).append(job.city)
+    for settings, cities in groups.items():
+        w, f, kind = settings.window, settings.horizon, settings.kind
         name = f"model-{kind}-{w}-{f}"
         with scratch(spark):
             stored = readers.scan_demand(spark, f"{source}/demand").where(F.col("city").isin(cities))
@@ -77,8 +81,7 @@ def run_forecast_job(
                     raise ValueError(f"no model is saved under {models or out}/{name}")
                 fitted = saved
             else:
-                rows = series.lag_features(train, depths)
-                fitted = forecast.fit_forecaster(rows, depths, kind, max_iter, solver, trees, start=saved)
+                fitted = _fitted(train, settings, depths, saved, f"{out}/{name}", start)
                 forecast.save_forecaster(spark, fitted, f"{out}/{name}")
             history = forecast.loss_history(spark, f"{(models or out) if start == 'score' else out}/{name}")
             per_city = history.withColumn("city", F.explode(F.array(*[F.lit(c) for c in cities])))
@@ -88,6 +91,21 @@ def run_forecast_job(
             writers.append_eval(report, f"{out}/eval", run_id)
 
 
+def _fitted(
+    train: DataFrame, job: CityConfig, depths: Sequence[int], saved: forecast.Forecaster | None, path: str, start: str
+) -> forecast.Forecaster:
+    spark = train.sparkSession
+    if job.kind not in forecast.RECURRENT:
+        rows = series.lag_features(train, depths)
+        return forecast.fit_forecaster(rows, depths, job.kind, job.max_iter, job.solver, job.trees, start=saved)
+    if start == "fresh":
+        remove(spark, f"{path}/passes")
+    done = training.load_state(spark, path)
+    passes = job.passes + (len(done.losses) if done and start == "continue" else 0)
+    lent = saved if done is None else None
+    return forecast.fit_recurrent(train, job.window, job.kind, job.hidden, job.layers, passes, path, lent)
+
+
 def _random_parts(
     stored: DataFrame, share: float, seed: int, keys: Sequence[str]
 ) -> list[tuple[DataFrame, Staged]]:
@@ -111,9 +129,13 @@ def run_plain_forecast(
     seed: int = 0,
     keys: Sequence[str] = CITY,
     fitted: forecast.Forecaster | None = None,
+    kind: str = "linear",
+    **how,
 ) -> DataFrame:
     """Older experiment: random hours, windows with a gap, fit, mean test loss per set.
 
+    ``kind`` may be recurrent; ``how`` then says how it is trained.
+
     Random hours have no calendar of their own, so positions stand in for hours. With
     ``fitted`` nothing is trained. Staged tables last as long as the session.
     """
@@ -122,8 +144,11 @@ def run_plain_forecast(
     (train, train_span), (test, test_span) = _random_parts(stored, share, seed, keys)
     depths = tuple(lags or range(1, w + 1))
     if fitted is None:
-        rows = series.lag_features(series.stage_series(train, train_span, keys, drop_last=False), depths)
-        fitted = forecast.fit_forecaster(rows, depths)
+        whole = series.stage_series(train, train_span, keys, drop_last=False)
+        if kind in forecast.RECURRENT:
+            fitted = forecast.fit_recurrent(whole, w, kind, **how)
+        else:
+            fitted = forecast.fit_forecaster(series.lag_features(whole, depths), depths, kind, **how)
     cut = series.sliding_windows_gap(series.stage_series(test, test_span, keys, drop_last=False), w, f)
     aligned = forecast.forecast_windows(cut, fitted, w, f, gap=1)
     dims = stage(spark.read.parquet(f"{source}/dims"), "dims")
@@ -148,6 +173,23 @@ def run_encoder(
     return latent.reconstruction_mse(test, encoder, _lengths(test_span, keys), keys)
 
 
+def run_conv_encoder(
+    spark: SparkSession,
+    source: str,
+    shape: conv.Shape = conv.Shape(),
+    share: float = RANDOM_SHARE,
+    seed: int = 0,
+    keys: Sequence[str] = CITY,
+    **how,
+) -> DataFrame:
+    """The same experiment with the convolutional encoder; ``how`` says how it is trained."""
+    pin_utc(spark)
+    stored = readers.scan_demand(spark, f"{source}/demand")
+    (train, train_span), (test, test_span) = _random_parts(stored, share, seed, keys)
+    encoder = conv.fit_conv_encoder(train, _lengths(train_span, keys), shape, keys, **how)
+    return conv.conv_mse(test, encoder, _lengths(test_span, keys), keys)
+
+
 def _lengths(span: Staged, keys: Sequence[str]) -> Staged:
     n = F.col("last_hour") - F.col("first_hour") + 1
     return Staged(span.df.select(*keys, n.alias("n")), span.rows, span.path)

@@ -133,6 +133,11 @@ def _extra_bytes(df: DataFrame) -> Column:
     return reduce(Column.__add__, sizes)
 
 
+def own_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder that goes when the session's Python ends."""
+    return f"{_session_dir(spark)}/tripgrid-{label}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, label: str = "t") -> Staged:
     """Write ``df`` once and read it back.
 
@@ -142,7 +147,7 @@ def stage(df: DataFrame, label: str = "t") -> Staged:
     goes when the session's Python ends, or with the block of ``scratch`` around it.
     """
     spark = df.sparkSession
-    path = f"{_session_dir(spark)}/tripgrid-{label}-{uuid.uuid4().hex}"
+    path = own_path(spark, label)
     if (held := _held.get()) is not None:
         held.append(path)
     seen = Observation()
