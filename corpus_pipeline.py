@@ -1,19 +1,25 @@
 """Documents to packed token sequences: quality rules, near-duplicates, secrets, mixing, packing.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and
-read again as the next stage's documents.
+read again as the next stage's documents; the last table goes when the session's Python
+ends.
+
+A null or empty text fails the quality rules, so it goes in the first stage; very long
+texts stay whole. Repeated rows are near-duplicates of each other, and one of them stays;
+of groups with one id several times, or with null ids, the first row stays. Null
+languages and sources are leaves of their own in the mix. Extra columns, also with names
+that operators use, pass every stage but the last, which returns pieces. An empty table
+gives an empty table in every stage.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripgrid.llm import credentials, mixing, packing, quality, queries, simhash
 from tripgrid.llm.common import free, table
-from tripgrid.session import remove, shared_dir
+from tripgrid.session import own_path, remove
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +65,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the documents of ``sf_dir``."""
     docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        path = f"{shared_dir(spark)}/tripgrid-corpus-{uuid.uuid4().hex}"
+        path = own_path(spark, "corpus")
         stage(spark, docs, sf_dir).write.parquet(path)
         if before:
             remove(spark, before)
