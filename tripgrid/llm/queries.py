@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from tripgrid.llm import ann, counts, credentials, links, lm, mixing, packing, phrases, quality, records, sanitise, simhash, spelling
 from tripgrid.llm.common import table
 from tripgrid.llm.oracle import ORACLES
-from tripgrid.session import shared_dir
+from tripgrid.session import own_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -120,7 +119,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/tripgrid-records-{uuid.uuid4().hex}"
+    path = own_path(spark, "records")
     records.write(table(spark, sf_dir, "documents"), path, TOKENIZER)
     index = records.write_index(spark, path, f"{path}-index")
     return index.select("doc_id", "start", "n_tokens", F.col("crc32").alias("ids_crc32"))
