@@ -6,7 +6,6 @@ import pyarrow as pa
 import pytest
 
 from tripgrid.llm import phrases
-from tripgrid.session import stage
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -24,10 +23,12 @@ def plain(rows, least, longest=5, top=2000):
     out = []
     for lang, counts in f.items():
         held = {p: a for p, a in counts.items() if len(p) > 1 and a >= least}
-        best = []
+        best, inside = [], Counter()
+        for q, a in held.items():
+            for p in {q[i:j] for i in range(len(q)) for j in range(i + 2, len(q) + 1)} - {q}:
+                inside[p] = max(inside[p], a)
         for p, a in held.items():
-            within = (q for q in held if len(q) > len(p) and held[q] >= a)
-            if any(q[i : i + len(p)] == p for q in within for i in range(len(q))):
+            if 100 * inside[p] >= 100 * a:
                 continue
             score, k = min((1000 * a * n[lang] // (counts[p[:k]] * counts[p[k:]]), k) for k in range(1, len(p)))
             best.append((-score, -a, " ".join(p).encode(), counts[p[:k]], counts[p[k:]]))
@@ -43,6 +44,7 @@ def found(df):
 @pytest.mark.parametrize(("least", "shard", "top"), [(5, 3, 40)])
 def test_documents(docs, monkeypatch, least, shard, top):
     monkeypatch.setattr(phrases, "SHARD", shard)
+    monkeypatch.setattr(phrases, "HOT", 4 * least)
     rows = [(r["lang"], r["text"]) for r in docs.collect()]
     want = plain(rows, least, top=top)
     assert len({len(w[2].split(" ")) for w in want}) > 2
@@ -66,7 +68,8 @@ def test_overlaps_ends_and_whole_phrases(spark):
 
 def test_merge_meets_keys_over_batches():
     def batch(rows):
-        types = [pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64())]
+        rows = [(*r[:3], " ".join(r[3]), np.array(r[4], "<u4").tobytes()) for r in rows]
+        types = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [*phrases.KEY, "next", "n"])
 
     given = [
@@ -90,7 +93,7 @@ def test_scores_beyond_64_bits(spark):
 
 def test_filter_lets_every_frequent_phrase_pass(spark):
     held = [("en", f"w{i} v{i % 7}") for i in range(3000)] + [("de", f"w{i} v{i % 7}") for i in range(50)]
-    bits = np.frombuffer(phrases.filter_bits(stage(spark.createDataFrame(held, "lang string, phrase string"), "t")), np.uint8)
+    bits = np.frombuffer(phrases.filter_bits(spark.createDataFrame(held, "lang string, phrase string"), len(held)), np.uint8)
     assert len(bits) & (len(bits) - 1) == 0
     for lang, text in held[::37]:
         words = phrases._hashes(text.split(" "))

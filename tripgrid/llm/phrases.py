@@ -11,9 +11,11 @@ one certain word after it (and the largest entry by suffix, before it).
 
 Tasks leave out what cannot be frequent by a filter of the level before: a fixed number
 of bits, one for the hash of each frequent phrase. It may let rare phrases pass, never
-stop a frequent one, and does not grow past ``FILTER_BITS``. A stripe is cut into shards
-by the hash of the next word, so that no prefix fills a task; partial stripes arrive in
-order of their key and are merged one after the other.
+stop a frequent one, and does not grow past ``FILTER_BITS``. The stripe of a prefix with
+``HOT`` occurrences or more (as a second filter says) is cut into shards by the hash of
+the next word, so that no prefix fills a task; a rarer prefix has fewer next words than
+occurrences. Partial stripes travel packed, arrive in order of their key, and are merged
+one after the other.
 
 A null text has no words; a null language is ``und``. Repeated rows count as often as
 they occur; a very long text is held alone; extra columns are not read; an empty table
@@ -45,18 +47,22 @@ TOP = 2000
 FILTER_BITS = 1 << 27
 #: Entries that a shard of a stripe holds, as far as the number of frequent words tells.
 SHARD = 4096
+#: Occurrences from which a prefix has shards.
+HOT = 16_384
 #: Entries in one row of a stripe on its way to be merged.
 ROW_ENTRIES = 256
 #: Bytes of text whose words a shard of the empty prefix counts.
 SHARD_BYTES = 8_000_000
 #: Bytes of text counted at a time.
-SLICE = 8_000_000
+SLICE = 4_000_000
 #: Bytes of one row of the filter on its way to the driver.
 ROW_BYTES = 4096
 UNKNOWN = "und"
 
 KEY = ("lang", "prefix", "shard")
 STRIPES = "lang string, prefix string, shard int, next array<string>, n array<bigint>"
+#: Words are joined by blanks, counts are 32-bit numbers one after the other.
+PACKED = "lang string, prefix string, shard int, next string, n binary"
 
 # A-Z to lower case, the ends of pieces to line ends, tabs to blanks.
 _TABLE = bytearray(range(256))
@@ -112,8 +118,11 @@ def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _stripes(words: _Words, langs: list[str], length: int, bits: np.ndarray | None, shards: int) -> pa.RecordBatch | None:
-    """The stripes of prefixes of ``length - 1`` words in a slice of texts."""
+def _stripes(words: _Words, langs: list[str], length: int, bits: tuple[np.ndarray, np.ndarray] | None, shards: int) -> pa.RecordBatch | None:
+    """The stripes of prefixes of ``length - 1`` words in a slice of texts.
+
+    ``bits`` are the filters of frequent and of hot phrases one word shorter.
+    """
     places = len(words.code) - length + 1
     if places <= 0:
         return None
@@ -121,7 +130,8 @@ def _stripes(words: _Words, langs: list[str], length: int, bits: np.ndarray | No
     good = words.piece[:places] == words.piece[length - 1 :]
     if bits is not None:
         # Both parts that are one word shorter have to be frequent.
-        seen = _passes(bits, phrase_hashes(words.hash[words.code], lang_hash, length - 1))
+        shorter = phrase_hashes(words.hash[words.code], lang_hash, length - 1)
+        seen = _passes(bits[0], shorter)
         good &= seen[:places] & seen[1 : places + 1]
     at = np.flatnonzero(good)
     if not len(at):
@@ -134,6 +144,8 @@ def _stripes(words: _Words, langs: list[str], length: int, bits: np.ndarray | No
     prefix, following = np.divmod(pair, len(words.names))
     where = at[first]
     shard = (words.hash[following] % np.uint64(shards)).astype(np.int64)
+    if bits is not None:
+        shard[~_passes(bits[1], shorter[where])] = 0
     order = np.lexsort((shard, prefix))
     prefix, following, n, where, shard = prefix[order], following[order], n[order], where[order], shard[order]
     new = np.ones(len(prefix), bool)
@@ -141,7 +153,7 @@ def _stripes(words: _Words, langs: list[str], length: int, bits: np.ndarray | No
     # Long stripes are sent in rows of bounded size; all rows of a key are merged.
     new[(np.arange(len(prefix)) - np.maximum.accumulate(np.where(new, np.arange(len(prefix)), 0))) % ROW_ENTRIES == 0] = True
     begin = np.flatnonzero(new)
-    ends = pa.array(np.append(begin, len(prefix)), pa.int32())
+    ends = np.append(begin, len(prefix))
     names = words.names.cast(pa.string())
     parts = [names.take(pa.array(words.code[where[begin] + k])) for k in range(length - 1)]
     joined = pc.binary_join_element_wise(*parts, " ") if parts else pa.array([""] * len(begin), pa.string())
@@ -150,8 +162,8 @@ def _stripes(words: _Words, langs: list[str], length: int, bits: np.ndarray | No
             pa.array(langs, pa.string()).take(pa.array(words.lang[where[begin]])),
             joined,
             pa.array(shard[begin], pa.int32()),
-            pa.ListArray.from_arrays(ends, names.take(pa.array(following))),
-            pa.ListArray.from_arrays(ends, pa.array(n, pa.int64())),
+            pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), names.take(pa.array(following))), " "),
+            pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(n.astype("<u4"))]),
         ],
         ["lang", "prefix", "shard", "next", "n"],
     )
@@ -161,7 +173,7 @@ def partial_stripes(docs: DataFrame, length: int, bits: Broadcast | None, shards
     """Stripes of single slices of the texts of ``docs`` (lang, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None if bits is None else np.frombuffer(bits.value, np.uint8)
+        held = None if bits is None else tuple(np.frombuffer(b, np.uint8) for b in bits.value)
         for batch in batches:
             coded_langs = batch.column("lang").dictionary_encode()
             langs, code = coded_langs.dictionary.to_pylist(), coded_langs.indices.to_numpy(zero_copy_only=False)
@@ -170,7 +182,14 @@ def partial_stripes(docs: DataFrame, length: int, bits: Broadcast | None, shards
                 if found is not None:
                     yield found
 
-    return docs.mapInArrow(run, STRIPES)
+    return docs.mapInArrow(run, PACKED)
+
+
+def _unpacked(batch: pa.RecordBatch) -> tuple[pa.ListArray, pa.Array]:
+    packed = batch.column("n")
+    offsets = np.frombuffer(packed.buffers()[1], np.int32, len(packed) + 1, packed.offset * 4)
+    counts = np.frombuffer(packed.buffers()[2], "<u4", (offsets[-1] - offsets[0]) // 4, offsets[0])
+    return pc.split_pattern(batch.column("next"), " "), pa.array(counts.astype(np.int64))
 
 
 def _merge(least: int, totals: bool):
@@ -191,9 +210,9 @@ def _merge(least: int, totals: bool):
             names = ([open_key] if open_key is not None else []) + [keys[i] for i in np.flatnonzero(change)]
             if open_key is None:
                 group -= 1
-            lists = batch.column("next")
+            lists, counts = _unpacked(batch)
             each = np.repeat(group, pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-            columns = [pa.array(each), lists.flatten(), batch.column("n").flatten()]
+            columns = [pa.array(each), lists.flatten(), counts]
             if open_key is not None:
                 columns = [pa.concat_arrays(c) for c in zip([pa.array(np.zeros(len(open_n), np.int64)), open_next, open_n], columns, strict=True)]
             summed = pa.table(columns, ["g", "next", "n"]).group_by(["g", "next"], use_threads=False).aggregate([("n", "sum")]).sort_by("g").combine_chunks()
@@ -239,9 +258,9 @@ def stripes(docs: DataFrame, length: int, bits: Broadcast | None, shards: int, l
     return dealt.sortWithinPartitions("lang", "prefix", "shard").mapInArrow(_merge(least, length == 1), STRIPES)
 
 
-def filter_bits(phrases: Staged) -> bytes:
-    """The filter of the frequent phrases (lang, phrase): a power of two of bits, at most ``FILTER_BITS``."""
-    size = 1 << max(15, min(FILTER_BITS, 16 * phrases.rows).bit_length() - 1)
+def filter_bits(phrases: DataFrame, rows: int) -> bytes:
+    """A filter of about ``rows`` phrases (lang, phrase): a power of two of bits, at most ``FILTER_BITS``."""
+    size = 1 << max(15, min(FILTER_BITS, 16 * rows).bit_length() - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(size // 8, np.uint8)
@@ -262,11 +281,11 @@ def filter_bits(phrases: Staged) -> bytes:
         return pa.table({"at": [key[0].as_py()], "bits": [both.tobytes()]})
 
     # A task may make the whole filter, so there are no more tasks than cores.
-    cores = phrases.df.sparkSession.sparkContext.defaultParallelism
+    cores = phrases.sparkSession.sparkContext.defaultParallelism
     schema = "at long, bits binary"
-    rows = phrases.df.select("lang", "phrase").coalesce(cores).mapInArrow(run, schema).groupBy("at").applyInArrow(merged, schema)
+    found = phrases.select("lang", "phrase").coalesce(cores).mapInArrow(run, schema).groupBy("at").applyInArrow(merged, schema)
     out = bytearray(size // 8)
-    for r in rows.collect():
+    for r in found.collect():
         out[r["at"] : r["at"] + len(r["bits"])] = r["bits"]
     return bytes(out)
 
@@ -344,7 +363,9 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
         before = phrases
         if length == longest or not phrases.rows:
             break
-        bits = spark.sparkContext.broadcast(filter_bits(phrases))
+        # Fewer than one in sixteen phrases is hot, or the filter is fuller.
+        hot = filter_bits(phrases.df.filter(F.col("a") >= HOT), phrases.rows // 16)
+        bits = spark.sparkContext.broadcast((filter_bits(phrases.df, phrases.rows), hot))
     kept.append(before.df if length > 1 else before.df.limit(0))
     every = reduce(DataFrame.unionByName, kept)
     total = Staged(totals.df.withColumnRenamed("total", "n"), totals.rows, totals.path)
