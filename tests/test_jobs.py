@@ -75,6 +75,13 @@ def test_forecast_job(spark, demand_set, tmp_path):
     assert steps.count() == 2 * 3 and steps.where("value <= 0").count() == 0
     passes = report.where("metric = 'training_loss' and city = 'a'").groupBy("run_id").count()
     assert {tuple(r) for r in passes.collect()} == {("one", 1), ("two", 3)}
+    # A recurrent kind: two passes, two more on top of them, and the missing one of five.
+    short = replace(jobs[0], kind="gru", hidden=4, passes=2)
+    for start, passes, total in (("fresh", 2, 2), ("continue", 2, 4), ("resume", 5, 5), ("fresh", 1, 1)):
+        forecast_plan.run_forecast_job(spark, source, [replace(short, passes=passes)], out, start, start=start)
+        own = spark.read.parquet(f"{out}/eval").where(F.col("run_id") == start)
+        assert own.where("metric = 'training_loss'").count() == total
+        assert own.where("metric = 'mean_loss' and value > 0").count() > 0
     with pytest.raises(ValueError, match="unknown forecaster"):
         forecast_plan.run_forecast_job(spark, source, [replace(jobs[0], kind="x")], out, "bad", lags=(1, 24))
 

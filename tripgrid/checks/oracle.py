@@ -292,6 +292,10 @@ _FINAL = {
       FROM trips_fx WHERE city = 'a'""",
     "encode_grid": """SELECT city, hour, floor(x / 4e0)::INTEGER AS tx, floor(y / 4e0)::INTEGER AS ty, sum(cnt * cnt)::DOUBLE AS energy
       FROM demand GROUP BY ALL""",
+    "cell_ids_kept": """WITH seen AS (SELECT city, x, y, min(trip_id * 2 + channel) AS seen, min(CASE WHEN trip_id % 2 = 0 THEN trip_id * 2 + channel END) AS first FROM ends GROUP BY ALL)
+      SELECT city, x, y, row_number() OVER (PARTITION BY city ORDER BY first IS NULL, coalesce(first, seen)) - 1 AS cell_id, (first IS NULL)::INTEGER AS version FROM seen""",
+    "publish_tables": """SELECT city, hour, channel, x, y, cnt, sum(cnt) OVER (PARTITION BY city)::BIGINT AS total
+      FROM (SELECT * REPLACE (CASE WHEN city = 'b' THEN 2 * cnt ELSE cnt END AS cnt) FROM demand)""",
     "decode_grid": """SELECT city, hour, channel, x, y, cnt::DOUBLE AS yhat FROM demand""",
     "conv_surroundings": """SELECT city, hour, tx, ty, count(*) AS cells, sum(cnt)::BIGINT AS cnt, sum(((x - tx * 8 + 3) * 14 + y - ty * 8 + 3) * 2 + channel)::BIGINT AS slots
       FROM (SELECT *, unnest(range(floor((x - 3) / 8e0)::BIGINT, floor((x + 2) / 8e0)::BIGINT + 2)) AS tx FROM demand) a

@@ -32,7 +32,7 @@ from tripgrid.operators.lookup import attach, lookup_join
 from tripgrid.plans import demand as demand_plan
 from tripgrid.plans import forecast as forecast_plan
 from tripgrid.session import Staged, own_path, pin_utc, spread, stage
-from tripgrid.sources import readers, writers
+from tripgrid.sources import publish, readers, registry, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -788,6 +788,31 @@ def union_stations(spark, sf):
     return rows.select("id", "src", *six("lat", "lon"), text(F.col("datetime")).alias("datetime"))
 
 
+@query
+def cell_ids_kept(spark, sf):
+    """Ids of a run over every other trip stay when a second run sees all."""
+    path, gridded = _scratch(spark), _tables(spark, sf).gridded
+    for part in (gridded.where("trip_id % 2 = 0"), gridded):
+        ends = grid.union_ends(part, ("city", "trip_id")).withColumn("first_seen", F.col("trip_id") * 2 + F.col("channel"))
+        seen = ends.groupBy("city", "x", "y").agg(F.min("first_seen").alias("first_seen"))
+        kept = registry.extend_ids(seen, path, ("x", "y"), "first_seen", "cell_id")
+    return kept.select("city", "x", "y", "cell_id", F.col("version").cast("int").alias("version"))
+
+
+@query
+def publish_tables(spark, sf):
+    """Two tables of all cities, of which a second job replaces one city."""
+    root = _scratch(spark)
+    counts = _counts(spark, sf).select("city", "hour", "channel", "x", "y", "cnt")
+    for times, cities in ((1, fx.CITIES), (2, fx.CITIES[1:2])):
+        own = counts.where(F.col("city").isin(*cities)).withColumn("cnt", F.col("cnt") * times)
+        with publish.publication(spark, root, cities) as folder:
+            writers.write_by_city(own, f"{folder}/demand")
+            writers.write_by_city(own.groupBy("city").agg(F.sum("cnt").alias("total")), f"{folder}/totals")
+    demand_now, totals = publish.read_table(spark, root, "demand"), publish.read_table(spark, root, "totals")
+    return demand_now.join(totals, "city").select("city", "hour", "channel", "x", "y", "cnt", "total")
+
+
 @query
 def distinct_axis(spark, sf):
     return grid.distinct_axis(_counts(spark, sf), "x").orderBy("city", "x")

@@ -82,8 +82,12 @@ def cell_table(gridded: DataFrame, order: str, keys: Sequence[str] = CITY, **ran
 
 def cells_of_demand(counts: DataFrame, keys: Sequence[str] = CITY, **rank) -> DataFrame:
     """The same table from hourly counts with ``first_seen``, without another pass over the trips."""
-    seen = counts.groupBy(*keys, "x", "y").agg(F.sum("cnt").alias("visits"), F.min("first_seen").alias("first_seen"))
-    return _numbered(seen, keys, **rank)
+    return _numbered(seen_cells(counts, keys), keys, **rank)
+
+
+def seen_cells(counts: DataFrame, keys: Sequence[str] = CITY) -> DataFrame:
+    """``x, y, visits, first_seen`` from hourly counts with ``first_seen``."""
+    return counts.groupBy(*keys, "x", "y").agg(F.sum("cnt").alias("visits"), F.min("first_seen").alias("first_seen"))
 
 
 def _numbered(seen: DataFrame, keys: Sequence[str], **rank) -> DataFrame:

@@ -16,7 +16,8 @@ from tripgrid.operators import cleaning, demand, grid
 from tripgrid.operators.cleaning import CITY
 from tripgrid.operators.lookup import attach
 from tripgrid.session import Staged, pin_utc, scratch, stage
-from tripgrid.sources import readers, writers
+from tripgrid.sources import readers, registry, writers
+from tripgrid.sources.publish import publication
 
 
 @dataclass(frozen=True)
@@ -83,6 +84,14 @@ _STANDARD = (
 )
 
 
+def _cells(counts: DataFrame, ids: str | None) -> DataFrame:
+    if ids is None:
+        return grid.cells_of_demand(counts)
+    seen = stage(grid.seen_cells(counts), "seen").df
+    kept = registry.extend_ids(seen, f"{ids}/cells", ("x", "y"), "first_seen", "cell_id")
+    return seen.join(kept, ["city", "x", "y"]).select("city", "x", "y", "cell_id", "visits")
+
+
 def run_demand_job(
     spark: SparkSession,
     jobs: Sequence[CityConfig],
@@ -92,14 +101,23 @@ def run_demand_job(
     time_base: str = "true",
     bucket_end_by: str = "start",
     min_visits: int = CELL_MIN_VISITS,
+    publish: bool = False,
+    ids: str | None = None,
 ) -> None:
     """All cities at once. Writes ``demand``, ``trips``, ``cells``, ``cell_mask``, ``x_axis``, ``y_axis`` and ``dims``.
 
+    With ``publish`` readers see all these tables change at once (``publish.read_table``).
+    With ``ids``, a path, cells keep the ids that earlier jobs gave them there.
+
     The text is read once into columns; every later pass reads only what it needs. The
     hourly counts also keep which trip was seen first, so cells are made from them.
     ``cell_mask`` has the cells with at least ``min_visits`` visits.
     """
     pin_utc(spark)
+    if publish:
+        with publication(spark, out, [job.city for job in jobs]) as folder:
+            run_demand_job(spark, jobs, paths, folder, drop_last, time_base, bucket_end_by, min_visits, ids=ids)
+        return
     with scratch(spark):
         cities = [read_city(spark, job, paths[job.city]) for job in jobs]
         trips = stage(reduce(DataFrame.unionByName, cities), "trips").df
@@ -107,7 +125,7 @@ def run_demand_job(
         writers.write_demand(stored_demand(tables, time_base=time_base, drop_last=drop_last), f"{out}/demand")
         writers.write_trips(tables.gridded.drop("row_ord"), f"{out}/trips")
         axes = {axis: stage(grid.axis_rank(tables.demand.df, axis), "axis").df for axis in ("x", "y")}
-        cells = stage(grid.cells_of_demand(tables.demand.df), "cells").df
+        cells = stage(_cells(tables.demand.df, ids), "cells").df
         writers.write_by_city(cells, f"{out}/cells")
         writers.write_by_city(grid.high_demand_cells(cells, min_visits=min_visits), f"{out}/cell_mask")
         writers.write_by_city(axes["x"], f"{out}/x_axis")

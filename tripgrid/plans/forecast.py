@@ -21,6 +21,7 @@ from tripgrid.operators import conv, evaluate, forecast, latent, series, splits,
 from tripgrid.operators.cleaning import CITY
 from tripgrid.session import Staged, pin_utc, remove, scratch, stage
 from tripgrid.sources import readers, writers
+from tripgrid.sources.publish import read_table
 
 
 STARTS = ("fresh", "continue", "resume", "score")
@@ -68,8 +69,8 @@ def run_forecast_job(
         w, f, kind = settings.window, settings.horizon, settings.kind
         name = f"model-{kind}-{w}-{f}"
         with scratch(spark):
-            stored = readers.scan_demand(spark, f"{source}/demand").where(F.col("city").isin(cities))
-            dims = stage(spark.read.parquet(f"{source}/dims").where(F.col("city").isin(cities)), "dims")
+            stored = read_table(spark, source, "demand").where(F.col("city").isin(cities))
+            dims = stage(read_table(spark, source, "dims").where(F.col("city").isin(cities)), "dims")
             span = stage(stored_span(stored), "span")
             counts = stored.where(F.col("channel").isNotNull()).select("city", "hour", "channel", "x", "y", "cnt")
             whole = series.stage_series(counts, span, drop_last=False)

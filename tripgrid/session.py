@@ -95,6 +95,30 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders under ``path``, none if it does not exist."""
+    hadoop, files = _file_system(spark, path)
+    return [s.getPath().getName() for s in files.listStatus(hadoop)] if files.exists(hadoop) else []
+
+
+def write_small(spark: SparkSession, path: str, text: str) -> None:
+    hadoop, files = _file_system(spark, path)
+    out = files.create(hadoop, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    return "\n".join(r[0] for r in spark.read.text(path).collect())
+
+
+def move(spark: SparkSession, source: str, target: str) -> bool:
+    """Move one file to a name that is not taken; whether that was possible."""
+    hadoop, files = _file_system(spark, source)
+    end = spark._jvm.org.apache.hadoop.fs.Path(target)
+    return not files.exists(end) and files.rename(hadoop, end)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     hadoop, files = _file_system(spark, path)
     files.delete(hadoop, True)
