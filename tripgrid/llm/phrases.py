@@ -54,7 +54,7 @@ ROW_ENTRIES = 256
 #: Bytes of text whose words a shard of the empty prefix counts.
 SHARD_BYTES = 8_000_000
 #: Bytes of text counted at a time.
-SLICE = 4_000_000
+SLICE = 6_000_000
 #: Bytes of one row of the filter on its way to the driver.
 ROW_BYTES = 4096
 UNKNOWN = "und"
