@@ -28,8 +28,9 @@ def linked(text):
     for p in parts:
         if c.KINDS[p[0]][1]:
             continue
-        helps = {"secret": lambda o: role(o) == "id", "id": lambda o: role(o) == "secret", "endpoint": lambda o: o[0] in ("assign", "hex")}
-        if any(near(p, o) and helps[role(p)](o) for o in parts):
+        helps = {"secret": ("id", "endpoint"), "id": ("secret",), "endpoint": ("secret",)}
+        inside = lambda o: "endpoint" in (role(p), role(o)) and p[1] < o[2] and o[1] < p[2]
+        if any(near(p, o) and role(o) in helps[role(p)] and not inside(o) for o in parts):
             out.append(p)
     return out
 
@@ -49,6 +50,8 @@ TEXTS = [
     "user=alice " * 300 + "password=abcdefg " * 300,
     "token=" + "a" * 5000 + " login=bobby",
     "secret password token : = ſecret=abcdefgh toKen=abcdefgh",
+    f"https://a.example.com/{FAKE} nothing beside it",
+    f"host=db.example.com {FAKE}",
 ]
 
 
@@ -70,6 +73,8 @@ def test_weak_parts_need_company():
     assert linked(TEXTS[5]) == [] and linked(TEXTS[8]) == [] and linked(TEXTS[7]) == []
     assert [p[0] for p in linked(TEXTS[6])] == ["name", "key"]
     assert [p[0] for p in linked(TEXTS[9])] == ["endpoint", "name"]
+    assert [p[0] for p in linked(TEXTS[10])] == ["key", "endpoint"]
+    assert linked(TEXTS[14]) == [] and [p[0] for p in linked(TEXTS[15])] == ["endpoint", "key"]
 
 
 def test_documents_equal_brute_force(docs, texts):

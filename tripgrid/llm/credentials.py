@@ -4,10 +4,11 @@ Parts of credentials have a role: an access identifier, a secret or an endpoint.
 parts (assigned secrets, access key ids, long hexadecimal runs) are reported on their
 own. Weak ones (bare mixed-character keys, user or client names, urls and host settings)
 are everyday text, so each is reported only if a complementary part lies within its
-scope, ``SCOPE`` characters around it in the same text: a weak secret beside an access
-identifier, a weak identifier beside a secret, an endpoint beside a strong secret. Parts
-meet in an interval join on scope-wide buckets of position; parts of one kind do not
-overlap, so a bucket holds a bounded number of them however long its text is.
+scope, ``SCOPE`` characters around it in the same text: a secret beside an identifier or
+an endpoint, and an identifier or an endpoint beside a secret, weak ones too. A key
+inside a url is not beside it. Parts meet in an interval join on scope-wide buckets of
+position; parts of one kind do not overlap, so a bucket holds a bounded number of them
+however long its text is.
 
 Positions are code points, ends exclusive. A null text is empty and has no parts.
 Repeated rows are judged as often as they occur, rows with a null id too; extra columns
@@ -105,9 +106,11 @@ def link(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     # A part that starts within the scope of a weak one starts in its bucket or beside it;
     # long ones reach back, so they are entered in each bucket they touch.
     left = found.filter(_is(F.col("kind"), strong=False)).select("row", weak, F.explode(F.sequence(bucket - 1, (F.col("end") / scope).cast("int") + 1)).alias("bucket"))
-    right = found.filter(_is(F.col("kind"), "secret") | _is(F.col("kind"), "id")).select("row", other, F.explode(F.sequence(bucket, (F.col("end") / scope).cast("int"))).alias("bucket"))
+    right = found.select("row", other, F.explode(F.sequence(bucket, (F.col("end") / scope).cast("int"))).alias("bucket"))
     w, o = F.col("weak.kind"), F.col("other.kind")
-    complementary = (_is(w, "secret") & _is(o, "id")) | (_is(w, "id") & _is(o, "secret")) | (_is(w, "endpoint") & _is(o, "secret", True))
+    apart = (F.col("weak.end") <= F.col("other.start")) | (F.col("other.end") <= F.col("weak.start"))
+    beside = (_is(w, "secret") & _is(o, "endpoint")) | (_is(w, "endpoint") & _is(o, "secret"))
+    complementary = (_is(w, "secret") & _is(o, "id")) | (_is(w, "id") & _is(o, "secret")) | (beside & apart)
     near = (F.col("other.start") - F.col("weak.end") <= scope) & (F.col("weak.start") - F.col("other.end") <= scope)
     return left.join(right, ["row", "bucket"]).filter(complementary & near).select("row", "weak", "other").distinct()
 
