@@ -197,3 +197,36 @@ def test_cells_the_encoder_never_saw_count(spark):
     encoder = latent.fit_encoder(train, n, k=1, tile=2)
     # The known cell is coded without loss; 9 and 16 are lost over three cells and six hours.
     assert latent.reconstruction_mse(test, encoder, n).first()["mse"] == pytest.approx(25 / 18)
+
+
+@pytest.mark.parametrize("kind", ["linear", "gru"])
+def test_series_forecast_like_their_windows(parts, kind):
+    """Windows by reference: the same rows, and no window travels."""
+    train, test = parts
+    if kind == "linear":
+        fitted = forecast.fit_forecaster(series.lag_features(train, (1, 24)), (1, 24))
+    else:
+        fitted = forecast.Forecaster("gru", (24,), tuple(forecast.recurrent.Network("gru", 4).fresh(1)), hidden=4, scale=9.0)
+    for gap, whole in ((0, False), (1, False), (0, True)):
+        want = forecast.forecast_windows(series.sliding_windows(test, 24, 5, gap, whole), fitted, 24, 5, gap)
+        got = forecast.forecast_series(test, fitted, 24, 5, gap, whole)
+        key = lambda r: (r["x"], r["idx"], r["step"])
+        a, b = (sorted((r.asDict() for r in df.collect()), key=key) for df in (want, got))
+        assert [key(r) for r in a] == [key(r) for r in b] and len(a) > 0
+        assert [r["actual"] for r in a] == [r["actual"] for r in b]
+        assert np.allclose([r["yhat"] for r in a], [r["yhat"] for r in b])
+
+
+def test_window_index_holds_each_value_about_twice(seasonal):
+    """Whatever the window and the horizon, up to half of the series."""
+    for w, f in ((24, 5), (100, 60)):
+        rows = series.window_index(seasonal, w, f).collect()
+        assert sum(r["len"] for r in rows) == 6 * (HOURS - w - f)
+        assert sum(len(r["part"]) for r in rows) <= 2.1 * 6 * HOURS
+        want = {(r["x"], r["idx"]): (r["features"], r["labels"]) for r in series.sliding_windows(seasonal, w, f).where("x = 2").collect()}
+        for r in rows:
+            if r["x"] == 2:
+                for k in range(0, r["len"], 37):
+                    assert (r["part"][k : k + w], r["part"][k + w : k + w + f]) == want[2, r["from"] + k]
+    with pytest.raises(ValueError, match="longest lag"):
+        forecast.forecast_series(seasonal, forecast.Forecaster("linear", (30,), (1.0, 0.0), calendar=False), 24, 5)

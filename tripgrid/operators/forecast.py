@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from tripgrid.functions.calendar import CALENDAR
 from tripgrid.functions.calendar import calendar as _calendar
 from tripgrid.operators import recurrent, training
+from tripgrid.operators.series import window_index
 from tripgrid.session import path_exists, remove, shared_dir
 
 KINDS = ("linear", "gbt")
@@ -266,27 +267,80 @@ def forecast_recursive(samples: DataFrame, fitted: Forecaster, f: int) -> DataFr
     given = samples.select(*rest, checked.alias("features"), "at")
     schema = T.StructType([given.schema[c] for c in rest] + [T.StructField("yhat", T.ArrayType(T.DoubleType()))])
 
+    roll = roller(fitted, f)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            window = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, depth)
+            yhat = roll(window, batch.column("at").to_numpy(zero_copy_only=False).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], _lists(yhat)], [*rest, "yhat"])
+
+    return given.mapInArrow(run, schema)
+
+
+def _lists(values: np.ndarray) -> pa.ListArray:
+    ends = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(values, float).reshape(-1)))
+
+
+def roller(fitted: Forecaster, f: int):
+    """A picklable function from windows (row, hour) and the hours behind them to the next ``f`` counts of each."""
     if fitted.kind in RECURRENT:
-        weights = np.array(fitted.weights)
-        return given.mapInArrow(recurrent.rolled(fitted.network, weights, fitted.scale, depth, f, rest), schema)
+        net, weights, scale = fitted.network, np.array(fitted.weights), fitted.scale
+
+        def recurring(window: np.ndarray, first: np.ndarray) -> np.ndarray:
+            size = recurrent.CHUNK
+            parts = [recurrent.roll(net, weights, scale, window[i : i + size], first[i : i + size], f) for i in range(0, len(window), size)]
+            return np.concatenate(parts) if parts else np.zeros((0, f))
+
+        return recurring
     lags = np.array(fitted.lags)
     predict, calendar = _predictor(fitted), fitted.calendar
 
-    def roll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lagged(window: np.ndarray, first: np.ndarray) -> np.ndarray:
+        depth = window.shape[1]
+        state = np.empty((len(window), depth + f))
+        state[:, :depth] = window
+        for step in range(f):
+            known = state[:, depth + step - lags]
+            hour = [_calendar(first + step)[:, CALENDAR]] if calendar else []
+            state[:, depth + step] = predict(np.hstack([known, *hour]))
+        return state[:, depth:]
+
+    return lagged
+
+
+def forecast_series(series: DataFrame, fitted: Forecaster, w: int, f: int, gap: int = 0, all_windows: bool = False) -> DataFrame:
+    """The same aligned rows as ``forecast_windows`` of ``sliding_windows``, straight from the series.
+
+    Windows are views of short pieces of the series inside a task: what travels to
+    Python is each count about twice, and not the whole window for each of its samples.
+    """
+    depth, roll = max(fitted.lags), roller(fitted, f)
+    if depth > w:
+        raise ValueError("window is shorter than the longest lag")
+    held = window_index(series, w, f, gap, all_windows)
+    doubles = held.withColumn("part", F.col("part").cast("array<double>"))
+    rest = [c for c in series.columns if c not in ("series", "first_hour")]
+    numbers = T.ArrayType(T.DoubleType())
+    schema = T.StructType([series.schema[c] for c in rest]).add("idx", T.LongType()).add("yhat", numbers).add("actual", numbers)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        view = np.lib.stride_tricks.sliding_window_view
         for batch in batches:
-            n = batch.num_rows
-            state = np.empty((n, depth + f))
-            state[:, :depth] = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(n, depth)
-            first = batch.column("at").to_numpy(zero_copy_only=False).astype(np.int64)
-            for step in range(f):
-                known = state[:, depth + step - lags]
-                hour = [_calendar(first + step)[:, CALENDAR]] if calendar else []
-                state[:, depth + step] = predict(np.hstack([known, *hour]))
-            ends = np.arange(n + 1, dtype=np.int32) * f
-            yhat = pa.ListArray.from_arrays(pa.array(ends), pa.array(state[:, depth:].reshape(-1)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], yhat], [*rest, "yhat"])
-
-    return given.mapInArrow(roll, schema)
+            for i in range(batch.num_rows):
+                row, part = batch.slice(i, 1), batch.column("part")[i].values.to_numpy(zero_copy_only=False)
+                start, size = row.column("from")[0].as_py(), row.column("len")[0].as_py()
+                idx = start + np.arange(size)
+                windows = view(part, w)[:size, w - depth :]
+                yhat = roll(windows, row.column("first_hour")[0].as_py() + idx + (w + gap))
+                labels = view(part[w + gap :], f)[:size]
+                kept = [row.column(c).take(pa.array(np.zeros(size, np.int64))) for c in rest]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(idx, pa.int64()), _lists(yhat), _lists(labels)], [*rest, "idx", "yhat", "actual"])
+
+    rolled = doubles.mapInArrow(run, schema)
+    pairs = rolled.select(*rest, "idx", F.posexplode(F.arrays_zip("yhat", "actual")).alias("step", "pair"))
+    return pairs.select(*rest, "idx", "step", "pair.yhat", "pair.actual")
 
 
 def forecast_windows(windows: DataFrame, fitted: Forecaster, w: int, f: int, gap: int = 0) -> DataFrame:

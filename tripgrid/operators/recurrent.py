@@ -12,7 +12,6 @@ a step costs one step of the network and not another run through the window.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -244,19 +243,3 @@ def roll(net: Network, flat: np.ndarray, scale: float, window: np.ndarray, first
         x = inputs(found[:, step - 1 : step], first + step - 1)[:, 0]
         found[:, step], state, _ = advance(net, parts, x, state)
     return found * scale
-
-
-def rolled(net: Network, flat: np.ndarray, scale: float, depth: int, f: int, rest: list[str]):
-    """An Arrow function that puts ``yhat`` in place of ``features`` and ``at``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            window = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, depth)
-            first = batch.column("at").to_numpy(zero_copy_only=False).astype(np.int64)
-            parts = [roll(net, flat, scale, window[i : i + CHUNK], first[i : i + CHUNK], f) for i in range(0, len(window), CHUNK)]
-            values = np.concatenate(parts) if parts else np.zeros((0, f))
-            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * f)
-            yhat = pa.ListArray.from_arrays(ends, pa.array(values.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], yhat], [*rest, "yhat"])
-
-    return run

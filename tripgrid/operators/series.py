@@ -100,9 +100,7 @@ def sliding_windows(
     are n-w-f samples; ``all_windows`` also gives the last ones that still fit. A
     series shorter than ``w`` is an error.
     """
-    n = F.size(value)
-    count = n - w - f - gap + 1 if all_windows else n - w - f
-    checked = F.when(n < w, F.raise_error(F.lit("window is longer than the series"))).otherwise(count)
+    checked = _window_count(value, w, f, gap, all_windows)
     rest = [c for c in series.columns if c != value]
     at = F.col("__at") + 1
     return _positions(series, checked, w + gap + f, value, block).select(
@@ -113,16 +111,38 @@ def sliding_windows(
     )
 
 
-def _positions(series: DataFrame, count: Column, reach: int, value: str, block: int) -> DataFrame:
-    """One row per ``idx`` below ``count``, with a piece ``__part`` of the series.
+def _window_count(value: str, w: int, f: int, gap: int, all_windows: bool) -> Column:
+    n = F.size(value)
+    count = n - w - f - gap + 1 if all_windows else n - w - f
+    return F.when(n < w, F.raise_error(F.lit("window is longer than the series"))).otherwise(count)
 
-    The values from ``idx`` on are at ``__at`` and after in the piece, ``reach`` of
-    them at least. Pieces cover ``block`` positions, so a row carries a short array
-    around and never the whole series.
+
+def window_index(
+    series: DataFrame,
+    w: int = WINDOW_HOURS,
+    f: int = HORIZON_HOURS,
+    gap: int = 0,
+    all_windows: bool = False,
+    value: str = "series",
+    block: int = BLOCK,
+) -> DataFrame:
+    """The same samples by reference: ``from, len, part`` in place of the series column.
+
+    A row stands for the ``len`` samples from ``from`` on; sample ``from + k`` has
+    ``features`` and ``labels`` at ``k`` and ``k + w + gap`` in ``part``. A value is kept
+    about twice, whatever ``w`` and ``f`` are, and not once for each window over it.
     """
     rest = [c for c in series.columns if c != value]
+    pieces = _pieces(series, _window_count(value, w, f, gap, all_windows), w + gap + f, value, max(block, w + gap + f))
+    names = {"__from": "from", "__len": "len", "__part": "part"}
+    return pieces.select(*rest, *[F.col(c).alias(n) for c, n in names.items()])
+
+
+def _pieces(series: DataFrame, count: Column, reach: int, value: str, block: int) -> DataFrame:
+    """Pieces ``__part`` of the series with the ``__len`` positions from ``__from`` on, and ``reach`` values behind."""
+    rest = [c for c in series.columns if c != value]
     starts = F.when(F.col("__count") > 0, F.sequence(F.lit(0), F.col("__count") - 1, F.lit(block)))
-    pieces = (
+    return (
         series.withColumn("__count", count)
         .select(*rest, value, "__count", F.explode(starts).alias("__from"))
         .select(
@@ -132,6 +152,17 @@ def _positions(series: DataFrame, count: Column, reach: int, value: str, block:
             F.slice(value, F.col("__from") + 1, block + reach).alias("__part"),
         )
     )
+
+
+def _positions(series: DataFrame, count: Column, reach: int, value: str, block: int) -> DataFrame:
+    """One row per ``idx`` below ``count``, with a piece ``__part`` of the series.
+
+    The values from ``idx`` on are at ``__at`` and after in the piece, ``reach`` of
+    them at least. Pieces cover ``block`` positions, so a row carries a short array
+    around and never the whole series.
+    """
+    rest = [c for c in series.columns if c != value]
+    pieces = _pieces(series, count, reach, value, block)
     each = pieces.select(*rest, "__from", "__part", F.explode(F.sequence(F.lit(0), F.col("__len") - 1)).alias("__at"))
     return each.withColumn("idx", (F.col("__from") + F.col("__at")).cast("long"))
 

@@ -86,7 +86,7 @@ def run_forecast_job(
                 forecast.save_forecaster(spark, fitted, f"{out}/{name}")
             history = forecast.loss_history(spark, f"{(models or out) if start == 'score' else out}/{name}")
             per_city = history.withColumn("city", F.explode(F.array(*[F.lit(c) for c in cities])))
-            aligned = forecast.forecast_windows(series.sliding_windows(test, w, f), fitted, w, f)
+            aligned = forecast.forecast_series(test, fitted, w, f)
             n_samples = stage(sample_counts(span.df, w, f, share), "samples")
             report = evaluate.score_forecast(aligned, dims, n_samples, f, per_city)
             writers.append_eval(report, f"{out}/eval", run_id)
@@ -150,8 +150,7 @@ def run_plain_forecast(
             fitted = forecast.fit_recurrent(whole, w, kind, **how)
         else:
             fitted = forecast.fit_forecaster(series.lag_features(whole, depths), depths, kind, **how)
-    cut = series.sliding_windows_gap(series.stage_series(test, test_span, keys, drop_last=False), w, f)
-    aligned = forecast.forecast_windows(cut, fitted, w, f, gap=1)
+    aligned = forecast.forecast_series(series.stage_series(test, test_span, keys, drop_last=False), fitted, w, f, gap=1)
     dims = stage(spark.read.parquet(f"{source}/dims"), "dims")
     samples = sample_counts(test_span.df, w, f, 0.0, keys)
     return evaluate.mse(aligned, dims, samples, f, keys)
