@@ -49,6 +49,19 @@ def test_measures_and_verdicts_equal_brute_force(docs, texts):
         assert row["kept"] == (not rejected(want))
 
 
+def test_other_measures_wait_for_their_rule(docs, texts):
+    """Only the named measures are computed for every row; the others stand behind conditions."""
+    given = ("n_words", "n_repeat_words")
+    judged = quality.judge(docs, measures=given)
+    assert judged.columns == ["doc_id", *given, "kept"]
+    assert all(r["kept"] == (not rejected(measured(texts[r["doc_id"]]))) for r in judged.collect())
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    assert "Lu}" in plan
+    assert all("CASE WHEN" in line[: line.index("Lu}")] for line in plan.splitlines() if "Lu}" in line)
+    lazy = quality._Lazy(F.col("text"), F.col("w"), given)
+    assert [r.name for r in quality.RULES if lazy.has_all_of(r)] == ["few_words", "repeats"]
+
+
 def test_odd_rows(odd):
     rows = quality.judge(odd).collect()
     assert len(rows) == odd.count()

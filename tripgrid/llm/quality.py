@@ -127,15 +127,21 @@ RULES: tuple[Rule, ...] = (
 
 
 class _Lazy(dict):
-    """Measures that become expressions when a rule asks for them."""
+    """Measures that become expressions when a rule asks for them, but for those that are columns already."""
 
-    def __init__(self, text: Column, words: Column):
-        super().__init__()
-        self.of = (text, words)
+    def __init__(self, text: Column, words: Column, given: Sequence[str] = ()):
+        super().__init__({name: F.col(name) for name in given})
+        self.of, self.asked = (text, words), False
 
     def __missing__(self, name: str) -> Column:
+        self.asked = True
         return MEASURES[name](*self.of)
 
+    def has_all_of(self, rule: Rule) -> bool:
+        self.asked = False
+        rule.rejects(self)
+        return not self.asked
+
 
 def _with_words(docs: DataFrame, text: str) -> tuple[DataFrame, str, str]:
     body = free("__text", docs.columns)
@@ -199,9 +205,17 @@ def filter_documents(docs: DataFrame, text: str = "text", rules: Sequence[Rule]
     return computed_once(df).filter(kept(order, _Lazy(F.col(body), F.col(words)))).select(*docs.columns)
 
 
-def judge(docs: DataFrame, id: str = "doc_id", text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
-    """Every measure and the verdict of every row: id, the measures, kept."""
+def judge(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", rules: Sequence[Rule] = RULES, measures: Sequence[str] = tuple(MEASURES)
+) -> DataFrame:
+    """The named measures and the verdict of every row: id, the measures, kept.
+
+    Rules that need no other measures come first, since those are there for every row;
+    other measures are computed only for rows that reach their rule.
+    """
     order = ordered(estimate(docs, text, rules), rules)
     df, body, words = _with_words(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")), "text")
-    measured = df.select("doc_id", *[f(F.col(body), F.col(words)).cast("long").alias(name) for name, f in MEASURES.items()])
-    return measured.withColumn("kept", kept(order, {name: F.col(name) for name in MEASURES}))
+    named = [MEASURES[name](F.col(body), F.col(words)).cast("long").alias(name) for name in measures]
+    lazy = _Lazy(F.col(body), F.col(words), measures)
+    order.sort(key=lambda rule: not lazy.has_all_of(rule))
+    return df.select("doc_id", body, words, *named).select("doc_id", *measures, kept(order, lazy).alias("kept"))

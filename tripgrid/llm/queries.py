@@ -110,11 +110,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(table(spark, sf_dir, "documents"))
+    digest = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    judged = quality.judge(table(spark, sf_dir, "documents"), measures=digest)
     m = {c: F.col(c) for c in judged.columns}
     failed = quality.FEW_WORDS.rejects(m) | quality.REPEATS.rejects(m)
-    digest = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return judged.select(*digest, failed.alias("base_failed"), "kept")
+    return judged.select("doc_id", *digest, failed.alias("base_failed"), "kept")
 
 
 @query
