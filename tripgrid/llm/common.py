@@ -39,16 +39,21 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACES), "")
 
 
-def uneven_join(left: DataFrame, right: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
+def hot_keys(left: DataFrame, key: str, share: float = HOT_SHARE) -> list:
+    """The keys with at least ``share`` of the rows, so at most 1 / share of them."""
+    counts = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    total = max(left.count(), 1)
+    return [r[0] for r in counts.filter(F.col("n") >= F.lit(max(total * share, 2.0))).select(key).collect()]
+
+
+def uneven_join(left: DataFrame, right: DataFrame, key: str, share: float = HOT_SHARE, hot: list | None = None) -> DataFrame:
     """Left join to ``right``, which has one row per key, whatever the rows per key of ``left``.
 
     Keys with at least ``share`` of the left rows (so at most 1 / share keys, read to
-    the driver) meet their right rows by a broadcast of that many rows; all others are
-    shuffled, and none of them can fill a task.
+    the driver, or given as ``hot``) meet their right rows by a broadcast of that many
+    rows; all others are shuffled, and none of them can fill a task.
     """
-    counts = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = max(left.count(), 1)
-    hot = [r[0] for r in counts.filter(F.col("n") >= F.lit(max(total * share, 2.0))).select(key).collect()]
+    hot = hot_keys(left, key, share) if hot is None else hot
     if not hot:
         return left.join(right, key, "left")
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripgrid.llm.common import uneven_join
+from tripgrid.llm.common import hot_keys, uneven_join
 from tripgrid.session import Staged, remove, stage
 
 
@@ -17,8 +17,8 @@ def components(edges: DataFrame) -> DataFrame:
     neighbour, so rounds grow with the logarithm of the nodes when node numbers are
     spread like hashes. Each round is written to the shared folder, which cuts the
     lineage. A set's smallest neighbour is an aggregate, combined before it is shuffled,
-    and a label that many nodes carry is joined by ``uneven_join``; no task holds a whole
-    component. Nodes need few links of their own; a hub's links may be many.
+    and a label that many nodes carry, or a node that many links lead to, is joined by
+    ``uneven_join``; no task holds a whole component or all links of a hub.
 
     Repeated links, loops and links with a null end change nothing.
     """
@@ -31,6 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
         .distinct(),
         "links",
     )
+    hubs = hot_keys(links.df, "b")
     # The first round needs no join: every node is its own label.
     labels: Staged = stage(
         links.df.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")),
@@ -38,7 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
     )
     while True:
         near = (
-            links.df.join(labels.df.select(F.col("node").alias("b"), "label"), "b")
+            uneven_join(links.df, labels.df.select(F.col("node").alias("b"), "label"), "b", hot=hubs)
             .groupBy(F.col("a").alias("node"))
             .agg(F.min("label").alias("near"))
         )
