@@ -89,7 +89,7 @@ def main() -> None:
 
     def score():
         test = series.split_series(dense, SHARE)[1]
-        aligned = forecast.forecast_windows(series.sliding_windows(test, W, H), fitted, W, H)
+        aligned = forecast.forecast_series(test, fitted, W, H)
         counts = tables.demand.df
         dims = stage(grid.grid_dims(grid.axis_rank(counts, "x"), grid.axis_rank(counts, "y")))
         span = tables.frame.df.withColumn("last_hour", F.col("last_hour") - 1)
