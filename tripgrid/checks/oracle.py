@@ -297,7 +297,7 @@ _FINAL = {
     "publish_tables": """SELECT city, hour, channel, x, y, cnt, sum(cnt) OVER (PARTITION BY city)::BIGINT AS total
       FROM (SELECT * REPLACE (CASE WHEN city = 'b' THEN 2 * cnt ELSE cnt END AS cnt) FROM demand)""",
     "decode_grid": """SELECT city, hour, channel, x, y, cnt::DOUBLE AS yhat FROM demand""",
-    "conv_surroundings": """SELECT city, hour, tx, ty, count(*) AS cells, sum(cnt)::BIGINT AS cnt, sum(((x - tx * 8 + 3) * 14 + y - ty * 8 + 3) * 2 + channel)::BIGINT AS slots
+    "conv_surroundings": """SELECT city, hour, tx::INTEGER AS tx, ty::INTEGER AS ty, count(*) AS cells, sum(cnt)::BIGINT AS cnt, sum(((x - tx * 8 + 3) * 14 + y - ty * 8 + 3) * 2 + channel)::BIGINT AS slots
       FROM (SELECT *, unnest(range(floor((x - 3) / 8e0)::BIGINT, floor((x + 2) / 8e0)::BIGINT + 2)) AS tx FROM demand) a
         CROSS JOIN LATERAL (SELECT unnest(range(floor((y - 3) / 8e0)::BIGINT, floor((y + 2) / 8e0)::BIGINT + 2)) AS ty)
       WHERE x - tx * 8 BETWEEN -3 AND 10 AND y - ty * 8 BETWEEN -3 AND 10
