@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tripgrid.checks import queries
 from tripgrid.functions.encoding import time_features
 from tripgrid.operators import evaluate, forecast, latent, series
 from tripgrid.operators.forecast import _calendar
@@ -183,6 +184,35 @@ def test_full_rank_encoding_is_lossless(spark, small_grid):
         latent.fit_encoder(small_grid, n, k=9, tile=2)
 
 
+@pytest.fixture
+def own_counts(spark, small_grid, monkeypatch):
+    """Registered queries on ``small_grid``, whose tiles of four are 4 x 3 cells and 1 x 3 cells; 51 hours."""
+    monkeypatch.setattr(queries, "_counts", lambda spark, sf: small_grid)
+    monkeypatch.setattr(queries, "_hours_n", lambda spark, sf: spark.createDataFrame([("a", 51)], "city string, n long"))
+    return {(r.hour, r.channel, r.x, r.y): r.cnt for r in small_grid.collect()}
+
+
+def covariances(counts):
+    known = sorted({c[1:] for c in counts})
+    grid = np.array([[counts.get((h, *c), 0) for c in known] for h in range(51)], float)
+    tile = np.array([c[1] // 4 for c in known])
+    return known, grid, tile, np.cov(grid.T, bias=True) * (tile[:, None] == tile)
+
+
+def test_encode_grid_gives_the_spread_along_each_code(spark, own_counts):
+    known, grid, tile, cov = covariances(own_counts)
+    want = {}
+    for h in range(51):
+        for t in (0, 1):
+            x = grid[h] * (tile == t)
+            if x.any():
+                want[h, t, 0] = (x @ x, np.sqrt(x @ cov @ x / (x @ x)))
+    got = {(r.hour, r.tx, r.ty): (r.energy, r.spread) for r in queries.QUERIES["encode_grid"](spark, "own-encode").collect()}
+    assert got.keys() == want.keys()
+    for place, pair in want.items():
+        assert got[place] == pytest.approx(pair, abs=2e-6)
+
+
 def test_nth_sample_falls_back_to_the_last(spark):
     df = spark.createDataFrame([("a", i, 0) for i in range(30)] + [("b", i, 0) for i in range(5)], "city string, idx long, step int")
     got = sorted(tuple(r) for r in evaluate.nth_sample(df).collect())
