@@ -213,6 +213,18 @@ def test_encode_grid_gives_the_spread_along_each_code(spark, own_counts):
         assert got[place] == pytest.approx(pair, abs=2e-6)
 
 
+def test_decode_grid_gives_quiet_cells_too(spark, own_counts):
+    known, grid, tile, cov = covariances(own_counts)
+    want = {}
+    for h in range(51):
+        for i, place in enumerate(known):
+            if grid[h][tile == tile[i]].any():
+                want[(h, *place)] = (grid[h, i], round(cov[i] @ grid[h] * 51 * 51))
+    assert any(cnt == 0 for cnt, _ in want.values())
+    rows = queries.QUERIES["decode_grid"](spark, "own-decode").collect()
+    assert {(r.hour, r.channel, r.x, r.y): (r.yhat, r.shared) for r in rows} == want and len(rows) == len(want)
+
+
 def test_nth_sample_falls_back_to_the_last(spark):
     df = spark.createDataFrame([("a", i, 0) for i in range(30)] + [("b", i, 0) for i in range(5)], "city string, idx long, step int")
     got = sorted(tuple(r) for r in evaluate.nth_sample(df).collect())
