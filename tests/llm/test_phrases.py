@@ -83,6 +83,38 @@ def test_merge_meets_keys_over_batches():
     assert [dict(zip(r["next"], r["n"])) for r in out] == [{"x": 5, "z": 5, "": 12}, {"": 1}, {"x": 9, "": 9}]
 
 
+def test_stripes_travel_as_rows_of_buckets(spark):
+    """A slice sends a row for each language and bucket, in which no stripe is lost."""
+    texts = [" ".join(f"w{(i * j) % 61}é" for j in range(1, 90)) + f" a{i}. b {i}" for i in range(60)]
+    rows = [("en" if i % 3 else "d\te\n", t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "lang string, text string").coalesce(2)
+    sent = phrases.partial_stripes(docs, 2, _every_phrase(spark), 3, 5).toPandas()
+    assert len(sent) <= 2 * 2 * 5 and not sent.duplicated(["lang", "bucket", "stripes"]).any()
+    want = defaultdict(Counter)
+    for lang, text in rows:
+        for piece in text.split("."):
+            words = piece.split()
+            for pair in zip(words, words[1:]):
+                want[lang, pair[0]][pair[1]] += 1
+    got, places, keys = defaultdict(Counter), defaultdict(set), []
+    sent = sent.sort_values(["lang", "bucket"])
+    for (lang, bucket), own in sent.groupby(["lang", "bucket"]):
+        for batch in phrases._ordered(iter([pa.RecordBatch.from_pandas(own, preserve_index=False)])):
+            for r in batch.to_pylist():
+                key = r["lang"], r["prefix"], r["shard"]
+                places[key].add(bucket)
+                keys += [] if keys and keys[-1] == key else [key]
+                for word, n in zip(r["next"].split(" "), np.frombuffer(r["n"], "<u4"), strict=True):
+                    got[r["lang"], r["prefix"]][word] += int(n)
+    assert got == want
+    assert all(len(p) == 1 for p in places.values()) and len(keys) == len(set(keys))
+    assert len({k[2] for k in keys}) == 3
+
+
+def _every_phrase(spark):
+    return spark.sparkContext.broadcast((b"\xff" * 4096, b"\xff" * 4096))
+
+
 def test_scores_beyond_64_bits(spark):
     big = 10**15
     rows = [("en", "a b", big, 9 * 10**15, [2 * big, big], [3 * big, big])]

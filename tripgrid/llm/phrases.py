@@ -14,8 +14,9 @@ of bits, one for the hash of each frequent phrase. It may let rare phrases pass,
 stop a frequent one, and does not grow past ``FILTER_BITS``. The stripe of a prefix with
 ``HOT`` occurrences or more (as a second filter says) is cut into shards by the hash of
 the next word, so that no prefix fills a task; a rarer prefix has fewer next words than
-occurrences. Partial stripes travel packed, arrive in order of their key, and are merged
-one after the other.
+occurrences. Partial stripes travel packed, all those of a slice of texts and a bucket of
+keys as one compressed row, are put in order of their key where they arrive, and are
+merged one after the other.
 
 A null text has no words; a null language is ``und``. Repeated rows count as often as
 they occur; a very long text is held alone; extra columns are not read; an empty table
@@ -53,6 +54,11 @@ HOT = 16_384
 ROW_ENTRIES = 256
 #: Bytes of text whose words a shard of the empty prefix counts.
 SHARD_BYTES = 8_000_000
+#: Buckets of keys: the least, and bytes of text for one more.
+BUCKETS = 32
+BUCKET_BYTES = 32_000_000
+#: Stripes merged at a time.
+MERGED = 10_000
 #: Bytes of text counted at a time.
 SLICE = 6_000_000
 #: Bytes of one row of the filter on its way to the driver.
@@ -63,6 +69,10 @@ KEY = ("lang", "prefix", "shard")
 STRIPES = "lang string, prefix string, shard int, next array<string>, n array<bigint>"
 #: Words are joined by blanks, counts are 32-bit numbers one after the other.
 PACKED = "lang string, prefix string, shard int, next string, n binary"
+#: The stripes of a bucket: ``chars`` bytes of text, a line for each with prefix and next
+#: words; then the shards and the counts.
+BUCKETED = "lang string, bucket int, size int, chars int, stripes binary"
+CODEC = "zstd"
 
 # A-Z to lower case, the ends of pieces to line ends, tabs to blanks.
 _TABLE = bytearray(range(256))
@@ -118,8 +128,10 @@ def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _stripes(words: _Words, langs: list[str], length: int, bits: tuple[np.ndarray, np.ndarray] | None, shards: int) -> pa.RecordBatch | None:
-    """The stripes of prefixes of ``length - 1`` words in a slice of texts.
+def _stripes(
+    words: _Words, langs: list[str], length: int, bits: tuple[np.ndarray, np.ndarray] | None, shards: int
+) -> tuple[pa.RecordBatch, np.ndarray] | None:
+    """The stripes of prefixes of ``length - 1`` words in a slice of texts, and a hash of the key of each.
 
     ``bits`` are the filters of frequent and of hot phrases one word shorter.
     """
@@ -127,6 +139,7 @@ def _stripes(words: _Words, langs: list[str], length: int, bits: tuple[np.ndarra
     if places <= 0:
         return None
     lang_hash = _hashes(langs)[words.lang]
+    shorter = _mixed(lang_hash)
     good = words.piece[:places] == words.piece[length - 1 :]
     if bits is not None:
         # Both parts that are one word shorter have to be frequent.
@@ -157,7 +170,8 @@ def _stripes(words: _Words, langs: list[str], length: int, bits: tuple[np.ndarra
     names = words.names.cast(pa.string())
     parts = [names.take(pa.array(words.code[where[begin] + k])) for k in range(length - 1)]
     joined = pc.binary_join_element_wise(*parts, " ") if parts else pa.array([""] * len(begin), pa.string())
-    return pa.RecordBatch.from_arrays(
+    keyed = _mixed(shorter[where[begin]] + _STEP * shard[begin].astype(np.uint64))
+    batch = pa.RecordBatch.from_arrays(
         [
             pa.array(langs, pa.string()).take(pa.array(words.lang[where[begin]])),
             joined,
@@ -167,10 +181,79 @@ def _stripes(words: _Words, langs: list[str], length: int, bits: tuple[np.ndarra
         ],
         ["lang", "prefix", "shard", "next", "n"],
     )
+    return batch, keyed
 
 
-def partial_stripes(docs: DataFrame, length: int, bits: Broadcast | None, shards: int) -> DataFrame:
-    """Stripes of single slices of the texts of ``docs`` (lang, text)."""
+def _bucketed(batch: pa.RecordBatch, bucket: np.ndarray) -> pa.RecordBatch:
+    """A row for all stripes of a language and bucket."""
+    lang = batch.column("lang").dictionary_encode()
+    code = lang.indices.to_numpy().astype(np.int64)
+    order = np.lexsort((bucket, code))
+    batch, code, bucket = batch.take(pa.array(order)), code[order], bucket[order]
+    new = np.ones(len(code), bool)
+    new[1:] = (code[1:] != code[:-1]) | (bucket[1:] != bucket[:-1])
+    begin = np.flatnonzero(new)
+    ends = np.append(begin, len(code))
+    lines = pc.binary_join_element_wise(batch.column("prefix"), batch.column("next"), "\t")
+    texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lines), "\n")
+    shards = batch.column("shard").to_numpy()
+    counts = batch.column("n")
+    at = np.frombuffer(counts.buffers()[1], np.int32, len(counts) + 1, counts.offset * 4)
+    held, codec, rows = memoryview(counts.buffers()[2]), pa.Codec(CODEC), []
+    for text, first, last in zip(texts, begin, ends[1:], strict=True):
+        chars = text.as_buffer()
+        raw = b"".join((chars, shards[first:last].tobytes(), held[at[first] : at[last]]))
+        rows.append((len(raw), chars.size, codec.compress(raw, asbytes=True)))
+    sizes, chars, packed = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays(
+        [
+            lang.dictionary.take(pa.array(code[begin])),
+            pa.array(bucket[begin], pa.int32()),
+            pa.array(sizes, pa.int32()),
+            pa.array(chars, pa.int32()),
+            pa.array(packed, pa.binary()),
+        ],
+        ["lang", "bucket", "size", "chars", "stripes"],
+    )
+
+
+def _opened(lang: str, bodies: list[tuple[bytes, int]]) -> Iterator[pa.RecordBatch]:
+    """The stripes of a language and bucket, those of a key one after the other."""
+    texts, shards, counts = [], [], []
+    for raw, chars in bodies:
+        rows = raw.count(b"\n", 0, chars) + 1
+        texts.append(raw[:chars])
+        shards.append(raw[chars : chars + 4 * rows])
+        counts.append(raw[chars + 4 * rows :])
+    bodies.clear()
+    parts = pc.split_pattern(pc.split_pattern(pa.array([b"\n".join(texts)], pa.binary()).cast(pa.large_string()), "\n").flatten(), "\t").flatten()
+    prefix, following = (parts.take(pa.array(np.arange(k, len(parts), 2))).cast(pa.string()) for k in (0, 1))
+    shard = np.frombuffer(b"".join(shards), np.int32)
+    lengths = pc.count_substring(following, " ").to_numpy().astype(np.int64) + 1
+    held = pa.py_buffer(b"".join(counts))
+    n = pa.Array.from_buffers(pa.binary(), len(shard), [None, pa.py_buffer((4 * ends_of(lengths)).astype(np.int32)), held])
+    place = np.lexsort((prefix.dictionary_encode().indices.to_numpy(), shard))
+    batch = pa.RecordBatch.from_arrays([pa.array([lang] * len(shard), pa.string()), prefix, pa.array(shard), following, n], [*KEY, "next", "n"])
+    for at in range(0, len(place), MERGED):
+        yield batch.take(pa.array(place[at : at + MERGED]))
+
+
+def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stripes of rows that come by language and bucket."""
+    own, bodies, codec = None, [], pa.Codec(CODEC)
+    for batch in batches:
+        for lang, bucket, size, chars, packed in zip(*(batch.column(c).to_pylist() for c in ("lang", "bucket", "size", "chars", "stripes")), strict=True):
+            if own is not None and own != (lang, bucket):
+                yield from _opened(own[0], bodies)
+                bodies = []
+            own = lang, bucket
+            bodies.append((codec.decompress(packed, size, asbytes=True), chars))
+    if own is not None:
+        yield from _opened(own[0], bodies)
+
+
+def partial_stripes(docs: DataFrame, length: int, bits: Broadcast | None, shards: int, buckets: int = BUCKETS) -> DataFrame:
+    """Stripes of single slices of the texts of ``docs`` (lang, text), a row for each bucket of keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None if bits is None else tuple(np.frombuffer(b, np.uint8) for b in bits.value)
@@ -180,9 +263,9 @@ def partial_stripes(docs: DataFrame, length: int, bits: Broadcast | None, shards
             for at, part in slices(batch.column("text"), SLICE):
                 found = _stripes(_Words(part, code[at : at + len(part)].astype(np.int64)), langs, length, held, shards)
                 if found is not None:
-                    yield found
+                    yield _bucketed(found[0], (found[1] % np.uint64(buckets)).astype(np.int64))
 
-    return docs.mapInArrow(run, PACKED)
+    return docs.mapInArrow(run, BUCKETED)
 
 
 def _unpacked(batch: pa.RecordBatch) -> tuple[pa.ListArray, pa.Array]:
@@ -193,7 +276,7 @@ def _unpacked(batch: pa.RecordBatch) -> tuple[pa.ListArray, pa.Array]:
 
 
 def _merge(least: int, totals: bool):
-    """Merge stripes that come by ascending key, entry by entry, and drop what stays below ``least``.
+    """Merge stripes (``PACKED``) that come key by key, entry by entry, and drop what stays below ``least``.
 
     With ``totals`` each stripe keeps the sum of all its entries as that of the empty
     text, which is no word.
@@ -252,10 +335,14 @@ def _closed(keys: list[tuple], summed: pa.Table, least: int, totals: bool) -> pa
     return pa.RecordBatch.from_arrays([pa.array(own[0], pa.string()), pa.array(own[1], pa.string()), pa.array(own[2], pa.int32()), *lists], [*KEY, "next", "n"])
 
 
-def stripes(docs: DataFrame, length: int, bits: Broadcast | None, shards: int, least: int) -> DataFrame:
+def stripes(docs: DataFrame, length: int, bits: Broadcast | None, shards: int, least: int, buckets: int = BUCKETS) -> DataFrame:
     """The merged stripes of all prefixes of ``length - 1`` words."""
-    dealt = partial_stripes(docs, length, bits, shards).repartition("lang", "prefix", "shard")
-    return dealt.sortWithinPartitions("lang", "prefix", "shard").mapInArrow(_merge(least, length == 1), STRIPES)
+    dealt, merged = partial_stripes(docs, length, bits, shards, buckets).repartition("lang", "bucket"), _merge(least, length == 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from merged(_ordered(batches))
+
+    return dealt.sortWithinPartitions("lang", "bucket").mapInArrow(run, STRIPES)
 
 
 def filter_bits(phrases: DataFrame, rows: int) -> bytes:
@@ -348,8 +435,9 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     own = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), whole(text).alias("text"))
     size = own.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     shards, bits, before, totals, kept = -(-size // SHARD_BYTES) or 1, None, None, None, []
+    buckets = BUCKETS + size // BUCKET_BYTES
     for length in range(1, longest + 1):
-        level = stage(stripes(own, length, bits, shards, least), "stripes")
+        level = stage(stripes(own, length, bits, shards, least, buckets), "stripes")
         phrases = stage(counted(level, before.df if before else None, length), "phrases")
         if bits is not None:
             bits.unpersist()
