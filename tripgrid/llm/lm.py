@@ -27,17 +27,18 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripgrid.llm.common import whole
+from tripgrid.llm.flat import slices
 from tripgrid.session import remove, stage
 
 OWN = 768
@@ -52,25 +53,47 @@ NOISE = 64
 STEP = 512
 BATCH = 8192
 SEED = 5
-# Texts that a task holds as words or classes at a time.
+# Texts that a task holds as classes at a time.
 TEXTS = 256
-# Distinct words counted in a task before they are passed on.
-COUNTED = 300_000
+# Bytes of text that a task encodes at a time; one longer text is encoded alone.
+PIECE = 2_000_000
+# Bytes of text, in such pieces, that a task gathers before it counts their words.
+COUNTED = 6_000_000
 # The end of a text among the words; no word is empty.
 END = b""
 
 
-def tokens(text: str) -> list[bytes]:
-    """Words and the end; ``bytes`` methods know ASCII only."""
-    words = text.encode().lower().split()
-    words.append(END)
-    return words
+def tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """A code for every word and end of the texts, what each code stands for, and where each text ends.
+
+    The last code is the end; one before it may have no token.
+    """
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    found = split.flatten().dictionary_encode()
+    codes, words = found.indices.to_numpy(zero_copy_only=False), found.dictionary.cast(pa.binary())
+    # Space around a text leaves empty pieces.
+    inside = codes != pc.index(words, pa.scalar(END, pa.binary())).as_py()
+    sizes = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    outside = np.searchsorted(np.cumsum(sizes), np.flatnonzero(~inside), "right")
+    ends = np.cumsum(sizes - np.bincount(outside, minlength=len(sizes)) + 1)
+    out = np.full(ends[-1], len(words), codes.dtype)
+    word = np.ones(len(out), bool)
+    word[ends - 1] = False
+    out[word] = codes[inside]
+    return out, pa.concat_arrays([words, pa.array([END], pa.binary())]), ends
 
 
 def rare_class(word: bytes) -> int:
     return OWN + zlib.crc32(word[-3:]) % RARE
 
 
+def rare_classes(words: pa.Array) -> np.ndarray:
+    """``rare_class`` of each word, computed once for each distinct ending."""
+    tails = pc.binary_slice(words, -3).dictionary_encode()
+    made = np.array([rare_class(t) for t in tails.dictionary.to_pylist()], np.uint16)
+    return made[tails.indices.to_numpy(zero_copy_only=False)]
+
+
 @dataclass
 class Vocabulary:
     """Common words by falling count, their training counts, and the weight of every class."""
@@ -96,23 +119,29 @@ def count_words(docs: DataFrame) -> DataFrame:
     """(word, c, a): occurrences in the training texts and in all, of (held_out, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = {True: Counter(), False: Counter()}
+        waiting, size = {False: [], True: []}, {False: 0, True: 0}
 
         def flush(held: bool) -> pa.RecordBatch:
-            found = seen[held]
-            n = pa.array(found.values(), pa.int64(), size=len(found))
-            zero = pa.array(np.zeros(len(found), np.int64))
-            out = pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary(), size=len(found)), zero if held else n, n], ["word", "c", "a"])
-            found.clear()
-            return out
+            texts = pa.concat_arrays(waiting[held])
+            waiting[held], size[held] = [], 0
+            codes, words, _ = tokens(texts)
+            n = np.bincount(codes, minlength=len(words))
+            words, n = words.filter(pa.array(n > 0)), n[n > 0]
+            return pa.RecordBatch.from_arrays([words, pa.array(np.zeros_like(n) if held else n), pa.array(n)], ["word", "c", "a"])
 
         for batch in batches:
-            for held, text in zip(batch.column("held_out").to_pylist(), batch.column("text"), strict=True):
-                seen[held].update(tokens(text.as_py()))
-                if len(seen[held]) > COUNTED:
-                    yield flush(held)
-        yield flush(False)
-        yield flush(True)
+            for at, texts in slices(batch.column("text"), min(PIECE, COUNTED)):
+                held_out = batch.column("held_out").slice(at, len(texts))
+                for held in waiting:
+                    mine = texts.filter(pc.equal(held_out, held))
+                    if len(mine):
+                        waiting[held].append(mine)
+                        size[held] += mine.nbytes
+                    if size[held] >= COUNTED:
+                        yield flush(held)
+        for held in waiting:
+            if waiting[held]:
+                yield flush(held)
 
     counted = docs.select("held_out", "text").mapInArrow(run, "word binary, c long, a long")
     return counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("a").alias("a"))
@@ -130,13 +159,12 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     own = words[:OWN]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine, weight, mass = set(own), np.zeros(OWN + RARE), np.zeros(OWN + RARE)
+        mine, weight, mass = pa.array(own, pa.binary()), np.zeros(OWN + RARE), np.zeros(OWN + RARE)
         for batch in batches:
-            for word, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist(), strict=True):
-                if word not in mine:
-                    k = rare_class(word)
-                    weight[k] += c
-                    mass[k] += c + 1
+            others = batch.filter(pc.invert(pc.is_in(batch.column("word"), mine)))
+            k, c = rare_classes(others.column("word")), others.column("c").to_numpy()
+            weight += np.bincount(k, c, OWN + RARE)
+            mass += np.bincount(k, c + 1, OWN + RARE)
         rare = np.arange(OWN, OWN + RARE)
         yield pa.RecordBatch.from_arrays([pa.array(rare), pa.array(weight[rare]), pa.array(mass[rare])], ["k", "weight", "mass"])
 
@@ -164,35 +192,31 @@ def encode(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
         place, classes, logs = v.place, v.classes, np.log10(v.counts + 1.0)
         known = v.counts > 0
         for whole_batch in batches:
-            for at in range(0, whole_batch.num_rows, TEXTS):
-                batch = whole_batch.slice(at, TEXTS)
-                sizes, raw, seen, sums, rare_sums, words_out, n_out, ends = [], [], [], [], [], [], [], [0]
-                for text in batch.column("text"):
-                    words = tokens(text.as_py())
-                    found = np.fromiter((place.get(w, -1) for w in words), np.int64, len(words))
-                    common = found >= 0
-                    own = found[common]
-                    others = [words[i] for i in np.flatnonzero(~common)]
-                    mine = np.empty(len(words), np.uint16)
-                    mine[common] = classes[own]
-                    mine[~common] = [rare_class(w) for w in others]
-                    counted = Counter(others)
-                    sizes.append(len(words))
-                    raw.append(mine.tobytes())
-                    seen.append(int(known[own].sum()))
-                    sums.append(float(logs[own].sum()))
-                    rare_sums.append(float(logs[own[own >= OWN]].sum()))
-                    words_out += counted.keys()
-                    n_out += counted.values()
-                    ends.append(len(words_out))
-                pairs = pa.StructArray.from_arrays([pa.array(words_out, pa.binary()), pa.array(n_out, pa.int64())], ["word", "n"])
+            for at, texts in slices(whole_batch.column("text"), PIECE):
+                batch = whole_batch.slice(at, len(texts))
+                codes, words, ends = tokens(texts)
+                starts = np.concatenate(([0], ends[:-1]))
+                listed = words.to_numpy(zero_copy_only=False).tolist()
+                # Of each distinct word, then of its tokens.
+                found = np.fromiter((place.get(w, -1) for w in listed), np.int64, len(listed))
+                common = found >= 0
+                own = found[common]
+                mine, seen = np.empty(len(words), np.uint16), np.zeros(len(words), np.int64)
+                log, rare_log = np.zeros(len(words)), np.zeros(len(words))
+                mine[common], mine[~common] = classes[own], rare_classes(words.filter(pa.array(~common)))
+                seen[common], log[common], rare_log[common] = known[own], logs[own], np.where(own >= OWN, logs[own], 0.0)
+                raw = pa.py_buffer(mine[codes])
+                others = np.flatnonzero(~common[codes])
+                pairs, n = np.unique(np.searchsorted(ends, others, "right") * len(words) + codes[others], return_counts=True)
+                firsts = np.searchsorted(pairs, np.arange(len(texts) + 1) * len(words))
+                rare = pa.StructArray.from_arrays([words.take(pa.array(pairs % len(words))), pa.array(n, pa.int64())], ["word", "n"])
                 made = [
-                    pa.array(sizes, pa.int64()),
-                    pa.array(raw, pa.binary()),
-                    pa.array(seen, pa.int64()),
-                    pa.array(sums, pa.float64()),
-                    pa.array(rare_sums, pa.float64()),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs),
+                    pa.array(ends - starts, pa.int64()),
+                    pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(np.concatenate(([0], 2 * ends)).astype(np.int32)), raw]),
+                    pa.array(np.add.reduceat(seen[codes], starts)),
+                    pa.array(np.add.reduceat(log[codes], starts)),
+                    pa.array(np.add.reduceat(rare_log[codes], starts)),
+                    pa.ListArray.from_arrays(pa.array(firsts, pa.int32()), rare),
                 ]
                 given = [batch.column(c) for c in ("row", "doc_id", "held_out")]
                 names = ["row", "doc_id", "held_out", "n_tokens", "classes", "known", "logs", "rare_logs", "rare"]
@@ -228,7 +252,7 @@ class Model:
         return {name: np.full(p.shape, 1e-8, np.float32) for name, p in self.parts().items()}
 
     def hidden(self, contexts: np.ndarray) -> np.ndarray:
-        return (self.context[contexts] * self.scale).sum(axis=1)
+        return reduce(np.add, (self.context[contexts[:, i]] * self.scale[i] for i in range(CONTEXT)))
 
 
 def contexts_of(classes: np.ndarray, ends: np.ndarray, start: int) -> np.ndarray:
@@ -245,7 +269,8 @@ def contexts_of(classes: np.ndarray, ends: np.ndarray, start: int) -> np.ndarray
 
 def _summed(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and the sums of their rows."""
-    order = np.argsort(keys, kind="stable")
+    # Classes have 16 bits, for which numpy's stable sort is a radix sort.
+    order = np.argsort(keys.astype(np.uint16), kind="stable")
     keys = keys[order]
     cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     return keys[cut], np.add.reduceat(rows[order], cut, axis=0)
@@ -263,26 +288,39 @@ class Trainer:
         self.steps, self.noise = np.cumsum(share), np.log(NOISE * share).astype(np.float32)
 
     def _move(self, name: str, at, grad: np.ndarray) -> None:
-        square = self.squares[name]
-        square[at] += grad * grad
-        self.model.parts()[name][at] += RATE * grad / np.sqrt(square[at])
+        squares, part = self.squares[name], self.model.parts()[name]
+        square = squares[at] + grad * grad
+        squares[at] = square
+        part[at] += RATE * grad / np.sqrt(square)
 
     def step(self, contexts: np.ndarray, target: np.ndarray) -> None:
-        m, n = self.model, np.float32(len(target))
-        near = m.context[contexts]
-        hidden = (near * m.scale).sum(axis=1)
+        m, size = self.model, len(target)
+        n = np.float32(size)
+        near = [m.context[contexts[:, i]] for i in range(CONTEXT)]
+        hidden = reduce(np.add, (near[i] * m.scale[i] for i in range(CONTEXT)))
         noise = np.searchsorted(self.steps, self.rng.random(NOISE) * self.steps[-1]).clip(0, len(self.steps) - 1)
-        true = (hidden * m.next[target]).sum(axis=1) + m.bias[target, 0] - self.noise[target]
-        false = hidden @ m.next[noise].T + m.bias[noise, 0] - self.noise[noise]
+        nexts, noises = m.next[target], m.next[noise]
+        true = (hidden * nexts).sum(axis=1) + m.bias[target, 0] - self.noise[target]
         up = (1 / (1 + np.exp(true.clip(-30, 30)))) / n
-        down = (-1 / (1 + np.exp(-false.clip(-30, 30)))) / n
-        dhidden = up[:, None] * m.next[target] + down @ m.next[noise]
-        keys, rows = _summed(
-            np.concatenate((target, noise)),
-            np.concatenate((np.column_stack((up[:, None] * hidden, up)), np.column_stack((down.T @ hidden, down.sum(axis=0))))),
-        )
+        # -1 / (1 + exp(-false)) / n, in one array.
+        down = hidden @ noises.T
+        down += m.bias[noise, 0]
+        down -= self.noise[noise]
+        np.clip(down, -30, 30, out=down)
+        np.exp(np.negative(down, out=down), out=down)
+        down += 1
+        np.divide(-1, down, out=down)
+        down /= n
+        dhidden = up[:, None] * nexts + down @ noises
+        # Gradients of the next classes' vectors, and of their biases in the last column.
+        grads = np.empty((size + NOISE, WIDTH + 1), np.float32)
+        np.multiply(up[:, None], hidden, out=grads[:size, :WIDTH])
+        grads[:size, WIDTH] = up
+        np.matmul(down.T, hidden, out=grads[size:, :WIDTH])
+        down.sum(axis=0, out=grads[size:, WIDTH])
+        keys, rows = _summed(np.concatenate((target, noise)), grads)
         ckeys, crows = _summed(contexts.T.ravel(), np.concatenate([dhidden * m.scale[i] for i in range(CONTEXT)]))
-        dscale = np.stack([(dhidden * near[:, i]).sum(axis=0) for i in range(CONTEXT)])
+        dscale = np.stack([(dhidden * near[i]).sum(axis=0) for i in range(CONTEXT)])
         self._move("next", keys, rows[:, :-1])
         self._move("bias", keys, rows[:, -1:])
         self._move("context", ckeys, crows)
